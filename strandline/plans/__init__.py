@@ -5,6 +5,11 @@ import importlib
 TOPICS = [
     "session_graphs",
     "lineages",
+    "lookups",
+    "listings",
+    "recording",
+    "secrets_and_rollups",
+    "upkeep",
 ]
 
 

@@ -127,10 +127,12 @@ def multiset_digest(value: Column) -> Column:
 
 
 def match_prefixes(
-    keys: DataFrame, key: str, table: DataFrame, value: str, entity: str, min_len: int = 1
+    keys: DataFrame, key: str, table: DataFrame, value: str, entity: str, min_len: int = 1, unique: bool = True
 ) -> DataFrame:
     """``(key, entity)`` for keys that are a prefix of values of exactly one entity.
 
+    With ``unique=False`` a key shared by several entities gets the least of them.
+
     Every value is cut to the few lengths the keys really have, so the match is an equi-join, and
     a prefix shared by many values is folded to (min, max) before it meets its key.
     """
@@ -147,13 +149,12 @@ def match_prefixes(
             ).cast("array<string>")
         ).alias(key),
     ).where(F.col(key).isNotNull())
-    return (
+    folded = (
         cut.join(wanted, key, "left_semi")
         .groupBy(key)
         .agg(F.min("_entity").alias(entity), F.max("_entity").alias("_last"))
-        .where(F.col(entity) == F.col("_last"))
-        .drop("_last")
     )
+    return (folded.where(F.col(entity) == F.col("_last")) if unique else folded).drop("_last")
 
 
 def is_empty(df: DataFrame) -> bool:
