@@ -110,54 +110,78 @@ def redact(text: Column, rules: RedactionRules = RedactionRules()) -> Column:
     return text
 
 
-def with_redaction(
-    df: DataFrame, column: str, rules: RedactionRules = RedactionRules(), filtered: str = "filtered", detections: str = "detections"
-) -> DataFrame:
-    """Add the redacted text and its detections, array<struct<pattern_id, count>>.
+_FOUND = "array<struct<pattern_id:string,count:int>>"
+
+
+def redaction(text: Column, rules: RedactionRules = RedactionRules()) -> Column:
+    """struct<filtered, detections array<struct<pattern_id, count>>> of a text.
 
-    Each stage is a projection of its own, so a stage's text is computed once though both its
-    count and its replacement need it. Stages see text the earlier ones have redacted.
+    Stages see text the earlier ones have redacted. Each is a ``transform`` over a one-element
+    array, which binds the text so far to a name: the expression holds every stage once, however
+    often a stage looks at its text.
     """
     if rules.allow:
-        found = redact_with_allow_list(rules)(F.col(column))
-        grouped = F.transform(
-            F.array_sort(F.array_distinct("_found.detections")),
-            lambda p: F.struct(
-                p.alias("pattern_id"),
-                F.size(F.filter("_found.detections", lambda d: d == p)).alias("count"),
+        found = redact_with_allow_list(rules)(text)
+        return F.transform(
+            F.array(found),
+            lambda r: F.struct(
+                r["filtered"].alias("filtered"),
+                F.transform(
+                    F.array_sort(F.array_distinct(r["detections"])),
+                    lambda p: F.struct(
+                        p.alias("pattern_id"), F.size(F.filter(r["detections"], lambda d: d == p)).alias("count")
+                    ),
+                ).alias("detections"),
             ),
+        )[0]
+
+    def state(t: Column, found: Column) -> Column:
+        return F.struct(t.alias("filtered"), found.cast(_FOUND).alias("detections"))
+
+    def stage(before: Column, pattern_id: str, hit, count, replaced) -> Column:
+        def step(s: Column) -> Column:
+            t = s["filtered"]
+            entry = F.struct(F.lit(pattern_id).alias("pattern_id"), count(t).alias("count"))
+            return F.when(hit(t), state(replaced(t), F.array_append(s["detections"], entry))).otherwise(s)
+
+        return F.transform(F.array(before), step)[0]
+
+    def regex_stage(before: Column, pattern_id: str, regex: str, replacement: str) -> Column:
+        return stage(
+            before, pattern_id, lambda t: t.rlike(regex), lambda t: F.regexp_count(t, F.lit(regex)),
+            lambda t: F.regexp_replace(t, regex, replacement),
         )
-        return df.withColumn("_found", found).withColumns(
-            {filtered: F.col("_found.filtered"), detections: grouped}
-        ).drop("_found")
-    counts: list[tuple[str, str]] = []
-    df = df.withColumn("_t", F.col(column))
 
-    def stage(frame: DataFrame, pattern_id: str, count: Column, replaced: Column) -> DataFrame:
-        name = f"_c{len(counts)}"
-        counts.append((pattern_id, name))
-        return frame.withColumn(name, count).withColumn("_t", F.when(F.col(name) > 0, replaced).otherwise(F.col("_t")))
+    def literal_stage(before: Column, secret: str) -> Column:
+        return stage(
+            before, "explicit_secret", lambda t: t.contains(secret), lambda t: F.lit(1),
+            lambda t: F.replace(t, F.lit(secret), F.lit(REDACTED)),
+        )
 
+    current = state(text, F.array())
     for secret in rules.secrets:
         if secret:
-            df = stage(
-                df, "explicit_secret", F.when(F.col("_t").contains(secret), 1).otherwise(0),
-                F.replace(F.col("_t"), F.lit(secret), F.lit(REDACTED)),
-            )
-    df = df.withColumn("_try", F.col("_t").rlike(_TRIGGER))
-    for pattern in BUILTIN:
-        df = stage(
-            df, pattern.id, F.when(F.col("_try"), F.regexp_count("_t", F.lit(pattern.jvm))).otherwise(0),
-            F.regexp_replace("_t", pattern.jvm, pattern.replacement),
-        )
+            current = literal_stage(current, secret)
+
+    def builtin(s: Column) -> Column:
+        chain = s
+        for pattern in BUILTIN:
+            chain = regex_stage(chain, pattern.id, pattern.jvm, pattern.replacement)
+        return F.when(s["filtered"].rlike(_TRIGGER), chain).otherwise(s)
+
+    current = F.transform(F.array(current), builtin)[0]
     for pattern in rules.usable_custom():
-        regex = "(?U)" + pattern.regex
-        df = stage(df, pattern.id, F.regexp_count("_t", F.lit(regex)), F.regexp_replace("_t", regex, pattern.replacement))
-    found = F.filter(
-        F.array(*[F.struct(F.lit(p).alias("pattern_id"), F.col(c).alias("count")) for p, c in counts]),
-        lambda d: d["count"] > 0,
-    )
-    return df.withColumns({filtered: F.col("_t"), detections: found}).drop("_t", "_try", *[c for _, c in counts])
+        current = regex_stage(current, pattern.id, "(?U)" + pattern.regex, pattern.replacement)
+    return current
+
+
+def with_redaction(
+    df: DataFrame, column: str, rules: RedactionRules = RedactionRules(), filtered: str = "filtered", detections: str = "detections"
+) -> DataFrame:
+    """Add the redacted text and its detections."""
+    return df.withColumn("_found", redaction(F.col(column), rules)).withColumns(
+        {filtered: F.col("_found.filtered"), detections: F.col("_found.detections")}
+    ).drop("_found")
 
 
 def _python_filter(rules: RedactionRules) -> Callable[[str], tuple[str, list[str]]]:

@@ -92,22 +92,27 @@ class SessionGraph:
     fold_limit: int = FOLD_LIMIT
 
     @cached_property
-    def latest(self) -> DataFrame:
-        return latest_runs(self.jobs)
+    def latest_keys(self) -> DataFrame:
+        """(session_id, step_number, job_id) of the latest runs; written, as everything starts here."""
+        keys = self.jobs.select("id", "session_id", "step_number", "timestamp")
+        return materialize(
+            latest_runs(keys).select("session_id", "step_number", F.col("id").alias("job_id")), "latest"
+        )
 
     @cached_property
-    def _latest_keys(self) -> DataFrame:
-        return self.latest.select(F.col("id").alias("job_id"), "session_id", "step_number")
+    def latest(self) -> DataFrame:
+        """The latest runs as full job rows."""
+        return self.jobs.join(self.latest_keys.select(F.col("job_id").alias("id")), "id", "left_semi")
 
     @cached_property
     def made(self) -> DataFrame:
         """Outputs of the latest runs."""
-        return with_paths(self.outputs, self.artifacts).join(self._latest_keys, "job_id")
+        return materialize(with_paths(self.outputs, self.artifacts).join(self.latest_keys, "job_id"), "made")
 
     @cached_property
     def used(self) -> DataFrame:
         """Inputs of the latest runs."""
-        return with_paths(self.inputs, self.artifacts).join(self._latest_keys, "job_id")
+        return materialize(with_paths(self.inputs, self.artifacts).join(self.latest_keys, "job_id"), "used")
 
     @cached_property
     def current(self) -> DataFrame:
@@ -123,12 +128,13 @@ class SessionGraph:
     @cached_property
     def dependencies(self) -> DataFrame:
         """What a step consumes, by path, from an earlier step."""
-        return (
+        found = (
             self.used.join(self.current, ["session_id", "path"])
             .where(F.col("producer_step") < F.col("step_number"))
             .select("session_id", "step_number", "producer_step", "path",
                     F.col("artifact_id").alias("consumed_artifact"), "current_artifact")
         )
+        return materialize(found, "dependencies")
 
     @cached_property
     def directly_stale(self) -> DataFrame:
@@ -189,7 +195,7 @@ class SessionGraph:
     def _shown(self, expanded: bool) -> DataFrame:
         if not expanded:
             return self.latest.withColumn("is_latest", F.lit(True))
-        newest_ids = self.latest.select("id", F.lit(True).alias("is_latest"))
+        newest_ids = self.latest_keys.select(F.col("job_id").alias("id"), F.lit(True).alias("is_latest"))
         runs = self.jobs.where(F.col("session_id").isNotNull() & F.col("step_number").isNotNull())
         return runs.join(newest_ids, "id", "left").withColumn(
             "is_latest", F.coalesce("is_latest", F.lit(False))
@@ -197,23 +203,33 @@ class SessionGraph:
 
     def node_dependencies(self, expanded: bool = False) -> DataFrame:
         """One row per consumed input edge of a shown node."""
-        shown = self._shown(expanded).select(F.col("id").alias("job_id"), "session_id", "step_number")
-        return (
+        if not expanded:
+            return self.dependencies.join(self.latest_keys, ["session_id", "step_number"]).select(
+                "session_id", "job_id", "step_number", "producer_step"
+            )
+        return self._expanded_dependencies
+
+    @cached_property
+    def _expanded_dependencies(self) -> DataFrame:
+        shown = self._shown(True).select(F.col("id").alias("job_id"), "session_id", "step_number")
+        found = (
             with_paths(self.inputs, self.artifacts)
             .join(shown, "job_id")
             .join(self.current.drop("current_artifact"), ["session_id", "path"])
             .where(F.col("producer_step") < F.col("step_number"))
             .select("session_id", "job_id", "step_number", "producer_step")
         )
+        return materialize(found, "run_dependencies")
 
     def step_links(self, expanded: bool = False) -> DataFrame:
         return self.node_dependencies(expanded).select("session_id", "step_number", "producer_step").distinct()
 
+    @cached_property
     def superseded_steps(self) -> DataFrame:
         """Steps that take over the superseded state in the expanded view."""
         older = self._shown(True).where(~F.col("is_latest")).select("session_id", "step_number")
         spread = spread_downstream(older, self.step_links(True), self.fold_limit)
-        return spread.join(older.distinct(), ["session_id", "step_number"], "left_anti")
+        return materialize(spread.join(older.distinct(), ["session_id", "step_number"], "left_anti"), "superseded")
 
     def nodes(self, expanded: bool = False) -> DataFrame:
         shown = self._shown(expanded)
@@ -237,7 +253,7 @@ class SessionGraph:
             .otherwise("active")
         )
         if expanded:
-            taken = self.superseded_steps().withColumn("taken", F.lit(True))
+            taken = self.superseded_steps.withColumn("taken", F.lit(True))
             base = base.join(taken, ["session_id", "step_number"], "left")
             state = F.when(F.col("taken"), "superseded").otherwise(state)
         zero = F.lit(0).cast("bigint")
@@ -251,7 +267,7 @@ class SessionGraph:
         used = self.step_links(expanded).select(
             "session_id", F.col("producer_step").alias("step_number")
         )
-        return self.latest.select("session_id", "step_number").join(
+        return self.latest_keys.select("session_id", "step_number").join(
             used, ["session_id", "step_number"], "left_anti"
         )
 
@@ -288,12 +304,12 @@ class SessionGraph:
         )
 
     def _step_states(self, expanded: bool) -> DataFrame:
-        states = self.latest.select("session_id", "step_number").join(
+        states = self.latest_keys.select("session_id", "step_number").join(
             self.stale.withColumn("is_stale", F.lit(True)), ["session_id", "step_number"], "left"
         )
         state = F.when(F.col("is_stale"), "stale").otherwise("active")
         if expanded:
-            taken = self.superseded_steps().withColumn("taken", F.lit(True))
+            taken = self.superseded_steps.withColumn("taken", F.lit(True))
             states = states.join(taken, ["session_id", "step_number"], "left")
             state = F.when(F.col("taken"), "superseded").otherwise(state)
         return states.select(
@@ -344,7 +360,7 @@ class SessionGraph:
 
     def summary(self, hashes: DataFrame, expanded: bool = False) -> DataFrame:
         """Counters per session, taken before any view filter."""
-        steps = self.latest.groupBy("session_id").agg(F.count(F.lit(1)).alias("total_steps"))
+        steps = self.latest_keys.groupBy("session_id").agg(F.count(F.lit(1)).alias("total_steps"))
         stale = self.stale.groupBy("session_id").agg(F.count(F.lit(1)).alias("stale_count"))
         arts = self.artifact_states(hashes, expanded).groupBy("session_id").agg(
             F.count_if("made_stale").alias("stale_artifact_count"),

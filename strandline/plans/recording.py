@@ -211,7 +211,7 @@ def _(w):
 
 @query("pending_jobs", "A9 H2", """
 select sha256('pulled:s' || l_orderkey) as session_hash, 's' || l_orderkey as source_artifact_hash,
-       row_number() over (partition by l_orderkey order by l_linenumber) - 1 as position, 'step ' || l_partkey as command,
+       row_number() over (partition by l_orderkey order by l_linenumber, 'step ' || l_partkey) - 1 as position, 'step ' || l_partkey as command,
        case when l_linenumber % 3 = 0 then 1 else cast(l_linenumber as int) end as step_number,
        case when l_partkey % 4 = 0 then 'doc' else 'repo' end as git_repo, 'c' as git_commit,
        case when l_partkey % 5 = 0 then 'build' end as job_type, 'pending' as status from lineitem""")

@@ -165,7 +165,7 @@ def _(w):
 
 @query("superseded_steps", "G12", duckdb_query("select * from taken", *EXPANDED))
 def _(w):
-    return graph(w).superseded_steps()
+    return graph(w).superseded_steps
 
 
 @query("leaf_steps", "G13", duckdb_query("""

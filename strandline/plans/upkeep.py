@@ -106,7 +106,7 @@ def _(w):
 
 @query("upserted_cache", "O3", duckdb_query("""
 select path, algorithm, digest, size, cached_at from (select path, algorithm, digest, size, cached_at from cache
-  union all select artifact_id, 'sha256', md5(path), bytes, cast(timestamp + 86400 * 30 as double) from io)
+  union all select artifact_id, 'sha256', md5(path), max(bytes), cast(timestamp + 86400 * 30 as double) from io group by artifact_id, path, timestamp)
 qualify row_number() over (partition by path, algorithm order by cached_at desc, digest desc) = 1""", CACHE))
 def _(w):
     # Two sightings may agree in time and digest but not in size.

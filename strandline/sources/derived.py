@@ -10,8 +10,14 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandline.scale import materialize
 from strandline.session import tune
 
+# Thin projections stay views; the other derived tables are written once per application and
+# folder, as the lineage tables they stand for would be.
+_VIEWS = {"syscalls", "collections"}
+_written: dict[tuple[str, str, str], DataFrame] = {}
+
 
 class _SparkText:
     @staticmethod
@@ -154,7 +160,11 @@ class World:
 
             # JSON braces of the text are doubled so that only table names are replaced.
             text = texts[name].replace("{", "{{").replace("}", "}}")
-            self._views[name] = self.spark.sql(_render(text, placeholder), **refs)
+            key = (self.spark.sparkContext.applicationId, self.folder, name)
+            if key not in _written:
+                derived = self.spark.sql(_render(text, placeholder), **refs)
+                _written[key] = derived if name in _VIEWS else materialize(derived, name)
+            self._views[name] = _written[key]
         return self._views[name]
 
     jobs = cached_property(lambda self: self.view("jobs"))

@@ -90,6 +90,9 @@ def main(argv):
             same, note = compare(spark, con, folder, name, runs[name], sqls.get(name))
         except Exception as e:
             same, note = False, f"{type(e).__name__}: {str(e)[:600]}"
+            if "stopped SparkContext" in str(e) or "OutOfMemory" in str(e):
+                print("BAD " + name + ": " + note)
+                return 1
         bad += not same
         print(("ok  " if same else "BAD ") + name + ": " + note, flush=True)
     print("failed:", bad)
