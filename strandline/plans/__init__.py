@@ -10,6 +10,7 @@ TOPICS = [
     "recording",
     "secrets_and_rollups",
     "upkeep",
+    "run_facts",
 ]
 
 

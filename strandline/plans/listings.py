@@ -212,8 +212,8 @@ def _(w):
 
 @query("run_timing", "E10", duckdb_query("""
 select id as run_id,
-  case when id % 9 > 0 then strftime(to_timestamp(timestamp) at time zone 'UTC', '%Y-%m-%dT%H:%M:%S') end as start,
-  case when id % 9 > 0 then strftime(to_timestamp(timestamp + id % 100 - 10) at time zone 'UTC', '%Y-%m-%dT%H:%M:%S') end as "end",
+  case when id % 9 > 0 then strftime(to_timestamp(timestamp) at time zone 'UTC', '%Y-%m-%dT%H:%M:%S+00:00') end as start,
+  case when id % 9 > 0 then strftime(to_timestamp(timestamp + id % 100 - 10) at time zone 'UTC', '%Y-%m-%dT%H:%M:%S+00:00') end as "end",
   case when id % 9 > 0 then greatest(0.0, cast(id % 100 - 10 as double)) end as duration_seconds
 from jobs"""))
 def _(w):
