@@ -11,6 +11,7 @@ TOPICS = [
     "secrets_and_rollups",
     "upkeep",
     "run_facts",
+    "registration",
 ]
 
 
