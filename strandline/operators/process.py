@@ -86,7 +86,7 @@ def _column(df: DataFrame, name: str, default) -> F.Column:
     return F.col(name) if name in df.columns else F.lit(default)
 
 
-def _touches(syscalls: DataFrame) -> DataFrame:
+def descriptor_touches(syscalls: DataFrame) -> DataFrame:
     """(run_id, pid, fd, ts, seq, path, touch): one row per descriptor a syscall opens or uses."""
     call = F.col("syscall")
     fd = F.col("fd")
@@ -168,7 +168,7 @@ def file_sets(syscalls: DataFrame, forks: DataFrame | None = None) -> DataFrame:
     ts, seq) lets children see the descriptors of their parent at the fork.
     """
     key = ["run_id", "pid", "fd"]
-    touches = _touches(syscalls)
+    touches = descriptor_touches(syscalls)
     bound = fill_forward(touches, key, ["ts", "seq"], "path", "bound")
     if forks is not None:
         bound = materialize(bound, "bound")

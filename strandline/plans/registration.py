@@ -261,3 +261,10 @@ def _(w):
     hosts = w.sessions.selectExpr("id as session_id", "concat('h', id) as host", "if(id % 2 = 0, 'Darwin', 'Linux') as system", "'x86_64' as machine",
                                   "element_at(array(null, '11', '12.1'), cast(id % 3 as int) + 1) as cuda_version", "id % 5 <> 0 as has_gpu")
     return H.environment_drift(w.jobs.withColumn("metadata", F.expr(meta)), hosts).select("session_id", "host", F.array_join("warnings", "; ").alias("warnings"))
+
+
+@query("text_digests", "A4", "select doc_id, sha256(text) as sha256, md5(text) as md5 from documents")
+def _(w):
+    from strandline.functions.hashing import digest_columns
+
+    return w.base("documents").select("doc_id", *digest_columns(F.col("text"), ["sha256", "md5"]))
