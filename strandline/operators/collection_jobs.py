@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.scale import is_empty, latest, materialize
+from strandline.scale import latest, materialize, materialize_counted
 
 
 def add_members(members: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -59,8 +59,8 @@ def nested_artifacts(collections: DataFrame, members: DataFrame, distinct: bool
         found = frontier.withColumnRenamed("collection_id", "parent").join(children, "parent").select(
             "root", "collection_id"
         ).distinct().join(reached, ["root", "collection_id"], "left_anti")
-        frontier = materialize(found, "nested")
-        if is_empty(frontier):
+        frontier, rows = materialize_counted(found, "nested")
+        if not rows:
             break
         reached = reached.unionByName(frontier)
     files = members.where(F.col("artifact_id").isNotNull()).select("collection_id", "artifact_id", "path_in_collection")

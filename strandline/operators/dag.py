@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.edges import is_build, newest, primary_digests, with_paths
-from strandline.scale import is_empty, latest, materialize
+from strandline.scale import is_empty, latest, materialize, materialize_counted
 
 # Sessions with at most this many dependencies are settled in one fold; larger ones by rounds.
 FOLD_LIMIT = 2000
@@ -74,8 +74,8 @@ def spread_downstream(seeds: DataFrame, edges: DataFrame, fold_limit: int = FOLD
             .distinct()
             .join(reached, key, "left_anti")
         )
-        frontier = materialize(found, "frontier")
-        if is_empty(frontier):
+        frontier, rows = materialize_counted(found, "frontier")
+        if not rows:
             break
         reached = reached.unionByName(frontier)
     return folded.unionByName(reached)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.edges import newest, primary_digests, with_facts
-from strandline.scale import is_empty, latest, materialize, multiset_digest
+from strandline.scale import latest, materialize, materialize_counted, multiset_digest
 
 
 def producers(jobs: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -34,8 +34,8 @@ def closure(targets: DataFrame, made_by: DataFrame, inputs: DataFrame, max_depth
     for depth in range(1, max_depth + 1):
         opened = frontier.join(made_by, "artifact_id").select(*group, "job_id").distinct()
         found = opened.join(reads, "job_id").select(*node).distinct().join(visited, node, "left_anti")
-        frontier = materialize(found.withColumn("depth", F.lit(depth)), "closure")
-        if is_empty(frontier):
+        frontier, rows = materialize_counted(found.withColumn("depth", F.lit(depth)), "closure")
+        if not rows:
             break
         visited = visited.unionByName(frontier)
     return visited

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.paths import resolve_relative
-from strandline.scale import fill_forward, is_empty, materialize
+from strandline.scale import fill_forward, is_empty, materialize, materialize_counted
 
 # Syscalls by what they do to a file.
 OPENS = ["open", "openat"]
@@ -141,16 +141,16 @@ def _inherited(opens: DataFrame, wanted: DataFrame, forks: DataFrame) -> DataFra
         lifted = asked.join(births, ["run_id", "_at"]).select(
             "run_id", "pid", "fd", F.col("_up").alias("_at"), F.col("_fork_ts").alias("ts"), F.col("_fork_seq").alias("seq")
         )
-        lifted = materialize(lifted, "lifted")
-        if is_empty(lifted):
+        lifted, rows = materialize_counted(lifted, "lifted")
+        if not rows:
             break
         nothing = F.lit(None)
-        rows = opens.select(
+        timeline = opens.select(
             "run_id", F.col("pid").alias("_at"), "fd", "ts", "seq", "path", nothing.cast("bigint").alias("_origin")
         ).unionByName(
             lifted.select("run_id", "_at", "fd", "ts", "seq", nothing.cast("string").alias("path"), F.col("pid").cast("bigint").alias("_origin"))
         )
-        looked = fill_forward(rows, ["run_id", "_at", "fd"], ["ts", "seq"], "path", "found").where(F.col("_origin").isNotNull())
+        looked = fill_forward(timeline, ["run_id", "_at", "fd"], ["ts", "seq"], "path", "found").where(F.col("_origin").isNotNull())
         looked = materialize(looked.select("run_id", F.col("_origin").alias("pid"), "fd", "_at", "found"), "looked")
         hit = looked.where(F.col("found").isNotNull()).select("run_id", "pid", "fd", F.col("found").alias("inherited"))
         answers = hit if answers is None else answers.unionByName(hit)

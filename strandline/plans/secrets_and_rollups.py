@@ -128,11 +128,14 @@ def _(w):
 _IDS = ", ".join(f"('{p.id}', n{i})" for i, p in enumerate(BUILTIN))
 
 
+_IDS_PLANTED = _IDS + f", ('planted', n{len(BUILTIN)})"
+
+
 @query("detected_secrets", "K11", duckdb_query(f"""
-select doc_id, v.pattern_id, v.n as count from redacted, lateral (values {_IDS}) v(pattern_id, n) where v.n > 0""",
-    *chain("select doc_id, text as t from documents")))
+select doc_id, v.pattern_id, v.n as count from redacted, lateral (values {_IDS_PLANTED}) v(pattern_id, n) where v.n > 0""",
+    *chain("select doc_id, text as t from documents", VALID)))
 def _(w):
-    return K.detect(w.base("documents"), ["doc_id"], "text")
+    return K.detect(w.base("documents"), ["doc_id"], "text", RedactionRules(custom=CUSTOM))
 
 
 SCAN = chain("""select session_id, 'git_url' as field, git_repo as t from jobs union all select session_id, 'command', command from jobs

@@ -193,13 +193,6 @@ def _(w):
     return graph(w).artifact_view(w.hashes, expanded=True, show_artifacts=True)
 
 
-@query("superseded_artifacts", "G16", duckdb_query(
-    "select session_id, artifact_id, superseded_by from arts where superseded_by is not null", *ARTS))
-def _(w):
-    return graph(w).artifact_states(w.hashes).where(F.col("superseded_by").isNotNull()).select(
-        "session_id", "artifact_id", "superseded_by")
-
-
 @query("terminal_artifacts", "G17", duckdb_query(f"select {_ART_COLS} from arts where is_terminal", *ARTS))
 def _(w):
     return graph(w).artifact_view(w.hashes)
@@ -243,3 +236,48 @@ select session_id, step_number, id as job_id from latest
 where id not in (select job_id from alldeps)""", *EXPANDED))
 def _(w):
     return graph(w).roots()
+
+
+# The same sessions with fewer paths, so that several steps write one path: later steps take over,
+# earlier artifacts are superseded and most of a session depends on most of it.
+def _shared(column: str) -> str:
+    return (f"concat('p/', split_part({column}, '/', 2), '/', cast(split_part({column}, '/', 3) as int) % 3, "
+            f"'/', split_part({column}, '/', 4))")
+
+
+def shared_graph(w: World) -> SessionGraph:
+    path = F.expr(_shared("path"))
+    return SessionGraph(w.jobs, w.inputs.withColumn("path", path), w.outputs.withColumn("path", path), w.artifacts)
+
+
+def _share(ctes: tuple[str, ...]) -> tuple[str, ...]:
+    swaps = {"o.path from latest": f"{_shared('o.path')} as path from latest", "i.path from latest": f"{_shared('i.path')} as path from latest",
+             "c.path = i.path": f"c.path = {_shared('i.path')}"}
+    out = []
+    for cte in ctes:
+        for old, new in swaps.items():
+            cte = cte.replace(old, new)
+        out.append(cte)
+    return tuple(out)
+
+
+@query("shared_path_stale_steps", "G2 G3 G4 G5", duckdb_query("select * from stale", *_share(BASE)))
+def _(w):
+    return shared_graph(w).stale
+
+
+@query("shared_path_artifact_states", "G14 G15 G16", duckdb_query(f"select {_ART_COLS} from arts", *_share(ARTS)))
+def _(w):
+    return shared_graph(w).artifact_view(w.hashes, show_artifacts=True)
+
+
+@query("shared_path_dag_summary_expanded", "G12 G18", _summary(_share(ARTS_EXPANDED)))
+def _(w):
+    return shared_graph(w).summary(w.hashes, expanded=True)
+
+
+@query("superseded_artifacts", "G16", duckdb_query(
+    "select session_id, artifact_id, superseded_by from arts where superseded_by is not null", *_share(ARTS)))
+def _(w):
+    return shared_graph(w).artifact_states(w.hashes).where(F.col("superseded_by").isNotNull()).select(
+        "session_id", "artifact_id", "superseded_by")
