@@ -20,6 +20,8 @@ class SecretPattern:
     regex: str
     replacement: str = REDACTED
     ignore_case: bool = False
+    # Lower-case texts one of which every match holds; empty for patterns not known to us.
+    needs: tuple[str, ...] = ()
 
     @property
     def jvm(self) -> str:
@@ -37,23 +39,23 @@ class SecretPattern:
 
 # Patterns, their order and their replacements decide the redacted text.
 BUILTIN = [
-    SecretPattern("aws_access_key", r"(AKIA[A-Z0-9]{16})", "[AWS_KEY_REDACTED]"),
-    SecretPattern("aws_secret_key", r"(aws_secret_access_key|aws_secret)[=:\s]+['\"]?([A-Za-z0-9/+=]{40})['\"]?", "$1=[REDACTED]", True),
-    SecretPattern("github_token", r"(ghp_[A-Za-z0-9]{36,})", "[GITHUB_TOKEN_REDACTED]"),
-    SecretPattern("github_pat", r"(github_pat_[a-zA-Z0-9]{22}_[a-zA-Z0-9]{59})", "[GITHUB_PAT_REDACTED]"),
-    SecretPattern("openai_key", r"(sk-[a-zA-Z0-9]{20,})", "[OPENAI_KEY_REDACTED]"),
-    SecretPattern("anthropic_key", r"(sk-ant-[a-zA-Z0-9\-]+)", "[ANTHROPIC_KEY_REDACTED]"),
-    SecretPattern("huggingface_token", r"(hf_[a-zA-Z0-9]{34})", "[HF_TOKEN_REDACTED]"),
-    SecretPattern("generic_api_key_arg", r"(--?(?:api[_-]?key|apikey))[=\s]+['\"]?([^\s'\"]{16,})['\"]?", "$1=[REDACTED]", True),
-    SecretPattern("generic_token_arg", r"(--?(?:token|auth[_-]?token))[=\s]+['\"]?([^\s'\"]{16,})['\"]?", "$1=[REDACTED]", True),
-    SecretPattern("generic_password_arg", r"(--?(?:password|passwd|pwd))[=\s]+['\"]?([^\s'\"]+)['\"]?", "$1=[REDACTED]", True),
-    SecretPattern("generic_secret_arg", r"(--?(?:secret|secret[_-]?key))[=\s]+['\"]?([^\s'\"]+)['\"]?", "$1=[REDACTED]", True),
-    SecretPattern("bearer_token", r"(bearer)\s+([a-zA-Z0-9\-._~+/]{20,}=*)", "$1 [REDACTED]", True),
-    SecretPattern("git_url_creds", r"(https?://)([^:@]+):([^@]+)@", "$1$2:[REDACTED]@"),
-    SecretPattern("database_url", r"((?:postgres|mysql|mongodb|redis)://)([^:]+):([^@]+)@", "$1$2:[REDACTED]@", True),
-    SecretPattern("private_key", r"(-----BEGIN\s+(?:RSA\s+|EC\s+|DSA\s+|OPENSSH\s+)?PRIVATE\s+KEY-----)", "[PRIVATE_KEY_REDACTED]"),
-    SecretPattern("slack_webhook", r"(hooks\.slack\.com/services/)([A-Z0-9/]+)", "$1[REDACTED]", True),
-    SecretPattern("env_var_assignment", r"([A-Z_]*(?:KEY|TOKEN|SECRET|PASSWORD|PASSWD|PWD|CREDENTIAL|AUTH)[A-Z_]*)=([^\s]+)", "$1=[REDACTED]", True),
+    SecretPattern("aws_access_key", r"(AKIA[A-Z0-9]{16})", "[AWS_KEY_REDACTED]", needs=("akia",)),
+    SecretPattern("aws_secret_key", r"(aws_secret_access_key|aws_secret)[=:\s]+['\"]?([A-Za-z0-9/+=]{40})['\"]?", "$1=[REDACTED]", True, needs=("aws_secret",)),
+    SecretPattern("github_token", r"(ghp_[A-Za-z0-9]{36,})", "[GITHUB_TOKEN_REDACTED]", needs=("ghp_",)),
+    SecretPattern("github_pat", r"(github_pat_[a-zA-Z0-9]{22}_[a-zA-Z0-9]{59})", "[GITHUB_PAT_REDACTED]", needs=("github_pat_",)),
+    SecretPattern("openai_key", r"(sk-[a-zA-Z0-9]{20,})", "[OPENAI_KEY_REDACTED]", needs=("sk-",)),
+    SecretPattern("anthropic_key", r"(sk-ant-[a-zA-Z0-9\-]+)", "[ANTHROPIC_KEY_REDACTED]", needs=("sk-ant-",)),
+    SecretPattern("huggingface_token", r"(hf_[a-zA-Z0-9]{34})", "[HF_TOKEN_REDACTED]", needs=("hf_",)),
+    SecretPattern("generic_api_key_arg", r"(--?(?:api[_-]?key|apikey))[=\s]+['\"]?([^\s'\"]{16,})['\"]?", "$1=[REDACTED]", True, needs=("key",)),
+    SecretPattern("generic_token_arg", r"(--?(?:token|auth[_-]?token))[=\s]+['\"]?([^\s'\"]{16,})['\"]?", "$1=[REDACTED]", True, needs=("token",)),
+    SecretPattern("generic_password_arg", r"(--?(?:password|passwd|pwd))[=\s]+['\"]?([^\s'\"]+)['\"]?", "$1=[REDACTED]", True, needs=("passw", "pwd")),
+    SecretPattern("generic_secret_arg", r"(--?(?:secret|secret[_-]?key))[=\s]+['\"]?([^\s'\"]+)['\"]?", "$1=[REDACTED]", True, needs=("secret",)),
+    SecretPattern("bearer_token", r"(bearer)\s+([a-zA-Z0-9\-._~+/]{20,}=*)", "$1 [REDACTED]", True, needs=("bearer",)),
+    SecretPattern("git_url_creds", r"(https?://)([^:@]+):([^@]+)@", "$1$2:[REDACTED]@", needs=("http",)),
+    SecretPattern("database_url", r"((?:postgres|mysql|mongodb|redis)://)([^:]+):([^@]+)@", "$1$2:[REDACTED]@", True, needs=("postgres:", "mysql:", "mongodb:", "redis:")),
+    SecretPattern("private_key", r"(-----BEGIN\s+(?:RSA\s+|EC\s+|DSA\s+|OPENSSH\s+)?PRIVATE\s+KEY-----)", "[PRIVATE_KEY_REDACTED]", needs=("-----begin",)),
+    SecretPattern("slack_webhook", r"(hooks\.slack\.com/services/)([A-Z0-9/]+)", "$1[REDACTED]", True, needs=("hooks.slack.com",)),
+    SecretPattern("env_var_assignment", r"([A-Z_]*(?:KEY|TOKEN|SECRET|PASSWORD|PASSWD|PWD|CREDENTIAL|AUTH)[A-Z_]*)=([^\s]+)", "$1=[REDACTED]", True, needs=("key", "token", "secret", "passw", "pwd", "credential", "auth")),
 ]
 
 # Environment variables blanked by default.
@@ -66,11 +68,17 @@ ENV_NAMES = [
     "AWS_SECRET_ACCESS_KEY",
 ]
 
-# Every built-in match holds one of these, so other texts skip the whole chain.
-_TRIGGER = (
-    r"(?iuU)AKIA|ghp_|github_pat_|sk-|hf_|key|token|secret|passw|pwd|credential|auth|bearer"
-    r"|https?://|(?:postgres|mysql|mongodb|redis)://|hooks\.slack\.com"
-)
+
+def _folded(text: Column) -> Column:
+    """Text in one case, wide enough for every letter a case-insensitive pattern takes as equal."""
+    return F.lower(F.upper(text))
+
+
+def _may_match(folded: Column, pattern: SecretPattern) -> Column:
+    hit = F.lit(False)
+    for part in pattern.needs:
+        hit = hit | folded.contains(part)
+    return hit
 
 
 @dataclass(frozen=True)
@@ -101,10 +109,21 @@ def redact(text: Column, rules: RedactionRules = RedactionRules()) -> Column:
     for secret in rules.secrets:
         if secret:
             text = F.replace(text, F.lit(secret), F.lit(REDACTED))
-    chain = text
-    for pattern in BUILTIN:
-        chain = F.regexp_replace(chain, pattern.jvm, pattern.replacement)
-    text = F.when(text.rlike(_TRIGGER), chain).otherwise(text)
+
+    def replaced(before: Column, pattern: SecretPattern, folded: Column) -> Column:
+        possible = _may_match(folded, pattern)
+        return F.transform(
+            F.array(before),
+            lambda t: F.when(possible, F.regexp_replace(t, pattern.jvm, pattern.replacement)).otherwise(t),
+        )[0]
+
+    def builtin(s: Column) -> Column:
+        chain = s["text"]
+        for pattern in BUILTIN:
+            chain = replaced(chain, pattern, s["folded"])
+        return chain
+
+    text = F.transform(F.array(F.struct(text.alias("text"), _folded(text).alias("folded"))), builtin)[0]
     for pattern in rules.usable_custom():
         text = F.regexp_replace(text, "(?U)" + pattern.regex, pattern.replacement)
     return text
@@ -146,9 +165,9 @@ def redaction(text: Column, rules: RedactionRules = RedactionRules()) -> Column:
 
         return F.transform(F.array(before), step)[0]
 
-    def regex_stage(before: Column, pattern_id: str, regex: str, replacement: str) -> Column:
+    def regex_stage(before: Column, pattern_id: str, regex: str, replacement: str, possible: Column | None = None) -> Column:
         return stage(
-            before, pattern_id, lambda t: t.rlike(regex), lambda t: F.regexp_count(t, F.lit(regex)),
+            before, pattern_id, lambda t: t.rlike(regex) if possible is None else possible & t.rlike(regex), lambda t: F.regexp_count(t, F.lit(regex)),
             lambda t: F.regexp_replace(t, regex, replacement),
         )
 
@@ -163,13 +182,18 @@ def redaction(text: Column, rules: RedactionRules = RedactionRules()) -> Column:
         if secret:
             current = literal_stage(current, secret)
 
+    # What a stage needs is looked for in the text before any pattern ran: no replacement brings
+    # a later match about.
     def builtin(s: Column) -> Column:
-        chain = s
+        chain = s["state"]
         for pattern in BUILTIN:
-            chain = regex_stage(chain, pattern.id, pattern.jvm, pattern.replacement)
-        return F.when(s["filtered"].rlike(_TRIGGER), chain).otherwise(s)
+            chain = regex_stage(chain, pattern.id, pattern.jvm, pattern.replacement, _may_match(s["folded"], pattern))
+        return chain
+
+    def fold(s: Column) -> Column:
+        return F.struct(s.alias("state"), _folded(s["filtered"]).alias("folded"))
 
-    current = F.transform(F.array(current), builtin)[0]
+    current = F.transform(F.transform(F.array(current), fold), builtin)[0]
     for pattern in rules.usable_custom():
         current = regex_stage(current, pattern.id, "(?U)" + pattern.regex, pattern.replacement)
     return current

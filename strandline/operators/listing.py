@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.references import exit_status, search_text, step_label
@@ -47,23 +47,27 @@ def search_jobs(
     n: int = 50,
 ) -> DataFrame:
     """Full-text search over command and script, newest first: one scan, no shuffle but the top-k."""
-    text = search_text("command", "script")
-
-    def word(term: str):
-        return F.instr(text, f" {term.lower()} ") > 0
-
-    hit = F.lit(True)
-    for term in [*every, *phrases]:
-        hit = hit & word(term)
-    for prefix in prefixes:
-        hit = hit & (F.instr(text, f" {prefix.lower()}") > 0)
-    for term in none_of:
-        hit = hit & ~word(term)
-    if any_of:
-        some = F.lit(False)
-        for term in any_of:
-            some = some | word(term)
-        hit = hit & some
+
+    def matches(text: Column) -> Column:
+        def word(term: str) -> Column:
+            return F.instr(text, f" {term.lower()} ") > 0
+
+        hit = F.lit(True)
+        for term in [*every, *phrases]:
+            hit = hit & word(term)
+        for prefix in prefixes:
+            hit = hit & (F.instr(text, f" {prefix.lower()}") > 0)
+        for term in none_of:
+            hit = hit & ~word(term)
+        if any_of:
+            some = F.lit(False)
+            for term in any_of:
+                some = some | word(term)
+            hit = hit & some
+        return hit
+
+    # The one-element array names the text, so its words are taken apart once per row.
+    hit = F.exists(F.array(search_text("command", "script")), matches)
     return jobs.where(hit).orderBy(*newest()).limit(n)
 
 

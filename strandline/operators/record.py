@@ -92,8 +92,14 @@ def component_labels(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     Alternating large-star and small-star rounds: each needs one aggregate and one join, and the
     number of rounds grows with the logarithm of the component size.
     """
-    current = materialize(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct(), "stars")
+    pair = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
+    current = materialize(edges.where(F.col("a") != F.col("b")).select(*pair).distinct(), "stars")
     for _ in range(max_rounds):
+        # Settled when every node hangs on one centre and no centre hangs on another.
+        inner = current.join(current.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a")
+        double = current.groupBy("a").count().where(F.col("count") > 1).select("a")
+        if is_empty(inner.unionByName(double)):
+            break
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.where(F.col("b") > F.col("a")).join(least, "a").select(
@@ -107,10 +113,6 @@ def component_labels(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             .distinct()
         )
         current = materialize(small, "stars")
-        inner = current.join(current.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
-        double = current.groupBy("a").count().where(F.col("count") > 1).select("a")
-        if is_empty(inner.select("a").unionByName(double)):
-            break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     centres = current.select(F.col("b").alias("node")).distinct().withColumn("label", F.col("node"))
