@@ -12,6 +12,7 @@ TOPICS = [
     "upkeep",
     "run_facts",
     "registration",
+    "sinks_and_streams",
 ]
 
 

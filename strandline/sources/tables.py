@@ -14,9 +14,11 @@ from strandline.schemas import INJECT_REPORT, LINEAGE, PIPELINE_DOCUMENT, TRACE_
 LARGEST_FILE = 2**31 - 16 * 1024 * 1024
 
 
-def read_lineage(spark: SparkSession, folder: str, views: bool = False) -> dict[str, DataFrame]:
-    """The nine lineage tables of a folder, one Parquet directory each."""
-    tables = {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in LINEAGE.items()}
+def read_lineage(
+    spark: SparkSession, folder: str, names: Sequence[str] | None = None, views: bool = False
+) -> dict[str, DataFrame]:
+    """The lineage tables of a folder (all nine, or the named ones), one Parquet directory each."""
+    tables = {name: spark.read.schema(LINEAGE[name]).parquet(f"{folder}/{name}") for name in names or LINEAGE}
     if views:
         for name, df in tables.items():
             df.createOrReplaceTempView(name)
