@@ -10,25 +10,26 @@ from strandline.scale import latest, materialize, materialize_counted, multiset_
 
 
 def producers(jobs: DataFrame, outputs: DataFrame) -> DataFrame:
-    """The one producer of every artifact: its latest job."""
-    made = outputs.select("artifact_id", "job_id").distinct().join(
+    """The one producer of every artifact, its latest job; written, as closures read it every round."""
+    made = outputs.select("artifact_id", "job_id").join(
         jobs.select(F.col("id").alias("job_id"), "timestamp"), "job_id"
     )
-    return latest(made, ["artifact_id"], newest(key="job_id"))
+    return materialize(latest(made, ["artifact_id"], newest(key="job_id")), "producers")
 
 
 def closure(targets: DataFrame, made_by: DataFrame, inputs: DataFrame, max_depth: int) -> DataFrame:
     """Artifacts upstream of ``targets`` with their least depth.
 
     ``targets`` has ``artifact_id`` and any grouping columns; every group has its own visited set.
+    ``made_by`` comes from ``producers``.
     A round goes artifact → job → inputs with the jobs made distinct in between, so a job with
     many outputs and inputs is opened once, not once per pair. Each round's frontier is written;
     a cycle ends at the anti-join.
     """
     group = [c for c in targets.columns if c != "artifact_id"]
     node = [*group, "artifact_id"]
-    reads = inputs.select("job_id", "artifact_id").distinct()
-    made_by = materialize(made_by.select("artifact_id", "job_id"), "producers")
+    reads = inputs.select("job_id", "artifact_id")
+    made_by = made_by.select("artifact_id", "job_id")
     frontier = materialize(targets.select(*node).distinct().withColumn("depth", F.lit(0)), "closure")
     visited = frontier
     for depth in range(1, max_depth + 1):

@@ -218,7 +218,7 @@ def artifact_detail(
 
 def digests_of_paths(keys: DataFrame, outputs: DataFrame, artifacts: DataFrame, hashes: DataFrame) -> DataFrame:
     """Digest of the newest artifact written to each path."""
-    facts = outputs.join(keys.select("path").distinct(), "path", "left_semi").select("path", "artifact_id").distinct().join(
+    facts = outputs.join(keys.select("path").distinct(), "path", "left_semi").select("path", "artifact_id").join(
         artifacts.select(F.col("id").alias("artifact_id"), "first_seen_at"), "artifact_id"
     )
     order = [F.col("first_seen_at").desc(), F.col("artifact_id").desc()]
