@@ -282,6 +282,8 @@ def record_runs(
     keys = jobs.select(F.col("id").alias("job_id"), "run_id", "session_id", "timestamp", "repo_root", "job_type")
     edges = files.join(digests.select("run_id", "path").distinct(), ["run_id", "path"], "left_semi").join(keys, "run_id")
     edges = materialize(edges.where(F.coalesce("job_type", F.lit("run")) != "build"), "edges")
+    # Only files that some recorded run uses become artifacts.
+    digests = digests.join(edges.select("run_id", "path").distinct(), ["run_id", "path"], "left_semi")
     identities = step_identities(jobs, edges, home)
     numbered = jobs.withColumnRenamed("id", "job_id").join(identities, "job_id")
     numbers = number_steps(numbered.select("session_id", "job_id", "timestamp", "step_identity"))

@@ -164,3 +164,30 @@ def test_fold_and_rounds_agree(spark):
     seeds = spark.range(0, 7).selectExpr("id as session_id", "cast(id * 7 + 2 as int) as step_number")
     rows = [sorted(map(tuple, spread_downstream(seeds, edges, n).collect())) for n in (100000, 0)]
     assert rows[0] == rows[1] and len(rows[0]) > 40
+
+
+def test_recorded_runs_feed_the_graph(spark):
+    from strandline.operators.record import record_runs
+
+    runs = spark.createDataFrame(
+        [("r1", 1, 1, "python prep.py", "/w", "c1", None), ("r2", 1, 2, "python train.py", "/w", "c1", None),
+         ("r3", 1, 3, "python prep.py", "/w", "c2", None), ("b1", 1, 4, "make", "/w", "c2", "build")],
+        "run_id string, session_id bigint, timestamp bigint, command string, repo_root string, git_commit string, job_type string")
+    files = [("r1", "in", "/w/raw"), ("r1", "out", "/w/clean_001.csv"), ("r2", "in", "/w/clean_001.csv"), ("r2", "out", "/w/model"),
+             ("r3", "in", "/w/raw"), ("r3", "out", "/w/clean_001.csv"), ("r1", "in", "/w/gone"), ("b1", "out", "/w/tool")]
+    digest = {("r1", "/w/raw"): "A", ("r1", "/w/clean_001.csv"): "B", ("r2", "/w/clean_001.csv"): "b", ("r2", "/w/model"): "C",
+              ("r3", "/w/raw"): "A", ("r3", "/w/clean_001.csv"): "D", ("b1", "/w/tool"): "E"}
+    made = record_runs(
+        runs, spark.createDataFrame(files, "run_id string, direction string, path string"),
+        spark.createDataFrame([(r, p, "sha256", d, 5) for (r, p), d in digest.items()], "run_id string, path string, algorithm string, digest string, size bigint"))
+    jobs = {r.run_id: r for r in made.jobs.collect()}
+    assert [jobs[r].step_number for r in ("r1", "r2", "r3", "b1")] == [1, 2, 1, 3]
+    assert jobs["r1"].script == "prep.py" and len(jobs["r1"].job_uid) == 12
+    assert made.job_inputs.count() == 3 and made.job_outputs.count() == 3
+    assert sorted(r.digest for r in made.artifact_hashes.collect()) == ["a", "b", "c", "d"]
+    first = sorted((r.first_seen_path, r.first_seen_at) for r in made.artifacts.collect())
+    assert first == [("/w/clean_001.csv", 1), ("/w/clean_001.csv", 3), ("/w/model", 2), ("/w/raw", 1)]
+    session = made.sessions.first()
+    assert (session.git_commit_start, session.git_commit_end, session.current_step) == ("c1", "c2", 3)
+    graph = SessionGraph(made.jobs, made.job_inputs, made.job_outputs, made.artifacts)
+    assert steps(graph.stale) == [2]
