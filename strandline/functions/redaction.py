@@ -81,6 +81,14 @@ def _may_match(folded: Column, pattern: SecretPattern) -> Column:
     return hit
 
 
+def _may_match_any(folded: Column) -> Column:
+    parts = dict.fromkeys(part for pattern in BUILTIN for part in pattern.needs)
+    hit = F.lit(False)
+    for part in parts:
+        hit = hit | folded.contains(part)
+    return hit
+
+
 @dataclass(frozen=True)
 class RedactionRules:
     """Literal secrets, then the built-in patterns, then custom ones; ``allow`` exempts matches."""
@@ -121,7 +129,7 @@ def redact(text: Column, rules: RedactionRules = RedactionRules()) -> Column:
         chain = s["text"]
         for pattern in BUILTIN:
             chain = replaced(chain, pattern, s["folded"])
-        return chain
+        return F.when(_may_match_any(s["folded"]), chain).otherwise(s["text"])
 
     text = F.transform(F.array(F.struct(text.alias("text"), _folded(text).alias("folded"))), builtin)[0]
     for pattern in rules.usable_custom():
@@ -188,7 +196,7 @@ def redaction(text: Column, rules: RedactionRules = RedactionRules()) -> Column:
         chain = s["state"]
         for pattern in BUILTIN:
             chain = regex_stage(chain, pattern.id, pattern.jvm, pattern.replacement, _may_match(s["folded"], pattern))
-        return chain
+        return F.when(_may_match_any(s["folded"]), chain).otherwise(s["state"])
 
     def fold(s: Column) -> Column:
         return F.struct(s.alias("state"), _folded(s["filtered"]).alias("folded"))
