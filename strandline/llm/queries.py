@@ -65,3 +65,10 @@ def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
         F.col("mix_target").alias("target"),
         (F.col("mix_copies") * F.col("mix_size")).alias("taken"),
     )
+
+
+@query("op9_simhash")
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    from strandline.llm.simhash import simhash_groups
+
+    return simhash_groups(table(spark, folder, "documents").select("doc_id", "text"))
