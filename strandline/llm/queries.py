@@ -72,3 +72,10 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     from strandline.llm.simhash import simhash_groups
 
     return simhash_groups(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op4_lattice")
+def op4_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    from strandline.llm.lattice import embedding_groups
+
+    return embedding_groups(table(spark, folder, "embeddings").select("vec_id", "embedding"))
