@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,19 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its file system, as tasks outside the JVM need it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+
+def store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a qualified path and the path in it, for use in tasks."""
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), urlparse(uri).path
+    return fs.FileSystem.from_uri(uri)
+
+
 def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """``df`` written to a scratch folder and read back, and that folder."""
     spark, path = df.sparkSession, scratch_folder(df.sparkSession, label)

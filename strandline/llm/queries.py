@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from strandline.llm.common import table
 from strandline.session import tune
 
+BATCH = "1000"  # rows of a batch sent to Python: texts are long
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -17,6 +19,7 @@ ORACLES: dict[str, str] = {}
 def query(name: str, oracle: str | None = None):
     def add(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
             return fn(tune(spark), folder)
 
         QUERIES[name] = run
@@ -79,3 +82,21 @@ def op4_lattice(spark: SparkSession, folder: str) -> DataFrame:
     from strandline.llm.lattice import embedding_groups
 
     return embedding_groups(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op5_token_counts")
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from strandline.llm.token_counts import token_counts
+
+    return token_counts(table(spark, folder, "documents").select("doc_id", "text"), path("byte_bpe_50k.json"))
+
+
+@query("op6_token_files")
+def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from strandline.llm.token_files import token_files
+
+    return token_files(table(spark, folder, "documents"), path("word_bpe_49k.json"))
