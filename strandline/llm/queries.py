@@ -100,3 +100,22 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     from strandline.llm.token_files import token_files
 
     return token_files(table(spark, folder, "documents"), path("word_bpe_49k.json"))
+
+
+@query("op7_warc", """
+with p as (
+  select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+f as (select h, min(page_id) as first from p group by h),
+d as (
+  select p.page_id, strlen(p.html) as n, p.h, f.first, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         cast(floor(cast(concat('0x', substr(p.h, 5 * cast(floor(k / 4) as int) + 1, 5)) as bigint) / (32 ** (3 - k % 4))) as bigint) % 32 + 1, 1), '' order by k) as digest
+  from p join f on p.h = f.h cross join range(32) r(k) group by p.page_id, p.html, p.h, f.first)
+select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to
+from d
+""")
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from strandline.llm.warc import archived_pages
+
+    return archived_pages(table(spark, folder, "pages"))
