@@ -119,3 +119,10 @@ def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     from strandline.llm.warc import archived_pages
 
     return archived_pages(table(spark, folder, "pages"))
+
+
+@query("op2_html_text")
+def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    from strandline.llm.html_text import extract
+
+    return extract(table(spark, folder, "pages"))
