@@ -126,3 +126,12 @@ def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
     from strandline.llm.html_text import extract
 
     return extract(table(spark, folder, "pages"))
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from strandline.llm.quality import learn, remainder, score
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = learn(docs, table(spark, folder, "labels"))
+    return score(docs, model).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
