@@ -135,3 +135,21 @@ def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = learn(docs, table(spark, folder, "labels"))
     return score(docs, model).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op3_langid")
+def op3_langid(spark: SparkSession, folder: str) -> DataFrame:
+    from strandline.llm.langid import learn, predict
+    from strandline.llm.quality import remainder
+
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return predict(docs.select("doc_id", "text"), learn(docs)).select(
+        "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
+@query("op10_decontamination")
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from strandline.llm.decontam import contaminated
+
+    return contaminated(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
