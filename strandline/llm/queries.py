@@ -16,11 +16,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the settings that the operators count on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    return tune(spark)
+
+
 def query(name: str, oracle: str | None = None):
     def add(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
-            return fn(tune(spark), folder)
+            return fn(prepared(spark), folder)
 
         QUERIES[name] = run
         if oracle:
