@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,18 +13,6 @@ ALGORITHMS: dict[str, Callable[[Column], Column]] = {
     "md5": F.md5,
 }
 
-try:
-    import blake3 as _blake3
-
-    @F.pandas_udf("string")
-    def _blake3_digest(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: None if b is None else _blake3.blake3(bytes(b)).hexdigest())
-
-    ALGORITHMS["blake3"] = lambda content: _blake3_digest(content.cast("binary"))
-except ImportError:  # the library is optional
-    pass
-
-
 def register_algorithm(name: str, digest: Callable[[Column], Column]) -> None:
     ALGORITHMS[name] = digest
 

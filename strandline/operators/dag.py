@@ -9,11 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.edges import is_build, newest, primary_digests, with_paths
-from strandline.scale import is_empty, latest, materialize, materialize_counted
-
-# Sessions with at most this many dependencies are settled in one fold; larger ones by rounds.
-FOLD_LIMIT = 2000
-
+from strandline.scale import latest, materialize, materialize_counted
 
 def latest_runs(jobs: DataFrame) -> DataFrame:
     """The newest job of every (session, step)."""
@@ -21,51 +17,18 @@ def latest_runs(jobs: DataFrame) -> DataFrame:
     return latest(steps, ["session_id", "step_number"], newest())
 
 
-def spread_downstream(seeds: DataFrame, edges: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def spread_downstream(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """All (session, step) reachable from ``seeds`` over ``edges`` (session, producer → step).
 
-    Edges only lead to higher step numbers, so a small session is one fold over its steps in
-    order. A session with more edges than the limit is never gathered: it advances by joins, one
-    written frontier per round, until no new step is reached.
+    All sessions advance together by joins, one written frontier per round, until no new step is
+    reached; a session of any size takes as many rounds as its longest chain.
     """
     key = ["session_id", "step_number"]
-    seeds = seeds.select(*key).distinct()
+    frontier = materialize(seeds.select(*key).distinct(), "frontier")
     touched = edges.select(*key, "producer_step").distinct().join(
-        seeds.select("session_id").distinct(), "session_id", "left_semi"
-    )
-    facts = materialize(
-        touched.select(*key, "producer_step", F.lit(False).alias("seed")).unionByName(
-            seeds.select(*key, F.lit(None).cast("int").alias("producer_step"), F.lit(True).alias("seed"))
-        ),
-        "spread",
-    )
-    sizes = facts.groupBy("session_id").count()
-    wide = sizes.where(F.col("count") > fold_limit).select("session_id")
-    has_wide = not is_empty(wide)
-    small = facts.join(wide, "session_id", "left_anti") if has_wide else facts
-    folded = (
-        small.groupBy("session_id")
-        .agg(F.array_sort(F.collect_list(F.struct("step_number", "seed", "producer_step"))).alias("rows"))
-        .select(
-            "session_id",
-            F.explode(
-                F.aggregate(
-                    "rows",
-                    F.array().cast("array<int>"),
-                    lambda hit, r: F.when(
-                        (r["seed"] | F.coalesce(F.array_contains(hit, r["producer_step"]), F.lit(False)))
-                        & ~F.array_contains(hit, r["step_number"]),
-                        F.array_append(hit, r["step_number"]),
-                    ).otherwise(hit),
-                )
-            ).alias("step_number"),
-        )
+        frontier.select("session_id").distinct(), "session_id", "left_semi"
     )
-    if not has_wide:
-        return folded
-    steps = facts.join(wide, "session_id", "left_semi")
-    links = steps.where(~F.col("seed")).drop("seed")
-    frontier = steps.where("seed").select(*key)
+    links = materialize(touched, "links")
     reached = frontier
     while True:
         found = (
@@ -76,9 +39,8 @@ def spread_downstream(seeds: DataFrame, edges: DataFrame, fold_limit: int = FOLD
         )
         frontier, rows = materialize_counted(found, "frontier")
         if not rows:
-            break
+            return reached
         reached = reached.unionByName(frontier)
-    return folded.unionByName(reached)
 
 
 @dataclass
@@ -89,7 +51,6 @@ class SessionGraph:
     inputs: DataFrame
     outputs: DataFrame
     artifacts: DataFrame
-    fold_limit: int = FOLD_LIMIT
 
     @cached_property
     def latest_keys(self) -> DataFrame:
@@ -144,7 +105,7 @@ class SessionGraph:
     @cached_property
     def stale(self) -> DataFrame:
         return materialize(
-            spread_downstream(self.directly_stale, self.dependencies, self.fold_limit), "stale"
+            spread_downstream(self.directly_stale, self.dependencies), "stale"
         )
 
     @cached_property
@@ -228,7 +189,7 @@ class SessionGraph:
     def superseded_steps(self) -> DataFrame:
         """Steps that take over the superseded state in the expanded view."""
         older = self._shown(True).where(~F.col("is_latest")).select("session_id", "step_number")
-        spread = spread_downstream(older, self.step_links(True), self.fold_limit)
+        spread = spread_downstream(older, self.step_links(True))
         return materialize(spread.join(older.distinct(), ["session_id", "step_number"], "left_anti"), "superseded")
 
     def nodes(self, expanded: bool = False) -> DataFrame:

@@ -15,7 +15,7 @@ WRITES = ["write", "pwrite64", "writev", "pwritev", "pwritev2"]
 RENAMES = ["rename", "renameat", "renameat2"]
 
 
-def fork_heads(processes: DataFrame, max_rounds: int = 64) -> DataFrame:
+def fork_heads(processes: DataFrame) -> DataFrame:
     """(run_id, pid, head): the nearest ancestor-or-self that runs another command than its parent.
 
     Pointers double every round, so a chain of n forks takes log n joins.
@@ -28,9 +28,11 @@ def fork_heads(processes: DataFrame, max_rounds: int = 64) -> DataFrame:
         "forks",
     )
     settled, open_ = state.where("done"), state.where(~F.col("done"))
-    for _ in range(max_rounds):
-        if is_empty(open_):
-            return settled.select("run_id", "pid", "head")
+    reach, processes_left = 1, state.count()
+    while not is_empty(open_):
+        if reach > processes_left:
+            raise RuntimeError("process parents form a cycle")
+        reach *= 2
         hop = settled.unionByName(open_).select(
             "run_id", F.col("pid").alias("head"), F.col("head").alias("_next"), F.col("done").alias("_next_done")
         )
@@ -39,7 +41,7 @@ def fork_heads(processes: DataFrame, max_rounds: int = 64) -> DataFrame:
             "forks",
         )
         settled, open_ = settled.unionByName(moved.where("done")), moved.where(~F.col("done"))
-    raise RuntimeError("process parents form a cycle")
+    return settled.select("run_id", "pid", "head")
 
 
 def summarize_processes(processes: DataFrame) -> DataFrame:

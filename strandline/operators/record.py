@@ -12,9 +12,6 @@ from strandline.functions.references import primary_script
 from strandline.operators.edges import newest
 from strandline.scale import is_empty, latest, materialize, multiset_digest, running_rank
 
-# Jobs with more paths than this get their identity from sums instead of a joined text.
-JOINED_PATHS = 50_000
-
 
 def normal_edges(edges: DataFrame, home: str) -> DataFrame:
     """(job_id, direction, path) with paths as step identities see them; ``repo_root`` is a column."""
@@ -23,38 +20,15 @@ def normal_edges(edges: DataFrame, home: str) -> DataFrame:
     )
 
 
-def step_identities(
-    jobs: DataFrame, edges: DataFrame, home: str = "/root", joined_paths: int = JOINED_PATHS
-) -> DataFrame:
+def step_identities(jobs: DataFrame, edges: DataFrame, home: str = "/root") -> DataFrame:
     """(job_id, step_identity) from normalised inputs and outputs; repeated paths count.
 
-    A job without files is identified by its script or command. A job with more than
-    ``joined_paths`` paths is digested from mergeable sums: the number of paths is part of what
-    makes two steps equal, so both ways never meet for equal steps.
+    The paths of a side are digested from mergeable sums, so jobs with any number of files are
+    identified alike. A job without files is identified by its script or command.
     """
-    paths = normal_edges(edges, home)
-    sizes = paths.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
-    wide_jobs = sizes.where(F.col("n") > joined_paths).select("job_id")
-    has_wide = not is_empty(wide_jobs)
-    narrow = paths.join(wide_jobs, "job_id", "left_anti") if has_wide else paths
-
-    def side(name: str) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("direction") == name, F.col("path"))))
-
-    text = F.concat(
-        F.array(F.lit("INPUTS:")), F.col("ins"), F.array(F.lit("OUTPUTS:")), F.col("outs")
-    )
-    identities = narrow.groupBy("job_id").agg(side("in").alias("ins"), side("out").alias("outs")).select(
-        "job_id", F.sha2(F.array_join(text, "\0"), 256).alias("step_identity")
-    )
-    if has_wide:
-        summed = paths.join(wide_jobs, "job_id", "left_semi").groupBy("job_id").agg(
-            multiset_digest(F.when(F.col("direction") == "in", F.col("path"))).alias("ins"),
-            multiset_digest(F.when(F.col("direction") == "out", F.col("path"))).alias("outs"),
-        )
-        identities = identities.unionByName(
-            summed.select("job_id", F.sha2(F.concat_ws("|", F.lit("WIDE"), "ins", "outs"), 256).alias("step_identity"))
-        )
+    identities = normal_edges(edges, home).groupBy("job_id").agg(
+        *[multiset_digest(F.when(F.col("direction") == side, F.col("path"))).alias(side) for side in ("in", "out")]
+    ).select("job_id", F.sha2(F.concat_ws("|", F.lit("FILES"), "in", "out"), 256).alias("step_identity"))
     own = F.sha2(F.concat(F.lit("COMMAND:"), F.coalesce(primary_script(F.col("command")), "command")), 256)
     return jobs.select(F.col("id").alias("job_id"), "command").join(identities, "job_id", "left").select(
         "job_id", F.coalesce("step_identity", own).alias("step_identity")
@@ -86,7 +60,7 @@ def hashable_files(files: DataFrame, inventory: DataFrame) -> DataFrame:
     return files.join(inventory.select("path").distinct(), "path", "left_semi")
 
 
-def component_labels(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def component_labels(edges: DataFrame) -> DataFrame:
     """(node, label) of every node in ``edges`` (a, b): the least node of its component.
 
     Alternating large-star and small-star rounds: each needs one aggregate and one join, and the
@@ -94,7 +68,7 @@ def component_labels(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """
     pair = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
     current = materialize(edges.where(F.col("a") != F.col("b")).select(*pair).distinct(), "stars")
-    for _ in range(max_rounds):
+    while True:
         # Settled when every node hangs on one centre and no centre hangs on another.
         inner = current.join(current.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a")
         double = current.groupBy("a").count().where(F.col("count") > 1).select("a")
@@ -113,8 +87,6 @@ def component_labels(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             .distinct()
         )
         current = materialize(small, "stars")
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     centres = current.select(F.col("b").alias("node")).distinct().withColumn("label", F.col("node"))
     return current.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(centres)
 

@@ -169,8 +169,7 @@ def _(w):
 
 CONSISTENCY = """consistency as (
   select session_id, count(distinct git_commit) <= 1 as consistent, count(distinct git_commit) as commits,
-         case when count(distinct git_commit) > 1 then 'Pipeline has ' || count(distinct git_commit) || ' different git commits: '
-              || string_agg(distinct left(git_commit, 8), ', ' order by left(git_commit, 8)) end as warning
+         case when count(distinct git_commit) > 1 then 'Pipeline has ' || count(distinct git_commit) || ' different git commits' end as warning
   from jobs group by session_id)"""
 
 
@@ -179,6 +178,11 @@ def _(w):
     return E.git_consistency(w.jobs)
 
 
+@query("session_commits", "E3", duckdb_query("select distinct session_id, git_commit from jobs where git_commit <> ''"))
+def _(w):
+    return E.session_commits(w.jobs)
+
+
 @query("session_summary", "E4", duckdb_query("""
 select s.id as session_id, s.hash, s.is_active, coalesce(t.n, 0) as total_steps, t.last_step,
        coalesce(c.consistent, true) as git_consistent, c.warning as git_warning

@@ -58,9 +58,14 @@ IDENTITIES = (FILES, """idents as (
     from normals group by job_id) e on e.job_id = j.id)""")
 
 
-@query("step_identities", "B4", duckdb_query("select job_id, step_identity from idents", *IDENTITIES))
-def _(w):
-    return B.step_identities(w.jobs, _files(w), "/home/u")
+# Identities are digests of their own; what must agree is which jobs share one.
+@query("step_identities", "B4", duckdb_query("""
+select i.job_id, c.first_job, c.jobs from idents i join (
+  select step_identity, min(job_id) as first_job, count(*) as jobs from idents group by step_identity) c on c.step_identity = i.step_identity""", *IDENTITIES))
+def _(w):
+    found = B.step_identities(w.jobs, _files(w), "/home/u")
+    classes = found.groupBy("step_identity").agg(F.min("job_id").alias("first_job"), F.count(F.lit(1)).alias("jobs"))
+    return found.join(classes, "step_identity").select("job_id", "first_job", "jobs")
 
 
 # Identity of a job for numbering: its script within a branch.

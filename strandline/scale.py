@@ -144,16 +144,17 @@ def match_prefixes(
     a prefix shared by many values is folded to (min, max) before it meets its key.
     """
     wanted = keys.select(F.col(key)).where(F.length(key) >= min_len).distinct()
-    # At most one entry per possible digest length.
-    lengths = sorted(
-        r[0] for r in wanted.select(F.length(key)).where(F.length(key) <= 128).distinct().collect()
-    )
-    cut = table.select(
-        F.col(entity).alias("_entity"),
+    lengths = sorted(r[0] for r in wanted.select(F.length(key)).distinct().collect())  # a few distinct lengths
+    if not lengths:
+        return table.select(F.lit(None).cast("string").alias(key), entity).limit(0)
+    # Values that start like no key are gone before the rest are cut to every length.
+    short = wanted.select(F.substring(key, 1, lengths[0]).alias("_short")).distinct()
+    likely = table.select(F.col(entity).alias("_entity"), F.col(value).alias("_value")).where(F.length("_value") >= lengths[0])
+    likely = likely.withColumn("_short", F.substring("_value", 1, lengths[0])).join(short, "_short", "left_semi")
+    cut = likely.select(
+        "_entity",
         F.explode(
-            F.array(
-                *[F.when(F.length(value) >= n, F.substring(value, 1, n)) for n in lengths]
-            ).cast("array<string>")
+            F.array(*[F.when(F.length("_value") >= n, F.substring("_value", 1, n)) for n in lengths]).cast("array<string>")
         ).alias(key),
     ).where(F.col(key).isNotNull())
     folded = (

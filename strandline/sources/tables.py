@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote, urlparse
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandline.functions.hashing import digest_columns
 from strandline.schemas import INJECT_REPORT, LINEAGE, PIPELINE_DOCUMENT, TRACE_REPORT
 
-# Spark's binaryFile source keeps a file in one row, which holds less than 2 GiB.
-LARGEST_FILE = 2**31 - 16 * 1024 * 1024
+# Fixed value: how much of a file is hashed at a time.
+HASH_CHUNK = 8 * 1024 * 1024
 
 
 def read_lineage(
@@ -57,7 +61,7 @@ def read_trace_reports(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_inject_reports(spark: SparkSession, folder: str, runs: DataFrame) -> DataFrame:
     """One row per run of ``runs`` (run_id); an absent or malformed report gives defaults."""
-    schema = INJECT_REPORT.add("_corrupt_record", "string") if "_corrupt_record" not in INJECT_REPORT.names else INJECT_REPORT
+    schema = T.StructType([*INJECT_REPORT.fields, T.StructField("_corrupt_record", T.StringType())])
     raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(folder)
     named = raw.select(_run_id().alias("run_id"), *INJECT_REPORT.names)
     rows = runs.select("run_id").distinct().join(named, "run_id", "left")
@@ -66,24 +70,36 @@ def read_inject_reports(spark: SparkSession, folder: str, runs: DataFrame) -> Da
         "run_id",
         *[
             F.coalesce(f.name, defaults[f.dataType.typeName()].cast(f.dataType)).alias(f.name)
-            for f in INJECT_REPORT.fields if f.name != "_corrupt_record"
+            for f in INJECT_REPORT.fields
         ],
     )
 
 
 def hash_files(spark: SparkSession, folder: str, algorithms: Sequence[str] = ("sha256",)) -> DataFrame:
-    """(path, size, digests…, too_large): every digest from one read of a file.
+    """(path, size, digests…): every digest from one read of a file of any size.
 
-    Files past the size of a row are listed with ``too_large`` and no digest.
+    Tasks read the shared file system in chunks, so no file has to fit in memory.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    small = files.where(F.col("length") < LARGEST_FILE).select(
-        "path", F.col("length").alias("size"), *digest_columns(F.col("content"), algorithms), F.lit(False).alias("too_large")
-    )
-    large = files.where(F.col("length") >= LARGEST_FILE).select(
-        "path", F.col("length").alias("size"), *[F.lit(None).cast("string").alias(a) for a in algorithms], F.lit(True).alias("too_large")
-    )
-    return small.unionByName(large)
+    unknown = [a for a in algorithms if a not in hashlib.algorithms_available]
+    if unknown:
+        raise ValueError(f"unknown digest algorithms: {', '.join(unknown)}")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, size in zip(batch["path"], batch["length"]):
+                found = [hashlib.new(a) for a in algorithms]
+                local = path.startswith("file:")
+                store, place = (fs.LocalFileSystem(), unquote(urlparse(path).path)) if local else fs.FileSystem.from_uri(path)
+                with store.open_input_stream(place) as source:
+                    while chunk := source.read(HASH_CHUNK):
+                        for h in found:
+                            h.update(chunk)
+                rows.append((path, size, *[h.hexdigest() for h in found]))
+            yield pd.DataFrame(rows, columns=["path", "size", *algorithms])
+
+    return listed.repartition("path").mapInPandas(digest, "path string, size bigint" + "".join(f", `{a}` string" for a in algorithms))
 
 
 def read_debug_logs(spark: SparkSession, folder: str) -> DataFrame:

@@ -207,9 +207,22 @@ def test_wide_identities(spark):
     edges = spark.createDataFrame(
         [(j, d, f"/r/f{k}", "/r") for j in (0, 1) for d in ("in", "out") for k in range(5)] + [(2, "in", "/r/f1", "/r")],
         "job_id int, direction string, path string, repo_root string")
-    for limit in (100, 3):
-        ids = {r.job_id: r.step_identity for r in B.step_identities(jobs, edges, joined_paths=limit).collect()}
-        assert ids[0] == ids[1] and len(set(ids.values())) == 3
+    ids = {r.job_id: r.step_identity for r in B.step_identities(jobs, edges).collect()}
+    assert ids[0] == ids[1] and len(set(ids.values())) == 3
+
+
+def test_long_keys_and_many_commits(spark):
+    from strandline.operators.summary import git_consistency, session_commits
+    from strandline.scale import match_prefixes
+
+    values = spark.createDataFrame([("x" * 140, 1), ("x" * 139 + "y", 2), ("ab", 3)], "digest string, owner int")
+    keys = spark.createDataFrame([("x" * 140,), ("x" * 139,), ("a",), ("zz",)], "k string")
+    assert {tuple(r) for r in match_prefixes(keys, "k", values, "digest", "owner").collect()} == {("x" * 140, 1), ("a", 3)}
+    assert match_prefixes(keys.limit(0), "k", values, "digest", "owner").count() == 0
+    jobs = spark.range(150).selectExpr("1L as session_id", "concat('c', id) as git_commit")
+    row = git_consistency(jobs).first()
+    assert (row.consistent, row.commits, row.warning) == (False, 150, "Pipeline has 150 different git commits")
+    assert session_commits(jobs).count() == 150
 
 
 def test_components(spark):

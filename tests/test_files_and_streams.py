@@ -59,7 +59,7 @@ def test_hashing_and_logs(spark, tmp_path):
     write(tmp_path / "f" / "a.bin", "hello")
     row = T.hash_files(spark, str(tmp_path / "f"), ["sha256", "md5", "sha512"]).first()
     assert (row.sha256, row.md5, row.sha512) == tuple(hashlib.new(a, b"hello").hexdigest() for a in ("sha256", "md5", "sha512"))
-    assert row.size == 5 and not row.too_large
+    assert row.size == 5
     write(tmp_path / "w" / "run-7" / "logs" / "debug.log", "x\nfinishing run me/proj/abc\n")
     write(tmp_path / "w" / "run-7" / "files" / "wandb-metadata.json", '{"run_id": "abc", "project": "proj"}')
     log = T.read_debug_logs(spark, str(tmp_path / "w")).first()
@@ -103,9 +103,9 @@ def test_syscall_stream_equals_batch(spark, tmp_path):
         a, b = lo + (hi - lo) * i // 3, lo + (hi - lo) * (i + 1) // 3 + (1 if i == 2 else 0)
         every.where((F.col("ts") >= a) & (F.col("ts") < b)).coalesce(1).write.parquet(f"{tmp_path}/src/part={i}")
     live = LiveFileSets(f"{tmp_path}/live")
-    for i in range(3):
-        live.process(spark.read.schema(every.schema).parquet(f"{tmp_path}/src/part={i}"), i)
-    live.process(spark.read.schema(every.schema).parquet(f"{tmp_path}/src/part=2"), 2)  # a batch run again
+    for batch, i in enumerate((2, 0, 1)):  # out of order
+        live.process(spark.read.schema(every.schema).parquet(f"{tmp_path}/src/part={i}"), batch)
+    live.process(spark.read.schema(every.schema).parquet(f"{tmp_path}/src/part=1"), 2)  # a batch run again
     cols = ["run_id", "path", "opened", "read", "written"]
     assert sorted(map(str, live.current(spark).select(*cols).collect())) == want
 
@@ -113,7 +113,7 @@ def test_syscall_stream_equals_batch(spark, tmp_path):
 def test_syscall_stream_runs(spark, tmp_path):
     log, _ = _events(spark)
     log.coalesce(1).write.parquet(f"{tmp_path}/src")
-    live = LiveFileSets(f"{tmp_path}/live", idle=10**15)
+    live = LiveFileSets(f"{tmp_path}/live")
     source = spark.readStream.schema(log.schema).parquet(f"{tmp_path}/src")
     live.start(source, f"{tmp_path}/check").awaitTermination(120)
     assert live.current(spark).count() == J.file_sets(log).count()
@@ -134,6 +134,22 @@ def test_live_jobs(spark, tmp_path):
     assert {(r.direction, r.artifact_id) for r in live.links(spark).collect()} == {("inputs", "a"), ("inputs", "b"), ("outputs", "c")}
 
 
+def test_a_late_read_and_late_jobs(spark, tmp_path):
+    schema = "run_id bigint, pid bigint, ts bigint, seq bigint, syscall string, fd int, path string, child_pid bigint"
+    batches = [[(1, 1, 10, 1, "open", 3, "/a", None), (1, 1, 30, 2, "open", 3, "/b", None)], [(1, 1, 20, 3, "read", 3, None, None)]]
+    live = LiveFileSets(f"{tmp_path}/sets")
+    for i, rows in enumerate(batches):
+        live.process(spark.createDataFrame(rows, schema), i)
+    assert {(r.path, r.read) for r in live.current(spark).collect()} == {("/a", True), ("/b", False)}
+    events = "event_id bigint, job_uid string, ts bigint, session_id bigint, command string, status string, exit_code int, inputs array<struct<artifact_id:string,path:string>>, outputs array<struct<artifact_id:string,path:string>>"
+    for i, ts in enumerate((10**6, 1, 500, 2)):
+        spark.createDataFrame([(i, f"u{i}", ts, 1, "c", "done", 0, [], [])], events).coalesce(1).write.mode("append").parquet(f"{tmp_path}/src")
+    jobs = LiveJobs(f"{tmp_path}/jobs")
+    source = spark.readStream.option("maxFilesPerTrigger", 1).schema(events).parquet(f"{tmp_path}/src")
+    jobs.start(source, f"{tmp_path}/check").awaitTermination(120)
+    assert jobs.jobs(spark).count() == 4
+
+
 def test_live_staleness(spark, tmp_path):
     w = World(spark, FOLDER)
     want = sorted(map(tuple, SessionGraph(w.jobs, w.inputs, w.outputs, w.artifacts).stale.select("session_id", "step_number").collect()))
