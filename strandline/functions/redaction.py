@@ -8,6 +8,8 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,11 @@ class SecretPattern:
 
     @property
     def jvm(self) -> str:
-        """The pattern with Unicode classes, as Python text patterns have them."""
-        return ("(?iuU)" if self.ignore_case else "(?U)") + self.regex
+        """The pattern with Unicode classes, as Python text patterns have them, and Java's named groups."""
+        regex = self.regex
+        for i, name in enumerate(re.findall(r"\(\?P<(\w+)>", regex)):
+            regex = regex.replace(f"(?P<{name}>", f"(?<named{i}>").replace(f"(?P={name})", rf"\k<named{i}>")
+        return ("(?iuU)" if self.ignore_case else "(?U)") + regex
 
     @property
     def python(self) -> re.Pattern:
@@ -99,16 +104,28 @@ class RedactionRules:
     env_names: Sequence[str] = field(default_factory=lambda: list(ENV_NAMES))
 
     def usable_custom(self) -> list[SecretPattern]:
-        """Custom patterns that compile; invalid ones are skipped."""
+        """Custom patterns that compile for Python and for Java, which runs them; others are skipped."""
+        context = SparkContext._active_spark_context
         usable = []
         for pattern in self.custom:
             try:
                 pattern.python
-            except re.error:
+                if context is not None:
+                    context._jvm.java.util.regex.Pattern.compile(pattern.jvm)
+            except (re.error, Py4JJavaError):
                 continue
             usable.append(pattern)
         return usable
 
+    def may_find(self, text: Column, blank_env: bool = False) -> Column:
+        """Whether filtering the leaves of a JSON text can change it; backslashes may hide anything."""
+        if self.custom:
+            return F.lit(True)
+        hit = _may_match_any(_folded(text)) | text.contains("\\")
+        for needle in [*filter(None, self.secrets), *(self.env_names if blank_env else ())]:
+            hit = hit | text.contains(needle)
+        return hit
+
 
 def redact(text: Column, rules: RedactionRules = RedactionRules()) -> Column:
     """The redacted text, without counts: one expression, usable inside ``transform``."""
@@ -133,7 +150,7 @@ def redact(text: Column, rules: RedactionRules = RedactionRules()) -> Column:
 
     text = F.transform(F.array(F.struct(text.alias("text"), _folded(text).alias("folded"))), builtin)[0]
     for pattern in rules.usable_custom():
-        text = F.regexp_replace(text, "(?U)" + pattern.regex, pattern.replacement)
+        text = F.regexp_replace(text, pattern.jvm, pattern.replacement)
     return text
 
 
@@ -203,7 +220,7 @@ def redaction(text: Column, rules: RedactionRules = RedactionRules()) -> Column:
 
     current = F.transform(F.transform(F.array(current), fold), builtin)[0]
     for pattern in rules.usable_custom():
-        current = regex_stage(current, pattern.id, "(?U)" + pattern.regex, pattern.replacement)
+        current = regex_stage(current, pattern.id, pattern.jvm, pattern.replacement)
     return current
 
 
@@ -253,6 +270,13 @@ def redact_with_allow_list(rules: RedactionRules):
     return apply
 
 
+def redacted_json(text: Column, rules: RedactionRules = RedactionRules(), blank_env: bool = True) -> Column:
+    """JSON text with its string leaves filtered. Text that holds nothing of what a match needs stays as
+    it is, inside the JVM; only the rest goes to Python."""
+    possible = rules.may_find(text, blank_env)
+    return F.when(possible, redact_json(rules, blank_env)(F.when(possible, text))["filtered"]).otherwise(text)
+
+
 def redact_json(rules: RedactionRules = RedactionRules(), blank_env: bool = True):
     """Arrow UDF over JSON text of any shape: every string leaf is filtered; invalid JSON as text."""
     run = _python_filter(rules)

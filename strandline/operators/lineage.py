@@ -163,13 +163,15 @@ def latest_builds(jobs: DataFrame) -> DataFrame:
     return builds
 
 
-def io_signatures(job_ids: DataFrame, jobs: DataFrame, inputs: DataFrame, outputs: DataFrame, hashes: DataFrame) -> DataFrame:
-    """(job_id, signature): equal for jobs with equal input and output digests.
+def io_signatures(
+    job_ids: DataFrame, jobs: DataFrame, inputs: DataFrame, outputs: DataFrame, hashes: DataFrame, algorithm: str | None = None
+) -> DataFrame:
+    """(job_id, signature): equal for jobs with equal input and output digests of the primary ``algorithm``.
 
     Jobs without digests get a signature of their own. The digests of a job are summed, not
     listed, so a job with any number of files stays distributed.
     """
-    digests = primary_digests(hashes, strict=True)
+    digests = primary_digests(hashes, algorithm, strict=True)
     edges = inputs.select("job_id", "artifact_id", F.lit("in").alias("direction")).unionByName(
         outputs.select("job_id", "artifact_id", F.lit("out").alias("direction"))
     ).join(job_ids.select("job_id").distinct(), "job_id", "left_semi")
@@ -197,7 +199,8 @@ def drop_reruns(candidates: DataFrame, signatures: DataFrame) -> DataFrame:
 
 
 def collect_lineage(
-    targets: DataFrame, jobs: DataFrame, inputs: DataFrame, outputs: DataFrame, hashes: DataFrame, max_depth: int = 10
+    targets: DataFrame, jobs: DataFrame, inputs: DataFrame, outputs: DataFrame, hashes: DataFrame, max_depth: int = 10,
+    algorithm: str | None = None,
 ) -> DataFrame:
     """Jobs to register per group: lineage of its targets and its session's builds, re-runs dropped.
 
@@ -210,19 +213,21 @@ def collect_lineage(
     )
     listed = materialize(needed.unionByName(builds).distinct(), "collected")
     timed = listed.join(jobs.select(F.col("id").alias("job_id"), "timestamp"), "job_id")
-    return drop_reruns(timed, io_signatures(listed, jobs, inputs, outputs, hashes)).select(
+    return drop_reruns(timed, io_signatures(listed, jobs, inputs, outputs, hashes, algorithm)).select(
         "group_id", "job_id", "timestamp"
     )
 
 
-def referenced_digests(job_ids: DataFrame, inputs: DataFrame, outputs: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Distinct digests a job set reads or writes, per group."""
+def referenced_digests(
+    job_ids: DataFrame, inputs: DataFrame, outputs: DataFrame, hashes: DataFrame, algorithm: str | None = None
+) -> DataFrame:
+    """Distinct digests of the primary ``algorithm`` that a job set reads or writes, per group."""
     edges = inputs.select("job_id", "artifact_id").unionByName(outputs.select("job_id", "artifact_id"))
     return (
         edges.join(job_ids.select("group_id", "job_id"), "job_id")
         .select("group_id", "artifact_id")
         .distinct()
-        .join(primary_digests(hashes, strict=True), "artifact_id")
+        .join(primary_digests(hashes, algorithm, strict=True), "artifact_id")
         .select("group_id", "digest")
         .distinct()
     )

@@ -92,8 +92,9 @@ def written_files(outputs: DataFrame, artifacts: DataFrame) -> DataFrame:
 def newest_artifacts(artifacts: DataFrame, outputs: DataFrame, n: int = 100) -> DataFrame:
     """The newest artifacts with one of their output paths; only the n kept meet the edges."""
     kept = artifacts.orderBy(F.col("first_seen_at").desc(), F.col("id").desc()).limit(n)
-    paths = outputs.groupBy("artifact_id").agg(F.min("path").alias("path"))
-    return kept.withColumnRenamed("id", "artifact_id").join(paths, "artifact_id", "left")
+    kept = kept.withColumnRenamed("id", "artifact_id")
+    paths = outputs.join(kept.select("artifact_id"), "artifact_id", "left_semi").groupBy("artifact_id").agg(F.min("path").alias("path"))
+    return kept.join(paths, "artifact_id", "left")
 
 
 def recent_outputs(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions.paths import normal_path
 from strandline.functions.references import primary_script
 from strandline.operators.edges import newest
+from strandline.schemas import LINEAGE
 from strandline.scale import is_empty, latest, materialize, multiset_digest, running_rank
 
 
@@ -91,39 +92,62 @@ def component_labels(edges: DataFrame) -> DataFrame:
     return current.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(centres)
 
 
-def resolve_artifacts(sightings: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """One artifact per set of sightings connected by equal digests.
-
-    ``sightings`` has (sighting_id, algorithm, digest), ``existing`` the stored (artifact_id,
-    algorithm, digest). Gives (sighting_id, artifact_id, created). Copies of one file fold to one
-    digest before the components are computed, so many copies cost nothing extra.
-    """
+def _resolve(sightings: DataFrame, existing: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """(sighting_id, label) and, of stored artifacts, (artifact_id, label, seen)."""
     key = F.concat_ws(":", "algorithm", F.lower("digest"))
     seen = materialize(sightings.select("sighting_id", key.alias("k")).distinct(), "sightings")
-    stored = None
     links = seen.groupBy("sighting_id").agg(F.min("k").alias("home"), F.max("k").alias("last"))
     pairs = seen.join(links.where(F.col("home") != F.col("last")), "sighting_id").select(
         F.col("home").alias("a"), F.col("k").alias("b")
     )
+    stored = None
     if existing is not None:
-        stored = existing.select("artifact_id", key.alias("k"))
+        # Only stored artifacts that share a digest with the sightings can matter, with all their digests.
+        at = F.col("first_seen_at") if "first_seen_at" in existing.columns else F.lit(0.0)
+        keyed = existing.select("artifact_id", key.alias("k"), at.cast("double").alias("seen"))
+        touched = keyed.join(seen.select("k").distinct(), "k", "left_semi").select("artifact_id").distinct()
+        stored = materialize(keyed.join(touched, "artifact_id", "left_semi"), "touched-artifacts")
         heads = stored.groupBy("artifact_id").agg(F.min("k").alias("home"))
         pairs = pairs.unionByName(stored.join(heads, "artifact_id").select(F.col("home").alias("a"), F.col("k").alias("b")))
     labels = component_labels(pairs)
     homes = links.select("sighting_id", F.col("home").alias("node")).join(labels, "node", "left").select(
         "sighting_id", F.coalesce("label", "node").alias("label")
     )
-    made = F.left(F.sha2("label", 256), F.lit(32))
     if stored is None:
+        return homes, None
+    held = stored.withColumnRenamed("k", "node").join(labels, "node", "left").groupBy("artifact_id").agg(
+        F.min(F.coalesce("label", "node")).alias("label"), F.min("seen").alias("seen")
+    )
+    return homes, materialize(held, "held")
+
+
+def resolve_artifacts(sightings: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """One artifact per set of sightings connected by equal digests.
+
+    ``sightings`` has (sighting_id, algorithm, digest), ``existing`` the stored (artifact_id,
+    algorithm, digest[, first_seen_at]). Gives (sighting_id, artifact_id, created). Where several stored
+    artifacts turn out to be one, the earliest seen owns it. Copies of one file fold to one digest
+    before the components are computed, so many copies cost nothing extra.
+    """
+    return _owned(*_resolve(sightings, existing))
+
+
+def _owned(homes: DataFrame, held: DataFrame | None) -> DataFrame:
+    made = F.left(F.sha2("label", 256), F.lit(32))
+    if held is None:
         return homes.select("sighting_id", made.alias("artifact_id"), F.lit(True).alias("created"))
-    owners = stored.withColumnRenamed("k", "node").join(labels, "node", "left").groupBy(
-        F.coalesce("label", "node").alias("label")
-    ).agg(F.min("artifact_id").alias("owner"))
+    owners = held.groupBy("label").agg(F.min_by("artifact_id", F.struct("seen", "artifact_id")).alias("owner"))
     return homes.join(owners, "label", "left").select(
         "sighting_id", F.coalesce("owner", made).alias("artifact_id"), F.col("owner").isNull().alias("created")
     )
 
 
+def _merged(held: DataFrame) -> DataFrame:
+    """(artifact_id, owner) of stored artifacts that have become part of an earlier one."""
+    owners = held.groupBy("label").agg(F.min_by("artifact_id", F.struct("seen", "artifact_id")).alias("owner"))
+    return held.join(owners, "label").where(F.col("artifact_id") != F.col("owner")).select("artifact_id", "owner")
+
+
 def first_sightings(sightings: DataFrame) -> DataFrame:
     """First time and path of every artifact; ``sightings`` has (artifact_id, timestamp, job_id, path, size)."""
     first = F.min(F.struct("timestamp", "job_id", "path"))
@@ -239,18 +263,36 @@ class LineageTables:
     job_inputs: DataFrame
     job_outputs: DataFrame
     sessions: DataFrame
+    # Stored artifacts that were found to be another: (artifact_id, owner). Only after appending.
+    merged: DataFrame | None = None
+
+
+def _as_stored(df: DataFrame, table: str) -> DataFrame:
+    """The columns of a stored table in its types; what is not known is null."""
+    return df.select(*[
+        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in LINEAGE[table].fields
+    ])
 
 
 def record_runs(
-    runs: DataFrame, files: DataFrame, digests: DataFrame, home: str = "/root"
+    runs: DataFrame, files: DataFrame, digests: DataFrame, home: str = "/root", stored: LineageTables | None = None
 ) -> LineageTables:
-    """All lineage tables from run facts.
+    """Lineage tables from run facts: those of the runs alone, or what a batch adds to ``stored``.
+
+    ``runs``: (run_id, session_id, timestamp, command, repo_root, git_commit, job_type and, if known, other
+    columns of jobs); ``files``: (run_id, direction, path); ``digests``: (path, run_id, algorithm,
+    digest, size) of the files that could be hashed. Files without a digest are dropped.
 
-    ``runs``: (run_id, session_id, timestamp, command, repo_root, git_commit, job_type);
-    ``files``: (run_id, direction, path); ``digests``: (path, run_id, algorithm, digest, size) of
-    the files that could be hashed. Files without a digest are dropped.
+    Appending reads the stored jobs of the batch's sessions and the stored artifacts that share a digest with
+    it: step numbers, ids and artifacts go on from there. ``with_recording`` gives the tables
+    after it. Runs must have ids that are not stored yet; jobs also keep ``run_id``.
     """
-    jobs = materialize(job_rows(runs), "jobs")
+    text_ids = job_rows(runs)
+    top = F.lit(0).cast("bigint")
+    if stored is not None:
+        top = F.lit(stored.jobs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]).cast("bigint")
+    ranked = running_rank(text_ids.withColumn("_all", F.lit(0)), ["_all"], [F.col("timestamp"), F.col("run_id")], "_nth")
+    jobs = materialize(ranked.withColumn("id", top + F.col("_nth")).drop("_all", "_nth"), "jobs")
     keys = jobs.select(F.col("id").alias("job_id"), "run_id", "session_id", "timestamp", "repo_root", "job_type")
     edges = files.join(digests.select("run_id", "path").distinct(), ["run_id", "path"], "left_semi").join(keys, "run_id")
     edges = materialize(edges.where(F.coalesce("job_type", F.lit("run")) != "build"), "edges")
@@ -258,27 +300,70 @@ def record_runs(
     digests = digests.join(edges.select("run_id", "path").distinct(), ["run_id", "path"], "left_semi")
     identities = step_identities(jobs, edges, home)
     numbered = jobs.withColumnRenamed("id", "job_id").join(identities, "job_id")
-    numbers = number_steps(numbered.select("session_id", "job_id", "timestamp", "step_identity"))
+    mine = None
+    if stored is not None:
+        mine = stored.jobs.join(jobs.select("session_id").distinct(), "session_id", "left_semi")
+    known = None if mine is None else mine.where("step_identity is not null").groupBy("session_id", "step_identity").agg(
+        F.min("step_number").alias("step_number"))
+    numbers = number_steps(numbered.select("session_id", "job_id", "timestamp", "step_identity"), known)
     stepped = materialize(
         numbered.join(numbers, ["session_id", "step_identity"]).withColumnRenamed("job_id", "id"), "steps"
     )
     sighting = F.concat_ws("\0", "run_id", "path")
-    owners = materialize(resolve_artifacts(digests.select(sighting.alias("sighting_id"), "algorithm", "digest")), "owners")
+    sights = digests.select(sighting.alias("sighting_id"), "algorithm", F.lower("digest").alias("digest"))
+    existing = None
+    if stored is not None:
+        first = stored.artifacts.select(F.col("id").alias("artifact_id"), "first_seen_at")
+        existing = stored.artifact_hashes.join(first, "artifact_id", "left")
+    homes, held = _resolve(sights, existing)
+    owners = materialize(_owned(homes, held), "owners")
+    merged = None if held is None else materialize(_merged(held), "merged")
     placed = edges.withColumn("sighting_id", sighting).join(owners, "sighting_id")
     sizes = digests.groupBy("run_id", "path").agg(F.max("size").alias("size"))
-    sights = placed.join(sizes, ["run_id", "path"])
-    hashes = (
-        digests.select(sighting.alias("sighting_id"), "algorithm", F.lower("digest").alias("digest"))
-        .join(owners, "sighting_id")
-        .select("artifact_id", "algorithm", "digest")
-        .distinct()
-    )
-    sessions = session_commit_range(stepped).join(session_current_step(stepped), "session_id", "full")
+    created = placed.where("created").join(sizes, ["run_id", "path"])
+    hashes = sights.join(owners, "sighting_id").select("artifact_id", "algorithm", "digest").distinct()
+    if stored is not None:
+        hashes = hashes.join(stored.artifact_hashes, ["artifact_id", "algorithm", "digest"], "left_anti")
+    new_jobs = _as_stored(stepped, "jobs")
+    every = new_jobs if mine is None else new_jobs.unionByName(mine.select(*new_jobs.columns))
+    sessions = session_commit_range(every).join(session_current_step(every), "session_id", "full").join(
+        every.groupBy("session_id").agg(F.min("timestamp").alias("created_at"), F.max_by("git_repo", F.struct("timestamp", "id")).alias("git_repo")),
+        "session_id", "left",
+    ).withColumnRenamed("session_id", "id").withColumn("hash", F.sha2(F.concat(F.lit("session:"), F.col("id")), 256)).withColumn("is_active", F.lit(False))
+    if stored is not None:
+        old = stored.sessions.select("id", F.col("hash").alias("_hash"), F.col("is_active").alias("_active"), F.col("created_at").alias("_at"))
+        sessions = sessions.join(old, "id", "left").withColumns({
+            "hash": F.coalesce("_hash", "hash"), "is_active": F.coalesce("_active", "is_active"), "created_at": F.coalesce("_at", "created_at")})
     return LineageTables(
-        jobs=stepped,
-        artifacts=first_sightings(sights),
+        jobs=new_jobs.join(stepped.select("id", "run_id"), "id"),
+        artifacts=_as_stored(first_sightings(created), "artifacts"),
         artifact_hashes=hashes,
         job_inputs=new_edges(placed.where(F.col("direction") == "in")),
         job_outputs=new_edges(placed.where(F.col("direction") == "out")),
-        sessions=sessions,
+        sessions=_as_stored(sessions, "sessions"),
+        merged=merged,
+    )
+
+
+def with_recording(stored: LineageTables, made: LineageTables) -> LineageTables:
+    """The stored tables after a batch: rows added, sessions replaced, edges of merged artifacts re-pointed."""
+    renamed = made.merged
+
+    def repointed(df: DataFrame, column: str = "artifact_id") -> DataFrame:
+        if renamed is None:
+            return df
+        names = renamed.select(F.col("artifact_id").alias(column), "owner")
+        moved = df.join(names, column, "left").withColumn(column, F.coalesce("owner", column))
+        return moved.select(*df.columns).distinct()
+
+    artifacts = stored.artifacts
+    if renamed is not None:
+        artifacts = artifacts.join(renamed.select(F.col("artifact_id").alias("id")), "id", "left_anti")
+    return LineageTables(
+        jobs=stored.jobs.select(*made.jobs.columns).unionByName(made.jobs),
+        artifacts=artifacts.select(*made.artifacts.columns).unionByName(made.artifacts),
+        artifact_hashes=repointed(stored.artifact_hashes.select(*made.artifact_hashes.columns)).unionByName(made.artifact_hashes),
+        job_inputs=repointed(stored.job_inputs).unionByName(made.job_inputs),
+        job_outputs=repointed(stored.job_outputs).unionByName(made.job_outputs),
+        sessions=stored.sessions.join(made.sessions.select("id"), "id", "left_anti").select(*made.sessions.columns).unionByName(made.sessions),
     )

@@ -46,7 +46,7 @@ def validate_jobs(jobs: DataFrame) -> DataFrame:
         _errors(
             (_missing("command"), "command is required"),
             (ts.isNull(), "timestamp is required"),
-            (ts <= 0, F.concat(F.lit("timestamp must be positive, got "), ts.cast("double").cast("string"))),
+            (ts <= 0, F.format_string("timestamp must be positive, got %.1f", ts.cast("double"))),
             (_missing("session_hash"), "session_hash is required"),
             (_missing("job_uid"), "job_uid is required"),
             (_missing("git_commit"), "git_commit is required"),
@@ -198,14 +198,14 @@ def session_hash(folder: Column, session_id: Column, suffix: Column) -> Column:
     return F.sha2(F.concat_ws(":", folder, F.coalesce(session_id.cast("string"), suffix)), 256)
 
 
-def artifact_payloads(artifacts: DataFrame) -> DataFrame:
-    """Payload rows of artifacts with a digest; a missing size counts as 0.
+def artifact_payloads(artifacts: DataFrame, algorithm: str = "sha256") -> DataFrame:
+    """Payload rows of artifacts with a digest of ``algorithm``; a missing size counts as 0.
 
     ``artifacts``: (session_hash, digest, size, source_type, source_url).
     """
     return artifacts.where(F.coalesce("digest", F.lit("")) != "").select(
         "session_hash",
-        F.array(F.struct(F.lit("sha256").alias("algorithm"), "digest")).alias("hashes"),
+        F.array(F.struct(F.lit(algorithm).alias("algorithm"), "digest")).alias("hashes"),
         F.coalesce("size", F.lit(0).cast("bigint")).alias("size"),
         "source_type",
         F.nullif("source_url", F.lit("")).alias("source_url"),
@@ -213,9 +213,34 @@ def artifact_payloads(artifacts: DataFrame) -> DataFrame:
 
 
 def payload_bytes(payloads: DataFrame) -> DataFrame:
-    """Adds ``bytes``: the JSON length of a payload row and the separator."""
-    fields = [c for c in ("hashes", "size", "source_type", "session_hash", "source_url") if c in payloads.columns]
-    return payloads.withColumn("bytes", F.length(F.to_json(F.struct(*fields))) + 2)
+    """Adds ``bytes``: the length of a payload row as ASCII JSON with blanks after its separators, and of the
+    separator to the next. A source type may be null; a URL is only there if it is set.
+    """
+    per_hash = F.aggregate(
+        "hashes", F.lit(0),
+        lambda total, h: total + len('{"algorithm": , "digest": }, ') + _json_text(h["algorithm"]) + _json_text(h["digest"]),
+    )
+    size = (
+        len('{"hashes": [], "size": , "source_type": , "session_hash": }') + per_hash - len(", ")
+        + F.length(F.col("size").cast("string")) + _json_text(F.col("source_type")) + _json_text(F.col("session_hash"))
+    )
+    if "source_url" in payloads.columns:
+        size = size + F.when(F.coalesce("source_url", F.lit("")) != "", len(', "source_url": ') + _json_text(F.col("source_url"))).otherwise(0)
+    return payloads.withColumn("bytes", (size + 2).cast("int"))
+
+
+def _json_text(text: Column) -> Column:
+    """Length of a text as an ASCII JSON string, or of null."""
+
+    def many(characters: str) -> Column:
+        return F.length(F.regexp_replace(text, f"[^{characters}]", ""))
+
+    two = many(r'"\\\n\r\t\x08\f')  # one more character each
+    six = many(r"\x00-\x07\x0b\x0e-\x1f\x80-\x{ffff}")
+    twelve = many(r"\x{10000}-\x{10ffff}")
+    escaped = two + 5 * six + 11 * twelve
+    plain = F.length(text) + 2
+    return F.when(text.isNull(), 4).when(text.rlike(r'["\\\x00-\x1f\x80-\x{10ffff}]'), plain + escaped).otherwise(plain)
 
 
 def job_payloads(jobs: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -276,11 +301,14 @@ RULES = [
     ("jobs", "git_commit", "length 7 to 40", "length(git_commit) between 7 and 40"),
     ("jobs", "git_branch", "length up to 255", "length(git_branch) <= 255"),
     ("jobs", "duration_seconds", "at least 0", "duration_seconds >= 0"),
+    ("jobs", "step_name", "length up to 255", "length(step_name) <= 255"),
+    ("jobs", "synced_at", "above 0", "synced_at > 0"),
     ("artifacts", "id", "length 1 to 64", "length(id) between 1 and 64"),
     ("artifacts", "size", "at least 0", "size >= 0"),
     ("artifacts", "first_seen_at", "above 0", "first_seen_at > 0"),
     ("artifacts", "source_type", "length up to 32", "length(source_type) <= 32"),
     ("artifacts", "source_url", "length up to 2048", "length(source_url) <= 2048"),
+    ("artifacts", "synced_at", "above 0", "synced_at > 0"),
 ]
 REQUIRED = {"jobs": ["job_uid", "timestamp", "command"], "artifacts": ["id", "size", "first_seen_at"]}
 

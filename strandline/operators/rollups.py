@@ -37,10 +37,15 @@ def clone_urls(jobs: DataFrame) -> DataFrame:
 
 
 def matching_checkouts(plans: DataFrame, checkouts: DataFrame) -> DataFrame:
-    """Plans whose repository is checked out: (plan_id, checkout) with equal canonical addresses."""
+    """Plans whose repository is checked out: (plan_id, checkout, checkouts) by equal canonical addresses.
+
+    The checkouts of a repository are folded to the first by name and their number before they meet the
+    plans, so that many of both do not multiply.
+    """
     wanted = plans.select("plan_id", canonical_repository(F.col("git_repo")).alias("repository"))
-    have = checkouts.select("checkout", canonical_repository(F.col("remote_url")).alias("repository"))
-    return wanted.join(have, "repository").select("plan_id", "checkout")
+    have = checkouts.select("checkout", canonical_repository(F.col("remote_url")).alias("repository")).groupBy("repository").agg(
+        F.min("checkout").alias("checkout"), F.count(F.lit(1)).alias("checkouts"))
+    return wanted.join(have, "repository").select("plan_id", "checkout", "checkouts")
 
 
 def storage_usage(objects: DataFrame) -> DataFrame:

@@ -146,6 +146,16 @@ def _(w):
         F.min("job_id").alias("first_job"), F.count(F.lit(1)).alias("runs")).drop("signature")
 
 
+# The same digests stored under another algorithm only.
+@query("io_signature_classes_md5", "F6 F8 D14", duckdb_query(
+    "select min(job_id) as first_job, count(*) as runs from sigs group by signature", SIGNATURES))
+def _(w):
+    stored = w.hashes.where("algorithm = 'md5'")
+    sigs = L.io_signatures(w.jobs.select(F.col("id").alias("job_id")), w.jobs, w.inputs, w.outputs, stored, "md5")
+    return sigs.groupBy("signature").agg(
+        F.min("job_id").alias("first_job"), F.count(F.lit(1)).alias("runs")).drop("signature")
+
+
 @query("jobs_without_reruns", "F7", duckdb_query("""
 select session_id as group_id, job_id, timestamp from sigs
 qualify row_number() over (partition by session_id, signature order by timestamp desc, job_id) = 1""", SIGNATURES))

@@ -10,7 +10,7 @@ from strandline.operators import reproduce as H
 from strandline.operators import secrets as K
 from strandline.plans.lineages import COLLECTED, DIGESTS, PRODUCERS, SESSION_OUTPUTS, STEPS, _walk, session_outputs
 from strandline.plans.registry import query
-from strandline.plans.secrets_and_rollups import _IDS, SCAN
+from strandline.plans.secrets_and_rollups import _IDS, chain
 from strandline.sources.derived import duckdb_query
 
 _JOIN = "array_join(errors, '; ')"
@@ -33,16 +33,14 @@ def _job_facts(w):
 
 JOB_ERRORS = """joberrors as (
   select id as job_id, session_id, concat_ws('; ', case when id % 11 = 0 then 'command is required' end, case when id % 13 = 0 then 'timestamp is required' end,
-    case when id % 13 <> 0 and timestamp * (id % 17 - 1) <= 0 then 'timestamp must be positive, got ' || case when id % 17 = 1 then '0.0' else 'x' end end,
+    case when id % 13 <> 0 and timestamp * (id % 17 - 1) <= 0 then 'timestamp must be positive, got ' || cast(timestamp * (id % 17 - 1) as bigint) || '.0' end,
     case when id % 19 = 0 then 'job_uid is required' end, case when id % 4 = 0 then 'git_commit is required' end,
     case when id % 23 = 0 then 'step_number is required' when step_number - 1 < 1 then 'step_number must be >= 1, got ' || (step_number - 1) end) as errors from jobs)"""
 
 
 @query("validated_jobs", "M2", duckdb_query("select job_id, errors from joberrors", JOB_ERRORS))
 def _(w):
-    # A negative time is printed in scientific notation, which SQL dialects spell differently.
-    text = F.regexp_replace(F.expr(_JOIN), r"got -[0-9.E]+", "got x")
-    return M.validate_jobs(_job_facts(w)).select("job_id", text.alias("errors"))
+    return M.validate_jobs(_job_facts(w)).select("job_id", F.expr(_JOIN).alias("errors"))
 
 
 def _artifact_facts(w):
@@ -111,10 +109,23 @@ def _payloads(w):
 
 
 @query("artifact_payloads", "M8", duckdb_query("""
-select digest, size, source_type, cast(length('{"hashes":[{"algorithm":"sha256","digest":"' || digest || '"}],"size":' || size
-  || case when source_type is null then '' else ',"source_type":"s3"' end || ',"session_hash":"' || repeat('0', 64) || '"}') + 2 as int) as bytes from payloads""", PAYLOADS))
+select digest, 'sha256' as algorithm, size, source_type, cast(length('{"hashes": [{"algorithm": "sha256", "digest": "' || digest || '"}], "size": ' || size
+  || ', "source_type": ' || case when source_type is null then 'null' else '"s3"' end || ', "session_hash": "' || repeat('0', 64) || '"}') + 2 as int) as bytes from payloads""", PAYLOADS))
 def _(w):
-    return _payloads(w).select(F.col("hashes")[0]["digest"].alias("digest"), "size", "source_type", "bytes")
+    return _payloads(w).select(F.col("hashes")[0]["digest"].alias("digest"), F.col("hashes")[0]["algorithm"].alias("algorithm"), "size", "source_type", "bytes")
+
+
+@query("artifact_payloads_md5", "M8 D14", duckdb_query("""
+select digest, 'md5' as algorithm, cast(length('{"hashes": [{"algorithm": "md5", "digest": "' || digest || '"}], "size": ' || size
+  || ', "source_type": null, "session_hash": "x", "source_url": "s3://b/' || size || '"}') + 2 as int) as bytes
+from (select h.digest, a.size from artifacts a join artifact_hashes h on h.artifact_id = a.id where h.algorithm = 'md5')"""))
+def _(w):
+    from strandline.operators.edges import primary_digests
+
+    rows = w.artifacts.join(primary_digests(w.hashes, "md5", strict=True).withColumnRenamed("artifact_id", "id"), "id").selectExpr(
+        "'x' as session_hash", "digest", "size", "cast(null as string) as source_type", "concat('s3://b/', size) as source_url")
+    return M.payload_bytes(M.artifact_payloads(rows, "md5")).select(
+        F.col("hashes")[0]["digest"].alias("digest"), F.col("hashes")[0]["algorithm"].alias("algorithm"), "bytes")
 
 
 def _job_payloads(w):
@@ -166,22 +177,26 @@ select c.group_id, count(*) as jobs, coalesce(any_value(d.n), 0) as artifacts, c
 from collected c left join (select group_id, count(*) as n from digests group by all) d using (group_id)
 left join (select job_id, count(*) as n from (select job_id from job_inputs union all select job_id from job_outputs) group by all) l using (job_id)
 left join (select session_id as group_id, count(distinct v.pattern_id) as n from redacted, lateral (values {_IDS}) v(pattern_id, n) where v.n > 0 group by all) k using (group_id)
-group by c.group_id""", PRODUCERS, STEPS, *_walk(SESSION_OUTPUTS, 10), *COLLECTED, DIGESTS, *SCAN))
+group by c.group_id""", PRODUCERS, STEPS, *_walk(SESSION_OUTPUTS, 10), *COLLECTED, DIGESTS, *chain(" union all ".join(
+    f"select c.group_id as session_id, '{field}' as field, j.{field} as t from jobs j join collected c on c.job_id = j.id" for field in ("git_repo", "command", "metadata")))))
 def _(w):
     collected = L.collect_lineage(session_outputs(w), w.jobs, w.inputs, w.outputs, w.hashes)
     digests = L.referenced_digests(collected, w.inputs, w.outputs, w.hashes)
-    return M.registration_preview(collected, w.inputs, w.outputs, digests, K.scan_lineage(w.jobs))
+    mine = collected.select("group_id", F.col("job_id").alias("id")).join(w.jobs.drop("session_id"), "id").withColumnRenamed("group_id", "session_id")
+    return M.registration_preview(collected, w.inputs, w.outputs, digests, K.scan_lineage(mine))
 
 
 @query("rule_violations", "M13", duckdb_query("""
 select r.field, r.rule, r.violations from (select
     count(*) filter (length(job_uid) not between 6 and 12) as a, count(*) filter (id % 10 = 0) as b, count(*) filter (length(command) > 40) as c,
-    count(*) filter (step_number - 2 < 1) as d, count(*) filter (length(git_commit) > 40) as e from jobs) t,
+    count(*) filter (step_number - 2 < 1) as d, count(*) filter (length(git_commit) > 40) as e, count(*) filter (id % 6 = 0) as f, count(*) filter (id % 5 = 0) as g from jobs) t,
   lateral (values ('job_uid', 'length 6 to 12', a), ('timestamp', 'above 0', b), ('command', 'length 1 to 65535', c), ('step_number', 'at least 1', d),
-    ('git_commit', 'length 7 to 40', e), ('git_branch', 'length up to 255', 0), ('duration_seconds', 'at least 0', 0)) r(field, rule, violations)"""))
+    ('git_commit', 'length 7 to 40', e), ('git_branch', 'length up to 255', 0), ('duration_seconds', 'at least 0', 0),
+    ('step_name', 'length up to 255', f), ('synced_at', 'above 0', g)) r(field, rule, violations)"""))
 def _(w):
     rows = w.jobs.withColumns({"timestamp": F.expr("if(id % 10 = 0, null, timestamp)"), "command": F.expr("if(length(command) > 40, '', command)"),
-                               "step_number": F.expr("step_number - 2")})
+                               "step_number": F.expr("step_number - 2"), "step_name": F.expr("if(id % 6 = 0, repeat('n', 256), if(id % 7 = 0, null, 'prep'))"),
+                               "synced_at": F.expr("if(id % 5 = 0, 0, timestamp)")})
     return M.rule_violations("jobs", rows)
 
 

@@ -438,10 +438,10 @@ def _(w):
 
 @query("log_run_urls", "L7", duckdb_query("""
 select doc_id as run_dir, 'team' as entity, source as project, cast(doc_id as varchar) as tracker_run, 'https://wandb.ai/team/' || source || '/runs/' || doc_id as url
-from documents where doc_id % 2 = 0 and not regexp_matches(source, '[/\\s]')""".replace("\\\\", "\\")))
+from documents where doc_id % 2 = 0 and source is not null"""))
 def _(w):
     logs = w.base("documents").selectExpr("doc_id as run_dir", "concat(text, if(doc_id % 2 = 0, concat('\n finishing run team/', source, '/', doc_id, ' done'), '')) as text", "source")
-    return L.log_run_urls(logs.where(~F.col("source").rlike(r"[/\s]")).drop("source"))
+    return L.log_run_urls(logs.drop("source"))
 
 
 @query("telemetry_links", "L8", duckdb_query(f"""

@@ -96,9 +96,13 @@ def _(w):
     return found.select("id", F.col("clean").alias("command"), hits.cast("bigint").alias("assignments"))
 
 
-@query("redacted_metadata", "K8", None)
+@query("redacted_metadata", "K8", duckdb_query("""
+select id, case when id % 3 = 0 then '{"n":' || id || '}' else '{"runtime": {"command": "' || t || '", "env_vars": {"GITHUB_TOKEN": "[REDACTED]", "HOME": "' || git_branch
+  || '"}}, "n": ' || id || '}' end as metadata from redacted""", *chain("select id, git_branch, command as t from jobs")))
 def _(w):
-    jobs = w.jobs.selectExpr("id", "to_json(named_struct('runtime', named_struct('command', split(command, ' '), 'env_vars', map('GITHUB_TOKEN', 'x', 'HOME', git_branch)), 'n', id)) as metadata")
+    # A third of the rows holds nothing that could match and stays as it is.
+    jobs = w.jobs.selectExpr("id", """if(id % 3 = 0, to_json(named_struct('n', id)),
+      to_json(named_struct('runtime', named_struct('command', command, 'env_vars', map('GITHUB_TOKEN', 'x', 'HOME', git_branch)), 'n', id))) as metadata""")
     return K.redact_metadata(jobs)
 
 
@@ -119,9 +123,13 @@ def _(w):
     return clean.select("id", F.col("env")["GITHUB_TOKEN"].alias("token"), F.col("env")["HOME"].alias("home"))
 
 
-@query("redacted_telemetry", "K10", None)
+@query("redacted_telemetry", "K10", duckdb_query("""
+select r.id, case when r.id % 2 = 1 then r.t
+  when not contains(lower(j.command), 'key') and not contains(lower(j.command), 'token') and not contains(j.command, '://') then '{"wandb":"' || r.t || '"}' else '{"wandb": "' || r.t || '"}' end as telemetry
+from redacted r join jobs j on j.id = r.id""", *chain("select id, command || ' 8h' as t from jobs")))
 def _(w):
-    jobs = w.jobs.selectExpr("id", "case when id % 2 = 0 then to_json(named_struct('wandb', command)) else command end as telemetry")
+    # JSON for every other job, text for the rest.
+    jobs = w.jobs.selectExpr("id", "case when id % 2 = 0 then to_json(named_struct('wandb', command || ' 8h')) else command || ' 8h' end as telemetry")
     return K.redact_telemetry(jobs)
 
 
@@ -155,10 +163,11 @@ def _(w):
     return K.secret_kinds(K.scan_lineage(w.jobs), "session_id")
 
 
-@query("redacted_lineage", "K13", duckdb_query("select r.id, r.t as command, j.git_repo from redacted r join jobs j using (id)",
+@query("redacted_lineage", "K13", duckdb_query("select r.id, r.t as command, j.git_repo, j.metadata from redacted r join jobs j using (id)",
     *chain("select id, command as t from jobs")))
 def _(w):
-    return K.redact_lineage(w.jobs).select("id", "command", "git_repo")
+    # The package versions in the metadata are no secrets: it must come out as it went in.
+    return K.redact_lineage(w.jobs).select("id", "command", "git_repo", "metadata")
 
 
 URLS = """urls as (
@@ -194,10 +203,11 @@ def _(w):
 
 
 @query("matching_checkouts", "H10", duckdb_query("""
-select u.id as plan_id, 'c' || s.id as checkout from urls u join sessions s on s.id < 25 and s.id = u.session_id % 25""", URLS))
+select u.id as plan_id, s.checkout, s.checkouts from urls u join (
+  select id % 25 as repo, min('c' || id) as checkout, count(*) as checkouts from sessions group by id % 25) s on s.repo = u.session_id % 25""", URLS))
 def _(w):
     plans = _urls(w).withColumnRenamed("id", "plan_id")
-    checkouts = w.sessions.where("id < 25").selectExpr("concat('c', id) as checkout", "git_repo as remote_url")
+    checkouts = w.sessions.selectExpr("concat('c', id) as checkout", "git_repo as remote_url")
     return P.matching_checkouts(plans, checkouts)
 
 

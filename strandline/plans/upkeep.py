@@ -141,11 +141,10 @@ def _(w):
 select id as artifact_id from artifacts
 where id not in (select i.artifact_id from job_inputs i join jobs j on j.id = i.job_id where j.exit_code = 0)
   and id not in (select o.artifact_id from job_outputs o join jobs j on j.id = o.job_id where j.exit_code = 0)
-  and id not in (select artifact_id from collection_members where artifact_id is not null and collection_id in ('n1', 'n2', 'n3'))"""))
+  and id not in (select artifact_id from collection_members where artifact_id is not null)"""))
 def _(w):
     failed = w.jobs.where("exit_code is distinct from 0").select(F.col("id").alias("job_id"))
-    members = w.members.where(F.col("collection_id").isin("n1", "n2", "n3"))
-    return O.orphans(w.artifacts.select(F.col("id").alias("artifact_id")), O.delete_jobs(failed, w.inputs), O.delete_jobs(failed, w.outputs), members)
+    return O.orphans(w.artifacts.select(F.col("id").alias("artifact_id")), O.delete_jobs(failed, w.inputs), O.delete_jobs(failed, w.outputs), w.members)
 
 
 @query("cleared_outputs", "O7", duckdb_query("""

@@ -193,3 +193,42 @@ def test_recorded_runs_feed_the_graph(spark):
     assert (session.git_commit_start, session.git_commit_end, session.current_step) == ("c1", "c2", 3)
     graph = SessionGraph(made.jobs, made.job_inputs, made.job_outputs, made.artifacts)
     assert steps(graph.stale) == [2]
+
+
+def test_recording_appends(spark, tmp_path):
+    """Two batches give what one gives, written and read back in between; one sighting merges two artifacts."""
+    from strandline.operators.record import LineageTables, record_runs, with_recording
+    from strandline.sources.tables import read_lineage, write_lineage
+
+    runs = [(f"r{k}", k % 2, k + 1, f"python s{k % 3}.py", "/w", f"c{k % 4}", None) for k in range(8)]
+    files = [(f"r{k}", "in", f"/w/in{k % 3}") for k in range(8)] + [(f"r{k}", "out", f"/w/out{k % 3}") for k in range(8)]
+    digests = [(r, p, "sha256", f"{p}:{int(r[1:]) // 4 if 'out' in p else 0}", 5) for r, _, p in files]
+    digests += [("r1", "/w/in1", "md5", "aa", 5), ("r2", "/w/in2", "md5", "bb", 5)]
+    late = [("r7", "/w/in1", "md5", "bb", 5)]  # ties the artifact of in1 to that of in2
+    frames = lambda names, extra=(): (
+        spark.createDataFrame([r for r in runs if r[0] in names], "run_id string, session_id bigint, timestamp bigint, command string, repo_root string, git_commit string, job_type string"),
+        spark.createDataFrame([f for f in files if f[0] in names], "run_id string, direction string, path string"),
+        spark.createDataFrame([d for d in [*digests, *extra] if d[0] in names], "run_id string, path string, algorithm string, digest string, size bigint"))
+    names = [r[0] for r in runs]
+    fields = ["jobs", "artifacts", "artifact_hashes", "job_inputs", "job_outputs", "sessions"]
+
+    def facts(t):
+        """Jobs and edges with artifacts named by their digests."""
+        label = {}
+        for r in t.artifact_hashes.collect():
+            label.setdefault(r.artifact_id, set()).add(r.digest)
+        jobs = sorted((r.id, r.job_uid, r.session_id, r.step_number, r.step_identity, r.script, r.git_commit) for r in t.jobs.collect())
+        edges = sorted((r.job_id, sorted(label[r.artifact_id]), r.path, d) for d, e in (("in", t.job_inputs), ("out", t.job_outputs)) for r in e.collect())
+        sessions = sorted((r.id, r.hash, r.created_at, r.current_step, r.git_commit_start, r.git_commit_end) for r in t.sessions.collect())
+        first = sorted((sorted(label[r.id]), r.first_seen_at, r.first_seen_path) for r in t.artifacts.collect())
+        return jobs, edges, sessions, first
+
+    once = record_runs(*frames(names, late))
+    start = record_runs(*frames(names[:5]))
+    write_lineage({n: getattr(start, n) for n in fields}, str(tmp_path))
+    read = read_lineage(spark, str(tmp_path), fields)
+    stored = LineageTables(**read)
+    rest = record_runs(*frames(names[5:], late), stored=stored)
+    assert rest.merged.count() == 1 and rest.jobs.count() == 3
+    stored.jobs = stored.jobs.withColumn("run_id", F.lit(None).cast("string"))
+    assert facts(with_recording(stored, rest)) == facts(once)
