@@ -14,6 +14,18 @@ BARE = re.compile(f"{OTHER}+")
 PAIR = re.compile(r"\s\s|[\x00\x1c-\x1f]")
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
 
+# The word vocabulary's normaliser and pattern, for groups of printable Latin characters. Those are composed
+# already and lower-case one by one, to letters before U+0180; the pattern is the file's, spelled out for them.
+LATIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u017f]+")
+LATIN_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f0-9\xb2\xb3\xb9\xbc-\xbe]+")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+MARKS = ".,;:!?*#$%&|"
+KEPT = 400_000  # words whose ids are kept
+
+# Byte-level vocabularies write a printable byte as itself and the n-th other byte as U+0100 + n.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARACTERS = {b: b for b in _PRINTABLE} | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
 
 class PreTokens:
     """The groups of a text for one vocabulary file, and their pieces.
@@ -46,6 +58,12 @@ class PreTokens:
         self.special = {t["content"]: t["id"] for t in special}
         self._cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if special else None
         self._marks = [s[:2] for s in self.special]
+        steps = (head["normalizer"] or {}).get("normalizers", [])
+        self._latin = (
+            not self.keeps_space and first["pattern"]["Regex"] == PATTERN and [n["type"] for n in steps] == ["NFC", "Replace", "Lowercase"]
+            and head["model"]["type"] == "BPE"
+        )
+        self._words: dict[str, tuple[int, ...]] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
@@ -58,7 +76,8 @@ class PreTokens:
             for i, part in enumerate(self._cut.split(text)):
                 out += [part] if i & 1 else self._plain(part)
             return out
-        return self._plain(text)
+        # Without the first characters of a special string none can arise in lower case.
+        return self._plain(text.lower() if self._latin and text.isascii() else text)
 
     def _plain(self, text: str) -> list[str]:
         if not self.keeps_space:
@@ -68,7 +87,39 @@ class PreTokens:
         # No two white space characters meet: cut before each blank and line end.
         return [g for g in text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if g]
 
-    def encode(self, groups: Sequence[str]) -> list[list[int]]:
+    def encode(self, groups: Sequence[str]) -> list[Sequence[int]]:
+        """Ids of each group."""
+        if not self._latin:
+            return self._whole(groups)
+        if len(self._words) > KEPT:
+            self._words.clear()
+        words, out, rest = self._words, [], []
+        tokenize = self.tokenizer.model.tokenize
+        for k, group in enumerate(groups):
+            core = group.rstrip(MARKS)
+            if core.isalpha() and core.isascii():  # most groups: a word, and perhaps marks after it
+                parts = (core.lower(), group[len(core) :]) if len(core) < len(group) else (core.lower(),)
+            elif LATIN.fullmatch(group) and group not in self.special:
+                parts = LATIN_WORD.findall(group.lower())
+            else:
+                parts = None
+            if parts:
+                ids: tuple[int, ...] = ()  # tuples of numbers are nothing to the garbage collector
+                for word in parts:
+                    known = words.get(word)
+                    if known is None:
+                        text = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+                        known = words[word] = tuple([t.id for t in tokenize(text)])
+                    ids = ids + known if ids else known
+                out.append(ids)
+            else:
+                out.append(None)
+                rest.append(k)
+        for k, ids in zip(rest, self._whole([groups[k] for k in rest])):
+            out[k] = ids
+        return out
+
+    def _whole(self, groups: Sequence[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(list(groups), add_special_tokens=False)]
 
     def counts(self, groups: Sequence[str]) -> list[int]:

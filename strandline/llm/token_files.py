@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ MAGIC = b"STRBITS1"
 FOOT = struct.Struct("<8sIIQQQQ")  # magic, bits of an id, ids of a block, blocks, documents, ids, place of the index
 DOCUMENT = np.dtype([("start", "<i8"), ("count", "<i8"), ("id", "<i8"), ("none", "u1")])
 BLOCK = 1 << 16  # ids; a multiple of 8, so that blocks start at whole bytes
-KEPT = 400_000  # pre-tokens whose ids a worker keeps between batches
+KEPT = 1_000_000  # pre-tokens whose ids a worker keeps between batches
 LONGEST = 64
 
 
@@ -121,28 +123,38 @@ class _Ids:
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text with its end id, and all ids."""
+        gc.disable()  # a batch makes millions of strings and no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         groups = [self.vocabulary.groups(t) for t in texts]
-        seen = set().union(*groups)
-        new = list(seen.difference(self.index))
+        flat = list(chain.from_iterable(groups))
+        found = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(found < 0).tolist()
+        new = {flat[i] for i in missing}
         if len(self.index) + len(new) > KEPT:
             self.clear()
-            new = list(seen)
-        new.sort(key=len)  # the long ones last, to be dropped after the batch
+            new, missing = set(flat), range(len(flat))
+        new = sorted(new, key=len)  # the long ones last, to be dropped after the batch
         encoded = self.vocabulary.encode(new)
-        sizes = np.array([len(e) for e in encoded], np.int64)
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
         base, before = len(self.sizes), self.flat.size
-        flat = np.fromiter((i for e in encoded for i in e), np.uint32, int(sizes.sum()))
-        self.flat = np.concatenate([self.flat, flat])
+        added = np.fromiter(chain.from_iterable(encoded), np.uint32, int(sizes.sum()))
+        self.flat = np.concatenate([self.flat, added])
         self.starts = np.concatenate([self.starts, before + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.index.update(zip(new, range(base, base + len(new))))
+        found[missing] = np.fromiter((self.index[flat[i]] for i in missing), np.int64, len(missing))
 
-        get = self.index.__getitem__
         counts = np.array([len(g) + 1 for g in groups], np.int64)
-        at = np.zeros(int(counts.sum()), np.int64)  # 0 is the end of a document
         ends = np.cumsum(counts)
-        for g, end in zip(groups, ends):
-            at[end - 1 - len(g) : end - 1] = np.fromiter(map(get, g), np.int64, len(g))
+        at = np.zeros(int(counts.sum()), np.int64)  # 0 is the end of a document
+        inside = np.ones(at.size, bool)
+        inside[ends - 1] = False
+        at[inside] = found
         n = self.sizes[at]
         upto = np.cumsum(n)
         ids = self.flat[np.repeat(self.starts[at] - upto + n, n) + np.arange(int(upto[-1]))] if at.size else self.flat[:0]
