@@ -192,7 +192,8 @@ class SessionGraph:
         spread = spread_downstream(older, self.step_links(True))
         return materialize(spread.join(older.distinct(), ["session_id", "step_number"], "left_anti"), "superseded")
 
-    def nodes(self, expanded: bool = False) -> DataFrame:
+    def nodes(self, expanded: bool = False, stale_only: bool = False) -> DataFrame:
+        """Shown nodes with their state and metrics, and their step name where jobs have one."""
         shown = self._shown(expanded)
         stale = self.stale.withColumn("is_stale", F.lit(True))
         n_in = self.inputs.groupBy("job_id").agg(F.count(F.lit(1)).alias("inputs"))
@@ -218,11 +219,13 @@ class SessionGraph:
             base = base.join(taken, ["session_id", "step_number"], "left")
             state = F.when(F.col("taken"), "superseded").otherwise(state)
         zero = F.lit(0).cast("bigint")
-        return base.select(
-            "session_id", "step_number", "job_id", "job_uid", "command",
+        named = ["step_name"] if "step_name" in base.columns else []
+        nodes = base.select(
+            "session_id", "step_number", *named, "job_id", "job_uid", "command",
             state.alias("state"), is_build().alias("is_build"), "exit_code",
             *[F.coalesce(c, zero).alias(c) for c in ("inputs", "outputs", "consumed", "dependencies")],
         )
+        return nodes.where(F.col("state").isin("stale", "superseded")) if stale_only else nodes
 
     def leaf_steps(self, expanded: bool = False) -> DataFrame:
         used = self.step_links(expanded).select(

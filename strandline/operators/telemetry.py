@@ -40,12 +40,13 @@ def ignore_patterns(trackers: DataFrame) -> DataFrame:
 def wandb_runs(written: DataFrame, run_dirs: DataFrame, metadata: DataFrame, environment: DataFrame) -> DataFrame:
     """Run facts per (run_id, base folder): from the newest run folder, else from the environment.
 
-    ``run_dirs``: (base, run_dir, mtime); ``metadata``: (run_dir, run_id_text, project, entity);
+    ``run_dirs``: (base, run_dir, mtime[, linked]), a folder that the latest-run link names comes first; ``metadata``: (run_dir, run_id_text, project, entity);
     ``environment``: (run_id, env map).
     """
     base = F.regexp_extract("path", "^(.*?wandb/)", 1)
     bases = written.select("run_id", base.alias("base")).where(F.col("base") != "").distinct()
-    newest = latest(run_dirs, ["base"], [F.col("mtime").desc(), F.col("run_dir").desc()]).select("base", "run_dir")
+    linked = [F.coalesce("linked", F.lit(False)).desc()] if "linked" in run_dirs.columns else []
+    newest = latest(run_dirs, ["base"], [*linked, F.col("mtime").desc(), F.col("run_dir").desc()]).select("base", "run_dir")
     rows = bases.join(newest, "base", "left").join(metadata, "run_dir", "left").join(environment, "run_id", "left")
     known = F.col("run_id_text").isNotNull() & F.col("project").isNotNull() & F.col("entity").isNotNull()
     url = F.when(

@@ -43,14 +43,17 @@ def build_provenance(
     package_files: DataFrame,
     versions: DataFrame,
     owners: DataFrame,
+    tool_dir: str = ".provenance",
 ) -> Provenance:
     """Assemble records from trace and inject reports; ``runs``: (run_id, repo_root).
 
+    ``tool_dir`` is the folder below a repository in which the tool keeps its own files.
+
     ``versions``: (manager, package, version); ``owners``: (path, package) of system libraries.
     Lists are exploded on reading, so that a run with any number of files stays distributed.
     """
     where = runs.join(injects.select("run_id", "sys_prefix", "sys_base_prefix"), "run_id", "left").select(
-        "run_id", "repo_root", "sys_prefix", "sys_base_prefix", F.lit("").alias("tool_dir")
+        "run_id", "repo_root", "sys_prefix", "sys_base_prefix", F.concat_ws("/", "repo_root", F.lit(tool_dir)).alias("tool_dir")
     )
 
     def located(reports: DataFrame, column: str) -> DataFrame:
@@ -93,12 +96,17 @@ def provenance_rows(record: Provenance) -> DataFrame:
         return df.select("run_id", F.lit(section).alias("section"), name.cast("string").alias("name"), value.cast("string").alias("value"))
 
     path = F.col("path")
+    counted = F.create_map(*[part for c in I.CLASSES for part in (F.lit(c), F.col(c))])
+    counts = record.counts.select("run_id", F.explode(counted).alias("name", "value"))
     return (
         rows(record.reads, "read_files", path, F.lit(None))
         .unionByName(rows(record.writes, "written_files", path, F.lit(None)))
         .unionByName(rows(record.unmanaged_code, "unmanaged_code", path, F.lit(None)))
         .unionByName(rows(record.packages, "packages", F.concat_ws(":", "manager", "package"), F.col("version")))
         .unionByName(rows(record.processes, "processes", F.col("pid"), F.to_json(F.struct("command", "fork_count", "parent_node"))))
+        .unionByName(rows(record.repository_files, "repository_files", path, F.lit(None)))
+        .unionByName(rows(record.environment.select("run_id", F.explode("env").alias("name", "value")), "environment", F.col("name"), F.col("value")))
+        .unionByName(rows(counts, "counts", F.col("name"), F.col("value")))
         .unionByName(rows(record.trackers, "trackers", F.col("tracker"), F.lit(None)))
         .unionByName(rows(record.timing, "timing", F.lit("duration_seconds"), F.col("duration_seconds")))
     )

@@ -386,7 +386,7 @@ def _environment(w):
       'NEPTUNE_PROJECT', concat('ws/', session_id % 25)), (k, v) -> id % 4 > 0) as env""")
 
 
-@query("wandb_runs", "L3", duckdb_query("""
+WANDB_RUNS = duckdb_query("""
 select r.run_id, r.base, d.tracker_run, case when d.url is null and id % 4 > 0 then 'p' || (session_id % 25) else d.project end as project,
        case when d.url is null and id % 4 > 0 then git_branch else d.entity end as entity, d.url
 from (select distinct run_id, regexp_extract(path, '^(.*?wandb/)', 1) as base from tracks where contains(path, 'wandb/')) r
@@ -395,12 +395,26 @@ left join (select base, arg_max(run_dir, (mtime, run_dir)) as run_dir from dirs
 left join meta d on d.run_dir = n.run_dir""", *TRACKS,
     "dirs as (select distinct regexp_extract(path, '^(.*?wandb/)', 1) as base, regexp_extract(path, '^(.*?wandb/[^/]*)', 1) as run_dir, position % 10 as mtime from tracks where contains(path, 'wandb/'))",
     """meta as (select distinct run_dir, right(run_dir, 1) as tracker_run, 'proj' as project, case when ends_with(run_dir, '8') then null else 'team' end as entity,
-  case when ends_with(run_dir, '8') then null else 'https://wandb.ai/team/proj/runs/' || right(run_dir, 1) end as url from dirs)"""))
+  case when ends_with(run_dir, '8') then null else 'https://wandb.ai/team/proj/runs/' || right(run_dir, 1) end as url from dirs)""")
+
+
+@query("wandb_runs", "L3", WANDB_RUNS)
 def _(w):
+    return _wandb_runs(w)
+
+
+@query("wandb_runs_linked", "L3", WANDB_RUNS.replace("(mtime, run_dir)", "(right(run_dir, 1) = '3', mtime, run_dir)"))
+def _(w):
+    return _wandb_runs(w, linked="right(run_dir, 1) = '3'")
+
+
+def _wandb_runs(w, linked=None):
     tracks = _tracks(w)
     dirs = tracks.where("contains(path, 'wandb/')").selectExpr(
         "regexp_extract(path, '^(.*?wandb/)', 1) as base", "regexp_extract(path, '^(.*?wandb/[^/]*)', 1) as run_dir", "position % 10 as mtime").distinct()
     meta = dirs.selectExpr("run_dir", "right(run_dir, 1) as run_id_text", "'proj' as project", "if(endswith(run_dir, '8'), null, 'team') as entity").distinct()
+    if linked:
+        dirs = dirs.withColumn("linked", F.expr(linked))
     return L.wandb_runs(tracks, dirs, meta, _environment(w))
 
 

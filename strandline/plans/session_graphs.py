@@ -152,6 +152,15 @@ def _(w):
     return graph(w).nodes()
 
 
+@query("stale_only_nodes", "G10 G17", duckdb_query("""
+select n.session_id, n.step_number, case when n.step_number % 3 > 0 then 'step ' || n.step_number end as step_name, n.id as job_id, 'stale' as state
+from latest n join stale s using (session_id, step_number)""", *EXPANDED))
+def _(w):
+    named = w.jobs.withColumn("step_name", F.expr("if(step_number % 3 > 0, concat('step ', step_number), null)"))
+    nodes = SessionGraph(named, w.inputs, w.outputs, w.artifacts).nodes(stale_only=True)
+    return nodes.select("session_id", "step_number", "step_name", "job_id", "state")
+
+
 @query("dag_nodes_expanded", "G10 G11 G12", duckdb_query(f"""
 select n.session_id, n.step_number, n.id as job_id, n.job_uid, n.command,
        case when k.step_number is not null then 'superseded'
