@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 # Run-time SQL settings. Skewed joins are split even where that costs another shuffle: one
 # artifact, session or repository may hold a third of all edges.
 RUNTIME = {
@@ -19,6 +23,11 @@ def tune(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to a session somebody else made."""
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
+    # Python workers import this package from where the driver has it, or from what --py-files sent.
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
     return spark
 
 
