@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import running_total, written
 
+FEW_SOURCES = 100_000  # one small row each
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -66,6 +67,9 @@ def mix_sources(
     per_source = sources.join(cut, "position", "left").select(
         *[F.col(k).alias(f"{k}_s") for k in key], "mix_source_size", "mix_target", "_mix_last"
     )
+    # Texts stay where they are unless there are very many sources; then the join is split by size.
+    if sources.count() <= FEW_SOURCES:
+        per_source = F.broadcast(per_source)
     last = F.struct(*[F.col("_mix_last")[c].alias(c) for c in entry])
     copies = F.when(F.col("_mix_last").isNull(), 0).otherwise(F.col("_mix_last")["round"] + (F.struct(*entry) <= last).cast("int"))
     return (
