@@ -42,6 +42,14 @@ def execution_order(jobs: DataFrame) -> DataFrame:
     )
 
 
+def step_files(order: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(session_id, label, direction, artifact_id, path): what each step of an execution order reads and writes."""
+    edges = inputs.select("job_id", F.lit("in").alias("direction"), "artifact_id", "path").unionByName(
+        outputs.select("job_id", F.lit("out").alias("direction"), "artifact_id", "path")
+    )
+    return order.select("session_id", "label", "job_id").join(edges, "job_id").drop("job_id")
+
+
 def _entries(jobs: DataFrame, manager: str) -> DataFrame:
     """(session_id, is_build, step_number, timestamp, id, name, version) of one package manager."""
     return (

@@ -198,7 +198,10 @@ def _(w):
     return B.active_flags(sessions).select("id", "git_repo", "is_active")
 
 
-@query("job_metadata", "B16")
+@query("job_metadata", "B16", duckdb_query("""
+select id, '{"packages":{"pip":{"numpy":"' || git_branch || '"}},"runtime":{"hostname":"h' || (id % 7) || '","command":["' || replace(command, ' ', '","') || '"]}'
+  || case when exit_code = 0 then '' else ',"cwd":"' || git_repo || '"' end || case when git_branch = 'dev' then ',"env_vars":{"A":"dev"}' else '' end || '}' as metadata
+from jobs"""))
 def _(w):
     runs = w.jobs.selectExpr(
         "id", "map('pip', map('numpy', git_branch)) as packages",

@@ -228,6 +228,14 @@ def _(w):
     return H.execution_order(w.jobs)
 
 
+@query("plan_step_files", "H1 H3", duckdb_query("""
+select o.session_id, o.label, e.direction, e.artifact_id, e.path from (
+  select session_id, case when job_type = 'build' then 'B' else '' end || row_number() over (partition by session_id, job_type order by step_number, timestamp, id) as label, id from jobs) o
+join (select job_id, 'in' as direction, artifact_id, path from job_inputs union all select job_id, 'out', artifact_id, path from job_outputs) e on e.job_id = o.id"""))
+def _(w):
+    return H.step_files(H.execution_order(w.jobs), w.inputs, w.outputs)
+
+
 @query("pip_requirements", "H4", duckdb_query("select distinct session_id, 'numpy==1.' || (id % 3) as requirement from jobs"))
 def _(w):
     return H.pip_requirements(w.jobs)

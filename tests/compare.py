@@ -39,7 +39,7 @@ def canonical(names, rows):
 
 # Queries that SQL cannot express; each has a test against a plain version.
 TESTED_ELSEWHERE = {
-    "recorded_runs", "job_metadata", "redacted_metadata", "redacted_telemetry", "provenance_records", "pipeline",
+    "provenance_records", "pipeline",
     "op2_html_text", "op3_langid", "op4_lattice", "op5_token_counts", "op6_token_files", "op8_quality", "op9_simhash", "op10_decontamination",
 }
 
