@@ -189,7 +189,8 @@ def learn(docs: DataFrame, sample: int = 3000, words: int = 60, folds: int = 4,
     rows = (
         chosen.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
         .mapInPandas(drawn, "lang string, word binary")
-        .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).collect()
+        .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+        .limit(2 * sample * words).collect()  # bites only where one id has very many rows
     )
     if not rows:
         return None

@@ -137,7 +137,8 @@ def learn(
 
     ``labels`` has ``doc_id`` and ``quality``; an id that is labelled more than once is positive if all its
     labels are 1. The class prior is the share of positives among all labels that may be learned from.
-    Features are made on the executors; about a kilobyte for each sampled document reach the driver.
+    Features are made on the executors; about a kilobyte for each of at most ``2 * sample`` documents a side
+    reaches the driver.
     """
     open_ = labels.where(remainder("doc_id", folds) != held_out).where("quality is not null and doc_id is not null")
     known = open_.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_quality"))
@@ -153,7 +154,8 @@ def learn(
             yield pd.DataFrame({"x": [features(t if isinstance(t, str) else None).tobytes() for t in batch["_text"]]})
 
     def made(df: DataFrame) -> np.ndarray:
-        rows = _sampled(df, "_id", sample, "vectors").select("_text").mapInPandas(vectors, "x binary").collect()
+        # Rows of one id are sampled together; the limit only bites where one id has very many.
+        rows = _sampled(df, "_id", sample, "vectors").select("_text").mapInPandas(vectors, "x binary").limit(2 * sample).collect()
         return np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(-1, WIDTH)
 
     return fit_nnpu(made(chosen), made(texts), prior)
