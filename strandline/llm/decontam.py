@@ -212,10 +212,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap
     executors in shards of at most about ``shard_bytes`` of text; more items mean more passes.
 
     Defined cases: null and empty texts hold nothing; null or empty items, and items without a word, are
-    never found; items of up to seven words must occur word for word; repeated items are found each; no rows or no
+    never found; items of up to seven words must occur word for word; items that differ in their id alone are found each, equal rows count once; no rows or no
     items give no leaks.
     """
-    items = benchmark.select(F.col("item_id"), F.col("text").alias("t")).where("t is not null")
+    items = benchmark.select(F.col("item_id"), F.col("text").alias("t")).where("t is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     shards = max(1, -(-size // shard_bytes))
 
@@ -233,7 +233,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap
     kind = empty  # only its type is used below
     out = None
     for shard in range(shards):
-        mine = F.pmod(F.xxhash64("t"), F.lit(shards)) == shard
+        mine = F.pmod(F.xxhash64("item_id", "t"), F.lit(shards)) == shard
         rows = [(r.item_id, r.t) for r in items.where(mine).collect()]
         known = every.join(seen.where(mine).select("term").distinct(), "term", "left_semi").collect()
         parts = (rows, {bytes(r.term): r.n for r in known}, total, length, threshold, overlap)
