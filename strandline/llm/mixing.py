@@ -92,26 +92,25 @@ def _targets(units: DataFrame, key: list[str], weights: Sequence[int], repeats:
         .withColumn("full_at", F.col("cap").cast("double") / F.col("weight")),
         "ranked",
     )
-    total = ranked.agg(F.coalesce(F.sum("mix_source_size"), F.lit(0)).alias("budget"), F.sum("weight").alias("all_weight"))
+    zero = F.lit(0).cast("long")
+    budget, all_weight = ranked.agg(F.coalesce(F.sum("mix_source_size"), zero), F.coalesce(F.sum("weight"), zero)).first()
     order = [F.col("full_at"), F.col("position")]
     filling = running_total(running_total(ranked, [], order, "cap", "caps"), [], order, "weight", "weights")
     # The first source, in the order in which they fill up, that is not full by its fair share: it and
     # all after it share by weight what the full ones leave.
     level = (
-        filling.crossJoin(F.broadcast(total))  # total is one row
-        .withColumn("rest", F.col("budget") - F.col("caps") + F.col("cap"))
-        .withColumn("sharing", F.col("all_weight") - F.col("weights") + F.col("weight"))
+        filling.withColumn("rest", F.lit(budget).cast("long") - F.col("caps") + F.col("cap"))
+        .withColumn("sharing", F.lit(all_weight).cast("long") - F.col("weights") + F.col("weight"))
         .where(F.col("rest") * F.col("weight") <= F.col("cap") * F.col("sharing"))
-        .agg(
-            F.min(F.struct("full_at", "position", "rest", "sharing")).alias("level"),
-            F.max("budget").alias("budget"),
-        )
-    )
-    before = F.struct("full_at", "position") < F.struct(F.col("level.full_at"), F.col("level.position"))
-    return ranked.crossJoin(F.broadcast(level)).select(  # level is one row
-        *key, "position", "weight", "mix_source_size", "budget",
+        .agg(F.min(F.struct("full_at", "position", "rest", "sharing")))
+        .first()[0]
+    ) or (0.0, 0, 0, 1)
+    full_at, position, rest, sharing = level
+    before = (F.col("full_at") < full_at) | ((F.col("full_at") == full_at) & (F.col("position") < position))
+    return ranked.select(
+        *key, "position", "weight", "mix_source_size", F.lit(budget).cast("long").alias("budget"),
         F.when(before, F.col("cap").cast("double")).otherwise(
-            F.col("level.rest").cast("double") * F.col("weight") / F.col("level.sharing")
+            F.lit(rest).cast("double") * F.col("weight") / F.lit(sharing)
         ).alias("mix_target"),
     )
 
