@@ -30,7 +30,7 @@ INLINE = {
     "a", "abbr", "b", "bdi", "bdo", "big", "br", "button", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins",
     "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
-ASIDE = {"aside", "button", "dialog", "footer", "form", "head", "menu", "nav", "object", "select"}
+ASIDE = {"aside", "button", "dialog", "footer", "head", "menu", "nav", "object", "select"}
 # Words of class, id or role that name what is not the article.
 NOT_ARTICLE = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adbox", "banner", "breadcrumb", "breadcrumbs", "comment",
@@ -39,37 +39,94 @@ NOT_ARTICLE = {
     "pagination", "popup", "promo", "promotion", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "social",
     "sponsor", "sponsored", "subscribe", "toolbar", "widget", "widgets",
 }
+NEGATES = {"has", "hide", "no", "non", "with", "without"}  # before such a word: "has-sidebar" names what stands beside
+WRAPS, HOLDS_ALL = 0.5, 0.9  # shares of the words from which on an element with and without an article inside is a wrapper
 ROOTS = {"html", "body", "article", "main"}
 CLOSES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
 
-def _not_article(name: str, attributes: str, inside: bool) -> bool:
-    if name in ASIDE or name == "header" and not inside:
-        return True
-    if name in ROOTS or not attributes:
-        return False
+def _named_aside(attributes: str) -> bool:
     for value in NAMED.findall(attributes):
         words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower())
-        if NOT_ARTICLE.intersection(words):
+        if any(w in NOT_ARTICLE and before not in NEGATES for before, w in zip(["", *words], words)):
             return True
     return False
 
 
+class Marks:
+    """Elements that are not the article by their class, id or role, and forms, as they open and close on a page.
+
+    Such names are on wrappers of the article too, so what an element holds decides: one with an article or main
+    element inside is a wrapper if it holds at least ``WRAPS`` of the words beside it (those without a mark, and
+    those of other such elements), and one without if it holds ``HOLDS_ALL`` of what its surroundings hold and, on
+    pages that name an article, no such words stand beside it.
+    """
+
+    def __init__(self) -> None:
+        self.now, self.words, self.articles = -1, 0, 0
+        self.parent: list[int] = []
+        self.held: list[int] = []
+        self.inside: list[int] = []
+        self.own: list[int] = []  # words by their innermost mark
+        self.plain = 0  # words without one
+
+    def open(self) -> None:
+        self.parent.append(self.now)
+        self.held.append(-self.words)
+        self.inside.append(-self.articles)
+        self.own.append(0)
+        self.now = len(self.parent) - 1
+
+    def close(self) -> None:
+        self.held[self.now] += self.words
+        self.inside[self.now] += self.articles
+        self.now = self.parent[self.now]
+
+    def text(self, n: int) -> None:
+        self.words += n
+        if self.now < 0:
+            self.plain += n
+        else:
+            self.own[self.now] += n
+
+    def asides(self) -> list[bool]:
+        """By mark, whether the element (or one around it) is not the article; False at the end for no mark."""
+        beside = [*self.own, self.plain]
+        for p, held, inside in zip(self.parent, self.held, self.inside):
+            beside[p] += held if inside else 0
+        off = [False] * len(beside)
+        for k, (p, held, inside) in enumerate(zip(self.parent, self.held, self.inside)):
+            around = self.held[p] if p >= 0 else self.words
+            wraps = held > 0 and (held >= WRAPS * beside[p] if inside else held >= HOLDS_ALL * around and not (self.articles and beside[p]))
+            off[k] = off[p] or not wraps
+        return off
+
+
 def scan(html: str) -> Iterator[tuple[str, str, bool, bool, int]]:
     """``(tag, text, aside, linked, article)`` in page order: a tag name (``/`` first in an end tag) or "" with a text.
 
     ``aside``: within an element that is not the article by its name, class, id or role; ``linked``: within
     a link; ``article``: how many article or main elements are open.
     """
-    stack: list[tuple[str, bool]] = []
+    marks = Marks()
+    found = list(_scan(html, marks))
+    off = marks.asides()
+    for tag, text, aside, mark, linked, article in found:
+        yield tag, text, aside or off[mark], linked, article
+
+
+def _scan(html: str, marks: Marks) -> Iterator[tuple[str, str, bool, int, bool, int]]:
+    stack: list[tuple[str, bool, bool]] = []
     place, aside, links, articles = 0, 0, 0, 0
 
     def pop_to(index: int) -> None:
         nonlocal aside, links, articles
-        for name, off in stack[index:]:
+        for name, off, marked in reversed(stack[index:]):
             aside -= off
             links -= name == "a"
             articles -= name in ("article", "main")
+            if marked:
+                marks.close()
         del stack[index:]
 
     def last(names: set[str], stop: set[str]) -> int:
@@ -84,9 +141,11 @@ def scan(html: str) -> Iterator[tuple[str, str, bool, bool, int]]:
         m = TAG.search(html, place)
         end = m.start() if m else len(html)
         if end > place:
-            yield "", html[place:end], aside > 0, links > 0, articles
+            if not aside:
+                marks.text(len(html[place:end].split()))
+            yield "", html[place:end], aside > 0, marks.now, links > 0, articles
         if not m:
-            return
+            break
         place = m.end()
         name = (m[2] or m[4] or "").lower()
         if not name:
@@ -95,23 +154,29 @@ def scan(html: str) -> Iterator[tuple[str, str, bool, bool, int]]:
             k = last({name}, set())
             if k >= 0:
                 pop_to(k)
-            yield "/" + name, "", aside > 0, links > 0, articles
+            yield "/" + name, "", aside > 0, marks.now, links > 0, articles
             continue
         if name in BLOCK and (k := last({"p"}, BLOCK - {"p"})) >= 0:
             pop_to(k)
         if name in CLOSES and (k := last({name} | ({"dt", "dd"} if name in ("dt", "dd") else {"td", "th"} if name in ("td", "th") else set()), CLOSES[name])) >= 0:
             pop_to(k)
         attributes = m[3] or ""
-        yield name, "", aside > 0, links > 0, articles
+        yield name, "", aside > 0, marks.now, links > 0, articles
         if name in RAW:
             close = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, place)
             place = close.end() if close else len(html)
         elif name not in VOID and not attributes.endswith("/"):
-            off = _not_article(name, attributes, articles > 0)
-            stack.append((name, off))
+            off = name in ASIDE or name == "header" and not articles
+            named = bool(attributes) and not off and _named_aside(attributes)
+            marked = not aside and not off and (name == "form" or named and name not in ROOTS)
+            if marked:
+                marks.open()
+            stack.append((name, off, marked))
             aside += off
             links += name == "a"
             articles += name in ("article", "main")
+            marks.articles += name in ("article", "main") and not named and not aside
+    pop_to(0)
 
 
 def _known(tag: str) -> str:
@@ -233,7 +298,7 @@ def extract(pages: DataFrame, weight: dict[str, float] | None = None, page_id: s
     A page is read once: words score positive and tags negative (tags little within an element that the page
     names its article), and a linear scan finds the contiguous
     blocks with the largest sum; in them, elements that name themselves as menu, advert, comments and so on
-    are left out. Scripts, styles and the head never count as text.
+    are left out, unless they wrap the article or all there is (``Marks``). Scripts, styles and the head never count as text.
 
     Defined cases: null or empty html and pages without words outside such elements give empty text; tags
     that are never closed end with what holds them; very long pages are read whole. Repeated rows stay; no

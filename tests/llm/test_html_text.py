@@ -70,3 +70,21 @@ def test_weights_come_from_labelled_pages(spark):
     assert got[None, None] == ("", 0) and got[3, "again"] == ("", 0) and got[99, "u"][1] == 499_999
     assert len(got) == 23 and h.extract(df.limit(0)).count() == 0
     assert h.learn(df.where("page_id = 99")) == h.DEFAULT
+
+
+@pytest.mark.parametrize("wrap", [
+    '<div class="content has-sidebar">{}</div>', '<div class="no-sidebar">{}</div>', '<form method="post" action="./">{}</form>', '<div id="share-widget">{}</div>',
+    '<form><div class="search related">{}</div></form>', '<main><div class="widget">{}</div></main>',
+])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>"])
+def test_wrappers_named_like_what_is_not_the_article(wrap, inner):
+    text = [f"{' '.join(WORDS)} {k}" for k in range(4)]
+    body = inner.format("".join(f"<p>{t}</p>" for t in text) + '<div class="related"><p>other posts</p></div>')
+    got = h.main_text(page(wrap.format(body), '<div id="comments"><article class="comment"><p>I agree</p></article></div>'), h.DEFAULT)
+    assert got.split("\n\n") == text
+
+
+def test_long_comments_beside_a_wrapped_article():
+    body = f'<div class="page with-widgets widget-area"><article><p>{" ".join(WORDS)}</p></article></div>'
+    extra = '<div id="comments">' + f'<article class="comment"><p>{" ".join(WORDS * 9)}</p></article>' * 3 + "</div>"
+    assert h.main_text(page(body, extra), h.DEFAULT) == " ".join(WORDS)
