@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 GRAM = 5  # words of an overlapping shingle
 SHORT = 7  # items of up to as many words must occur word for word
+WHOLE = 0.85  # share of an item's words, in shingles of the text, from which on a missing answer does not clear it
 BLOCK = 8  # items whose largest weights are kept together
 SHARD_BYTES = 32 << 20  # text of test items that are searched in one pass
 
@@ -57,11 +58,27 @@ class Item:
     def words(self) -> list[bytes]:
         return self.question + self.answer if self.question is not self.answer else self.question
 
+    @property
+    def tail(self) -> list[bytes]:
+        """The answer, extended backwards to a quarter of the words where it is shorter."""
+        words = self.words
+        return words[-max(len(self.answer), len(words) // 4, 1) :]
+
 
 def _grams(words: Sequence[bytes], n: int) -> list[tuple]:
     return list(zip(*[words[i:] for i in range(n)]))
 
 
+def _covered(words: list[bytes], have: set[tuple]) -> float:
+    """Share of the words that lie in a shingle of ``have``."""
+    covered, upto = 0, 0
+    for k, gram in enumerate(_grams(words, GRAM)):
+        if gram in have:
+            covered += k + GRAM - max(k, upto)
+            upto = k + GRAM
+    return covered / len(words)
+
+
 class Band:
     """Items of like length, and passages of twice that length that overlap by half.
 
@@ -162,15 +179,27 @@ class Index:
         return math.log(1 + (self.total - n + 0.5) / (n + 0.5))
 
     def _verified(self, item: Item, passage: list[bytes], present: set[bytes]) -> tuple[float, float]:
-        """Shares of the question's shingles and of the answer's words (by weight) that the passage holds."""
+        """Shares of the question's shingles and of the answer's words (by weight) that the passage holds.
+
+        What ends an item can be a word or two, so the answer counts as the best of its own words, of the item's last
+        quarter, and of the whole item if nearly all of it stands in the passage.
+        """
         words = item.words
         if len(words) <= SHORT:
             found = float(tuple(words) in set(_grams(passage, len(words))))
             return found, found
         n = min(GRAM, len(item.question))
         have, need = set(_grams(passage, n)), _grams(item.question, n)
-        answer = {t: self.idf(t) for t in item.answer}
-        return sum(g in have for g in need) / len(need), sum(x for t, x in answer.items() if t in present) / sum(answer.values())
+        question = sum(g in have for g in need) / len(need)
+        answer = max(self._share(item.answer, present), self._share(item.tail, present))
+        if question >= self.overlap and answer < self.overlap:
+            covered = _covered(words, set(_grams(passage, GRAM)))
+            answer = covered if covered >= WHOLE else answer
+        return question, answer
+
+    def _share(self, words: list[bytes], present: set[bytes]) -> float:
+        weights = {t: self.idf(t) for t in words}
+        return sum(x for t, x in weights.items() if t in present) / sum(weights.values())
 
     def search(self, texts: list[str | None]) -> list[list[tuple]]:
         """For each text ``(item, score, question overlap, answer overlap)`` of each item it holds."""
@@ -208,7 +237,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap
     ``benchmark`` has ``item_id`` and ``text``. Passages of every whole text overlap by half and are at least
     twice as long as the items they are searched for. All items whose BM25 score reaches ``threshold`` of
     their own are retrieved, and kept if ``overlap`` of the question's five-word shingles and of the answer's
-    words (by weight) stand in the passage. Term statistics cover all items. The items go to the
+    words (by weight) stand in the passage. An answer of less than a quarter of the item may be missing if the
+    item's last quarter stands there by as much, and any if ``WHOLE`` of all words stand there in shingles. Term statistics cover all items. The items go to the
     executors in shards of at most about ``shard_bytes`` of text; more items mean more passes.
 
     Defined cases: null and empty texts hold nothing; null or empty items, and items without a word, are

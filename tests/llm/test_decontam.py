@@ -81,3 +81,18 @@ def test_planted_items_in_the_documents(spark):
     want = {(r.doc_id, i) for r in docs.collect() for i, t in texts.items() if b" " + t + b" " in b" " + b" ".join(d.words_of(r.text)) + b" "}
     got = {(r.doc_id, r.item_id) for r in d.contaminated(docs, items).collect()}
     assert want and got >= want and len(got) <= len(want) + 2
+
+
+@pytest.mark.parametrize("ending", ["Ñ.", "so it is.", "", "and that was the end of it for us all."])
+@pytest.mark.parametrize("n", [8, 12, 40, 150])
+def test_edits_and_cuts_of_the_end(spark, ending, n):
+    rng = random.Random(n)
+    item = " ".join(f"q{rng.randrange(500)}" for _ in range(n)) + f". {ending}"
+    others = [(k, " ".join(f"q{rng.randrange(500)}" for _ in range(30)) + ".") for k in range(1, 40)]
+    words, filler = item.replace(".", "").split(), " ".join(f"z{k}" for k in range(90))
+    texts = [" ".join(words[:-1] + ["changed"]), " ".join(words[:-1] + [words[-1] + "ing"]), " ".join(words[:-1])]
+    lost = " ".join(words[: len(words) // 2])  # half of it is no leak
+    docs = spark.createDataFrame([(k, f"{filler} {t} {filler}") for k, t in enumerate([*texts, lost])], "doc_id long, text string")
+    items = spark.createDataFrame([(0, item), *others], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in d.contaminated(docs, items).collect()) == [(0, 0), (1, 0), (2, 0)]
+    assert [r.doc_id for r in d.clean(docs, items).collect()] == [3]
