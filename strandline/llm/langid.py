@@ -167,14 +167,27 @@ def train(words: list[bytes], labels: np.ndarray, counts: np.ndarray, langs: lis
 
 
 def learn(docs: DataFrame, sample: int = 3000, words: int = 60, folds: int = 4, held_out: int = 2, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:
-    """Fit on about ``sample`` labelled documents that are not held out, with ``words`` words drawn from each.
+    """Fit on labelled documents that are not held out, with ``words`` words drawn from each.
 
-    The words are drawn from the whole text, seeded by its checksum. None where no document has a label
-    and a word.
+    About ``sample`` documents are taken over all languages, and of each language at least about ``sample`` / 10 or
+    all it has, which then weigh as a tenth of the sample: a language is learned however rare it is in the corpus.
+    So the sample is bounded by ``sample`` and a tenth of it for each language. The words are drawn from the whole
+    text, seeded by its checksum. None where no document has a label and a word.
     """
+    label = F.col(lang).cast("string")
     open_ = docs.where(F.col(lang).isNotNull() & (remainder(doc_id, folds) != held_out))
-    share = min(1.0, sample / max(1, open_.count()))
-    chosen = open_.where(F.pmod(F.xxhash64(F.lit("langid"), doc_id), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else open_
+    sizes = {r[0]: r[1] for r in open_.groupBy(label.alias("l")).agg(F.count(F.lit(1))).collect()}  # a row for each language
+    share = min(1.0, sample / max(1, sum(sizes.values())))
+    shares = {name: min(1.0, max(share, sample / 10 / n)) for name, n in sizes.items()}
+    weight = {name: max(1.0, min(sample, sum(sizes.values())) / 10 / (n * shares[name])) for name, n in sizes.items()}
+    draw = F.pmod(F.xxhash64(F.lit("langid"), doc_id), F.lit(1 << 30))
+    raised = {name: x for name, x in shares.items() if x > share}
+    chosen = open_
+    if share < 1:
+        limit = F.lit(int(share * (1 << 30)))
+        if raised:
+            limit = F.coalesce(F.create_map(*[F.lit(v) for name, x in raised.items() for v in (name, int(x * (1 << 30)))])[label], limit)
+        chosen = open_.where(draw < limit)
 
     def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -190,14 +203,14 @@ def learn(docs: DataFrame, sample: int = 3000, words: int = 60, folds: int = 4,
         chosen.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
         .mapInPandas(drawn, "lang string, word binary")
         .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-        .limit(2 * sample * words).collect()  # bites only where one id has very many rows
+        .limit(2 * words * (sample + len(raised) * (sample // 10 + 1))).collect()  # bites only where one id has very many rows
     )
     if not rows:
         return None
     rows.sort(key=lambda r: (r.lang, bytes(r.word)))
     langs = sorted({r.lang for r in rows})
     place = {name: i for i, name in enumerate(langs)}
-    return train([bytes(r.word) for r in rows], np.array([place[r.lang] for r in rows]), np.array([r.n for r in rows]), langs)
+    return train([bytes(r.word) for r in rows], np.array([place[r.lang] for r in rows]), np.array([r.n * weight[r.lang] for r in rows]), langs)
 
 
 _known: dict[int, tuple[dict[bytes, int], list[np.ndarray]]] = {}

@@ -59,3 +59,12 @@ def test_odd_rows(spark):
     assert langid.learn(df.where("lang is null")) is None
     assert {r.lang_pred for r in langid.predict(df, None).collect()} == {"und"}
     assert langid.predict(df.limit(0), langid.learn(df)).count() == 0
+
+
+def test_rare_languages_are_learned(spark):
+    common, rare = "the old house by the river was sold", "ховајући стару кућу поред реке"
+    docs = spark.range(6000).selectExpr("id as doc_id", f"if(id % 1500 = 1, '{rare}', '{common}') as text", "if(id % 1500 = 1, 'sr', 'en') as lang")
+    assert docs.where("lang = 'sr'").count() == 4
+    net = langid.learn(docs, sample=40)
+    assert net.langs == ["en", "sr"]
+    assert langid.predict_batch([rare, common], net, -2)[0] == ["sr", "en"]
