@@ -158,3 +158,60 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     from strandline.llm.decontam import contaminated
 
     return contaminated(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+
+
+# SQL: crc32 of a text column by its table, in place of the function that it lacks.
+CRC = """
+bits(i, k, c) as (select i, 0, i from range(256) t(i) union all
+  select i, k + 1, case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end from bits where k < 8),
+crc_table as (select list(c order by i) as t from bits where k = 8)"""
+
+
+def crc(text: str) -> str:
+    """SQL: crc32 of ASCII ``text``, beside the table ``crc_table``."""
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::bigint)"
+    return f"xor(list_reduce({codes}, lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295::bigint), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::varchar) || ':' || {value}::varchar, '-')"
+
+
+@query("op12_manifest", f"""
+with recursive {CRC},
+d as (select doc_id, source, {crc("doc_id::varchar")} % 5 = 0 as tampered,
+         sha256({"||".join(map(_field, ["doc_id", "source", "lang", "n_chars", "text"]))}) as leaf,
+         sha256({"||".join(map(_field, ["doc_id", "source", "lang", "n_chars", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"]))}) as other
+  from documents, crc_table),
+ranked as (select *, dense_rank() over (order by source nulls first) - 1 as tree,
+         row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as idx, count(*) over (partition by source) as n from d),
+low(tree, level, idx, n, digest) as (
+  select tree, 0, idx, n, leaf from ranked
+  union all
+  select tree, level + 1, idx // 16, (max(n) + 15) // 16, sha256(string_agg(digest, '' order by idx)) from low where n > 1 group by tree, level, idx // 16),
+top(level, idx, n, digest) as (
+  select 0, tree, count(*) over (), digest from low where n = 1
+  union all
+  select level + 1, idx // 16, (max(n) + 15) // 16, sha256(string_agg(digest, '' order by idx)) from top where n > 1 group by level, idx // 16),
+nodes as (select tree, level, idx, n, digest from low union all select -1, level, idx, n, digest from top),
+around as (select a.tree, a.level, a.idx, a.n,
+         coalesce(string_agg(b.digest, '' order by b.idx) filter (b.idx < a.idx), '') as pre,
+         coalesce(string_agg(b.digest, '' order by b.idx) filter (b.idx > a.idx), '') as post
+  from nodes a join nodes b on a.tree = b.tree and a.level = b.level and a.idx // 16 = b.idx // 16 where a.n > 1 group by all),
+path(doc, leaf_idx, tree, level, idx, proof, folded) as (
+  select tree, idx, tree, 0, idx, '', case when tampered then other else leaf end from ranked
+  union all
+  select p.doc, p.leaf_idx, case when a.tree is null then -1 else p.tree end, case when a.tree is null then 0 else p.level + 1 end,
+         case when a.tree is null then p.doc else p.idx // 16 end, p.proof || coalesce(a.pre || a.post, ''),
+         case when a.tree is null then p.folded else sha256(a.pre || p.folded || a.post) end
+  from path p left join around a on a.tree = p.tree and a.level = p.level and a.idx = p.idx
+  where a.tree is not null or p.tree >= 0),
+ends as (select doc, leaf_idx, proof, folded from path p where tree = -1 and level = (select max(level) from top))
+select r.doc_id, r.leaf, s.digest as subroot, t.digest as root, sha256(e.proof) as proof_sha256, e.folded as folded_root, e.folded = t.digest as verified
+from ranked r join low s on s.tree = r.tree and s.n = 1 join top t on t.n = 1 join ends e on e.doc = r.tree and e.leaf_idx = r.idx
+""")
+def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    from strandline.llm.manifest import audited
+
+    out = audited(table(spark, folder, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
