@@ -215,3 +215,51 @@ def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
     out = audited(table(spark, folder, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
     return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op13_conversations", f"""
+with recursive {CRC},
+hit as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         {crc("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as k from conversations, crc_table),
+rows_ as (select conv_id, turn, case k when 4 then 'user' else role end as role,
+         case k when 1 then '' when 2 then translate(text, '.!?', '') else text end as text
+  from hit, unnest(case k when 3 then [0, 1] else [0] end) u(c) where k <> 0),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as pos, left(role, 1) as ini,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare from rows_),
+judged as (select *, case when bare = '' then 1 when row_number() over (partition by conv_id, role, text order by pos) > 1 then 2
+         when right(bare, 1) not in ('.', '!', '?') then 3 else 0 end as fault,
+         lag(ini) over (partition by conv_id order by pos) || ini as pair from placed),
+keeps(ini, s, t) as (values ('s', '0', 's'), ('u', '0', 'u'), ('u', 's', 'u'), ('a', 'u', 'a'), ('u', 'a', 'u')),
+turns(s, t, role) as (values ('0', 'u', 'user'), ('s', 'u', 'user'), ('u', 'a', 'assistant'), ('a', 'u', 'user')),
+fills(s, t, k, more, added) as (
+  select distinct s, s, 0, '', null from turns union all select s, t, 1, 'I', role || ':' from turns
+  union all select a.s, b.t, 2, 'II', a.role || ':' || chr(10) || b.role || ':' from turns a join turns b on a.t = b.s),
+ways(conv_id, pos, s, best) as (
+  select c.conv_id, 0::bigint, f.t, struct_pack(cost := 5 * f.k::bigint, audit := f.more, body := f.added)
+  from (select distinct conv_id from rows_) c, fills f where f.s = '0'
+  union all
+  select conv_id, pos, t, min(struct_pack(cost := cost, audit := audit, body := body)) from (
+    select w.conv_id, w.pos + 1 as pos, f.t, w.best.cost + e.cost + case when r.fault = 3 and e.edit <> 'D' then 5 else 0 end + 5 * f.k as cost,
+           w.best.audit || e.edit || f.more as audit,
+           nullif(concat_ws(chr(10), w.best.body, case when e.edit <> 'D' then coalesce(e.role, r.role) || ':' || r.text end, f.added), '') as body
+    from ways w join judged r on r.conv_id is not distinct from w.conv_id and r.pos = w.pos + 1
+    join (select s, t, 1 as cost, 'R' as edit, role, null as ini from turns union all select s, t, 0, 'K', null, ini from keeps
+          union all select distinct s, s, 2, 'D', null, null from turns) e
+      on e.s = w.s and (e.edit = 'D' or r.fault in (0, 3)) and (e.ini is null or e.ini = r.ini)
+    join fills f on f.s = e.t) x
+  group by conv_id, pos, t),
+facts as (select conv_id, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count(*) as n, count(*) filter (fault = 1) as blank,
+         count(*) filter (fault = 2) as duplicate, count(*) filter (fault = 3) as truncated,
+         count(*) filter (pair is not null and pair not in ('su', 'ua', 'au')) as illegal from judged group by conv_id),
+ends as (select f.conv_id, min(w.best) as best from ways w join facts f on f.conv_id is not distinct from w.conv_id and w.pos = f.n
+         where w.s in ('0', 'a') group by f.conv_id)
+select c.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, cast(coalesce(blank, 0) as bigint) as blank, cast(coalesce(duplicate, 0) as bigint) as duplicate,
+       cast(coalesce(truncated, 0) as bigint) as truncated, cast(coalesce(illegal, 0) as bigint) as illegal, cast(coalesce(e.best.cost, 0) as bigint) as cost,
+       coalesce(e.best.audit, '') as audit, sha256(coalesce(e.best.body, '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join facts f on f.conv_id is not distinct from c.conv_id
+left join ends e on e.conv_id is not distinct from c.conv_id
+""")
+def op13_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    from strandline.llm.conversations import repaired_damage
+
+    return repaired_damage(table(spark, folder, "conversations"))
