@@ -263,3 +263,12 @@ def op13_conversations(spark: SparkSession, folder: str) -> DataFrame:
     from strandline.llm.conversations import repaired_damage
 
     return repaired_damage(table(spark, folder, "conversations"))
+
+
+@query("op11_licenses")
+def op11_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    from strandline.llm.licenses import scan
+
+    return scan(table(spark, folder, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
