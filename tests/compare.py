@@ -40,7 +40,7 @@ def canonical(names, rows):
 # Queries that SQL cannot express; each has a test against a plain version.
 TESTED_ELSEWHERE = {
     "provenance_records", "pipeline",
-    "op2_html_text", "op3_langid", "op4_lattice", "op5_token_counts", "op6_token_files", "op8_quality", "op9_simhash", "op10_decontamination",
+    "op2_html_text", "op3_langid", "op4_lattice", "op5_token_counts", "op6_token_files", "op8_quality", "op9_simhash", "op10_decontamination", "op11_licenses",
 }
 
 
