@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.components import component_labels
 from strandline.functions.paths import normal_path
 from strandline.functions.references import primary_script
 from strandline.operators.edges import newest
 from strandline.schemas import LINEAGE
-from strandline.scale import is_empty, latest, materialize, multiset_digest, running_rank
+from strandline.scale import latest, materialize, multiset_digest, running_rank
 
 
 def normal_edges(edges: DataFrame, home: str) -> DataFrame:
@@ -61,37 +62,6 @@ def hashable_files(files: DataFrame, inventory: DataFrame) -> DataFrame:
     return files.join(inventory.select("path").distinct(), "path", "left_semi")
 
 
-def component_labels(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node in ``edges`` (a, b): the least node of its component.
-
-    Alternating large-star and small-star rounds: each needs one aggregate and one join, and the
-    number of rounds grows with the logarithm of the component size.
-    """
-    pair = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
-    current = materialize(edges.where(F.col("a") != F.col("b")).select(*pair).distinct(), "stars")
-    while True:
-        # Settled when every node hangs on one centre and no centre hangs on another.
-        inner = current.join(current.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a")
-        double = current.groupBy("a").count().where(F.col("count") > 1).select("a")
-        if is_empty(inner.unionByName(double)):
-            break
-        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where(F.col("b") > F.col("a")).join(least, "a").select(
-            F.col("b").alias("a"), F.col("m").alias("b")
-        ).where(F.col("a") != F.col("b")).distinct()
-        centre = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(centre, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(centre.select("a", F.col("m").alias("b")))
-            .where(F.col("a") != F.col("b"))
-            .distinct()
-        )
-        current = materialize(small, "stars")
-    centres = current.select(F.col("b").alias("node")).distinct().withColumn("label", F.col("node"))
-    return current.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(centres)
-
-
 def _resolve(sightings: DataFrame, existing: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
     """(sighting_id, label) and, of stored artifacts, (artifact_id, label, seen)."""
     key = F.concat_ws(":", "algorithm", F.lower("digest"))

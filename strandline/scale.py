@@ -33,12 +33,22 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` once and return the written table."""
+def written(df: DataFrame, label: str = "stage") -> tuple[DataFrame, str]:
+    """``df`` written once and read back, and the folder, for ``discard`` when no later step reads it."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write ``df`` once and return the written table."""
+    return written(df, label)[0]
 
 
 def materialize_counted(df: DataFrame, label: str = "stage") -> tuple[DataFrame, int]:

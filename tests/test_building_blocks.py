@@ -243,6 +243,43 @@ def test_components(spark):
     assert {k: got[k] for k in want} == want
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    from strandline import components as C
+
+    monkeypatch.setattr(C, "HEAVY", 50)
+    monkeypatch.setattr(C, "CHUNK", 500)
+    seen, looked_up = [], C._looked_up
+
+    def watched(rows, least, total):
+        # What goes through the shuffle holds no key with more than its share of the rows.
+        heavy = least.where(F.col("n") * C.HEAVY > total)
+        assert heavy.count() < C.HEAVY
+        light = rows.join(heavy.select("a"), "a", "left_anti").groupBy("a").count().agg(F.max("count")).first()[0]
+        seen.append((light or 0, total))
+        return looked_up(rows, least, total)
+
+    monkeypatch.setattr(C, "_looked_up", watched)
+    spokes = [(5000, k) for k in range(4000)] + [(k, 9000 + k % 7) for k in range(3000, 3400)] + [(20_000 + k, 19_999) for k in range(3000)]
+    chain = [(30_000 + k, 30_000 + (k * 37 + 11) % 400) for k in range(400)]
+    edges = spark.createDataFrame([*spokes, *spokes[:100], *chain, (7, 7), (None, 3), (50_000, 50_000)], "a long, b long").repartition(6)
+    got = {r.node: r.label for r in C.component_labels(edges).collect()}
+    assert got == {**{k: 0 for k in [*range(4000), 5000, *range(9000, 9007)]}, **{k: 19_999 for k in range(19_999, 23_000)}, **_plain_labels(chain)}
+    assert seen and all(light * C.HEAVY <= total for light, total in seen)
+    assert C.component_labels(edges.limit(0)).count() == 0
+
+
+def _plain_labels(edges):
+    label = {x: x for e in edges for x in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            low = min(label[a], label[b])
+            changed |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    return {x: v for x, v in label.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
 def test_artifacts_share_any_digest(spark):
     rows = [(1, "md5", "A"), (1, "sha256", "B"), (2, "sha256", "b"), (2, "sha512", "c"), (3, "sha512", "C"), (4, "md5", "z")]
     sights = spark.createDataFrame(rows, "sighting_id int, algorithm string, digest string")
