@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(
-    r"<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>|/?([a-zA-Z][^\s/>]*+)[^>]*+>|[!?/][^>]*+(?:>|\Z))",
-    re.S,
-)
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*+)")
+SPECIAL = re.compile("[\"'>]")
 NAMED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 
 # Elements of HTML by what they do to the text.
@@ -102,6 +101,66 @@ class Marks:
         return off
 
 
+class Tags:
+    """Tags of a page from front to back, in time that grows with the page however broken its markup is.
+
+    An attribute's quotes may hold ``>``. Where a quote never ends the tag ends at its first ``>`` instead; the quotes that
+    led there are remembered, so that no later tag follows them again. Without a ``>`` behind it ``<`` is text.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.special: list[int] | None = None
+        self.last = html.rfind(">")
+        self.dead: set[int] = set()
+
+    def _index(self) -> None:
+        self.special = [m.start() for m in SPECIAL.finditer(self.html)]
+        self.next: list[int] = [-1] * len(self.special)  # the next of the same kind
+        seen: dict[str, int] = {}
+        for k in range(len(self.special) - 1, -1, -1):
+            c = self.html[self.special[k]]
+            self.next[k] = seen.get(c, -1)
+            seen[c] = k
+
+    def _end(self, place: int, first: int) -> int:
+        """Place of the ``>`` outside of quotes that ends a tag, or -1; ``first`` is that of the first ``>``."""
+        if self.html.find('"', place, first) < 0 and self.html.find("'", place, first) < 0:
+            return first
+        if self.special is None:
+            self._index()
+        k, passed = bisect_left(self.special, place), []
+        while 0 <= k < len(self.special) and k not in self.dead:
+            if self.html[self.special[k]] == ">":
+                return self.special[k]
+            passed.append(k)
+            if self.next[k] < 0:
+                break
+            k = self.next[k] + 1
+        self.dead.update(passed)
+        return -1
+
+    def after(self, place: int) -> tuple[int, int, str, bool, str] | None:
+        """``(start, end, name, closing, attributes)`` of the next tag; the name is empty for comments and the like."""
+        html = self.html
+        start = html.find("<", place)
+        while start >= 0:
+            if html.startswith("<!--", start):
+                ends = [(k, k + len(mark)) for mark in ("-->", "--!>") if (k := html.find(mark, start + 4)) >= 0]
+                return start, min(ends)[1] if ends else len(html), "", False, ""
+            m = NAME.match(html, start + 1) if start < self.last else None
+            if m:
+                first = html.find(">", m.end())
+                end = self._end(m.end(), first)
+                attributes = html[m.end() : end] if end >= 0 else ""
+                return start, (end if end >= 0 else first) + 1, m[1].lower(), html[start + 1] == "/", attributes
+            if html.startswith(("<!", "<?", "</"), start):
+                end = html.find(">", start)
+                return start, end + 1 if end >= 0 else len(html), "", False, ""
+            start = html.find("<", start + 1)
+        return None
+
+
 def scan(html: str) -> Iterator[tuple[str, str, bool, bool, int]]:
     """``(tag, text, aside, linked, article)`` in page order: a tag name (``/`` first in an end tag) or "" with a text.
 
@@ -117,60 +176,63 @@ def scan(html: str) -> Iterator[tuple[str, str, bool, bool, int]]:
 
 def _scan(html: str, marks: Marks) -> Iterator[tuple[str, str, bool, int, bool, int]]:
     stack: list[tuple[str, bool, bool]] = []
-    place, aside, links, articles = 0, 0, 0, 0
+    open_at: dict[str, list[int]] = defaultdict(list)  # places in the stack by name, and of blocks but paragraphs
+    place, aside, links, articles, tags = 0, 0, 0, 0, Tags(html)
 
     def pop_to(index: int) -> None:
         nonlocal aside, links, articles
-        for name, off, marked in reversed(stack[index:]):
+        while len(stack) > index:
+            name, off, marked = stack.pop()
+            open_at[name].pop()
+            if name in BLOCK and name != "p":
+                open_at[""].pop()
             aside -= off
             links -= name == "a"
             articles -= name in ("article", "main")
             if marked:
                 marks.close()
-        del stack[index:]
 
     def last(names: set[str], stop: set[str]) -> int:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                return k
-            if stack[k][0] in stop:
-                return -1
-        return -1
+        """Place of the innermost open element of ``names`` that none of ``stop`` lies within, or -1."""
+        at = max((open_at[x][-1] for x in names if open_at[x]), default=-1)
+        return at if at > max((open_at[x][-1] for x in stop if open_at[x]), default=-1) else -1
 
     while place < len(html):
-        m = TAG.search(html, place)
-        end = m.start() if m else len(html)
+        tag = tags.after(place)
+        end = tag[0] if tag else len(html)
         if end > place:
             if not aside:
                 marks.text(len(html[place:end].split()))
             yield "", html[place:end], aside > 0, marks.now, links > 0, articles
-        if not m:
+        if not tag:
             break
-        place = m.end()
-        name = (m[2] or m[4] or "").lower()
+        _, place, name, closing, attributes = tag
         if not name:
             continue
-        if m[1] or m[4] and html[m.start() + 1] == "/":
+        if closing:
             k = last({name}, set())
             if k >= 0:
                 pop_to(k)
             yield "/" + name, "", aside > 0, marks.now, links > 0, articles
             continue
-        if name in BLOCK and (k := last({"p"}, BLOCK - {"p"})) >= 0:
+        if open_at["p"] and name in BLOCK and (k := last({"p"}, {""})) >= 0:
             pop_to(k)
         if name in CLOSES and (k := last({name} | ({"dt", "dd"} if name in ("dt", "dd") else {"td", "th"} if name in ("td", "th") else set()), CLOSES[name])) >= 0:
             pop_to(k)
-        attributes = m[3] or ""
         yield name, "", aside > 0, marks.now, links > 0, articles
         if name in RAW:
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, place)
-            place = close.end() if close else len(html)
+            close = re.compile(rf"</{name}\b", re.I).search(html, place)
+            end = html.find(">", close.end()) if close else -1
+            place = end + 1 if end >= 0 else len(html)
         elif name not in VOID and not attributes.endswith("/"):
             off = name in ASIDE or name == "header" and not articles
             named = bool(attributes) and not off and _named_aside(attributes)
             marked = not aside and not off and (name == "form" or named and name not in ROOTS)
             if marked:
                 marks.open()
+            open_at[name].append(len(stack))
+            if name in BLOCK and name != "p":
+                open_at[""].append(len(stack))
             stack.append((name, off, marked))
             aside += off
             links += name == "a"

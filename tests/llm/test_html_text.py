@@ -1,6 +1,7 @@
 """Main text: pages of known truth, the linear scan against all runs, and odd markup."""
 
 import itertools
+import time
 
 import pytest
 
@@ -88,3 +89,17 @@ def test_long_comments_beside_a_wrapped_article():
     body = f'<div class="page with-widgets widget-area"><article><p>{" ".join(WORDS)}</p></article></div>'
     extra = '<div id="comments">' + f'<article class="comment"><p>{" ".join(WORDS * 9)}</p></article>' * 3 + "</div>"
     assert h.main_text(page(body, extra), h.DEFAULT) == " ".join(WORDS)
+
+
+@pytest.mark.parametrize("part", [
+    "<a ", '<a x="', "<a<", "</x>", "<!", "<p>", "<div>", "<b><i></u>", "<script>", "<a '\">", '<a "', "</script ", "<li><ul><b>", "<li></li>", "<td '>",
+])
+def test_long_broken_markup_takes_no_longer_a_byte(part):
+    # Time grows with the page: four times as much takes some four times as long, not sixteen times.
+    def took(n):
+        start = time.process_time()
+        h.main_text("<li><ul>" + "<b>" * 1000 + part * n + ">x", h.DEFAULT)
+        return time.process_time() - start
+
+    n = 300_000 // len(part)
+    assert took(n) < 6 * took(n // 4) + 1.0
