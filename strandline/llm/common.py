@@ -12,10 +12,11 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.scale import materialize, scratch_root
+from strandline.components import component_labels, forest
+from strandline.scale import materialize, scratch_root, written
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,12 +28,6 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder that no later step reads."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def qualified(spark: SparkSession, path: str) -> str:
     """``path`` with its file system, as tasks outside the JVM need it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -46,13 +41,6 @@ def store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """``df`` written to a scratch folder and read back, and that folder."""
-    spark, path = df.sparkSession, scratch_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, name: str) -> DataFrame:
     """Inclusive running sum of ``value`` within ``keys`` in a total ``order``, for keys of any size.
 
@@ -163,54 +151,6 @@ def _arrays(parts: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
     return {n: to_numpy(whole.column(n)) for n in whole.schema.names}
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Root of each of n members under links a[i] - b[i]; the root is the first member of its tree."""
-    parent = np.arange(n)
-    while a.size:
-        low, high = np.minimum(parent[a], parent[b]), np.maximum(parent[a], parent[b])
-        open_ = low != high
-        if not open_.any():
-            break
-        a, b = a[open_], b[open_]
-        np.minimum.at(parent, high[open_], low[open_])
-        while True:
-            up = parent[parent]
-            if np.array_equal(up, parent):
-                break
-            parent = up
-    return parent
-
-
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """``(node, component)`` for the nodes of ``edges``; the component is its smallest node.
-
-    Alternating large-star and small-star steps; each round is written to the shared folder and
-    read back, and the last table is the result. Only counts reach the driver.
-    """
-    spark = edges.sparkSession
-
-    def step(e: DataFrame) -> DataFrame:
-        both = e.union(e.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        lows = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(lows, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return hung.union(lows.select("a", F.col("m").alias("b"))).distinct()
-
-    def put(e: DataFrame) -> tuple[DataFrame, str, tuple]:
-        seen = Observation()
-        sums = [F.count(F.lit(1)).alias("n"), *[F.sum(F.shiftrightunsigned(F.xxhash64(F.lit(i), "a", "b"), 32)).alias(f"h{i}") for i in (1, 2)]]
-        out, path = written(e.observe(seen, *sums), "star")
-        return out, path, tuple(seen.get[k] for k in ("n", "h1", "h2"))
-
-    start = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
-    now, path, mark = put(start)
-    while True:
-        after, new_path, new_mark = put(step(now))
-        delete(spark, path)
-        if new_mark == mark:
-            break
-        now, path, mark = after, new_path, new_mark
-    return after.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-        after.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )
+    """``(node, component)`` for the nodes of ``edges``; the component is its smallest node."""
+    return component_labels(edges, a, b).withColumnRenamed("label", "component")
