@@ -33,11 +33,14 @@ _buckets: dict[bytes, int] = {}
 
 
 def _bucket(shape: bytes) -> int:
+    """Bucket of the whole shape; those of short ones are remembered."""
+    if len(shape) > 16:
+        return zlib.crc32(shape) % SHAPES
     found = _buckets.get(shape)
     if found is None:
         if len(_buckets) > 100_000:
             _buckets.clear()
-        found = _buckets[shape] = zlib.crc32(shape[:16]) % SHAPES
+        found = _buckets[shape] = zlib.crc32(shape) % SHAPES
     return found
 
 
@@ -179,6 +182,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "te
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """``docs`` that the classifier does not reject, with their own columns."""
+    """``docs`` that the classifier does not reject, with their own columns, whatever their names.
+
+    Defined cases: null counts as empty text and is kept or rejected by the score of that; repeated rows are kept
+    or rejected alike; without labels every score is the prior's; no rows give no rows.
+    """
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
     return score(rows, learn(docs, labels), threshold, "_text").where("predicted = 1").select("_row.*")

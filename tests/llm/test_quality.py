@@ -51,3 +51,22 @@ def test_odd_rows(spark):
     assert quality.score(df.limit(0), quality.learn(df.limit(0), labels.limit(0))).count() == 0
     kept = quality.accepted(df, labels)
     assert kept.columns == df.columns
+
+
+def test_whole_words_count():
+    # Words that differ from the seventeenth run on are told apart.
+    long = "a1" * 40
+    others = {quality._bucket(quality_shape(long[:n])) for n in range(17, 80)}
+    assert len(others) > 40
+
+
+def quality_shape(word):
+    import re
+
+    return re.sub("[0-9]+", "0", word).encode()
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "Some plain words.", 7, 8, 9)], "doc_id long, text string, _row int, _text int, predicted int")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.accepted(df, labels, threshold=0.0).first() == df.first()
