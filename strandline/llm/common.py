@@ -72,7 +72,7 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column], v
 def meet(
     rows: DataFrame, key: str, member: str, columns: Sequence[str],
     link: Callable[[dict[str, np.ndarray]], pa.RecordBatch | None], schema: str, block: int = 1024,
-    payload: DataFrame | None = None,
+    payload: DataFrame | None = None, weight: str | None = None, heavy: int = 0,
 ) -> DataFrame:
     """Let the members of each bucket meet: ``link`` sees every pair of a bucket at least once.
 
@@ -81,14 +81,16 @@ def meet(
     ``2 * block`` members of a bucket, however large it is, and nothing is left out. ``link`` gets
     the arrays of ``columns`` and of ``_side``: members of the lower slice are 0, of the upper 1; all
     are 0 where a slice meets itself. Lone members are dropped before ``payload`` (further columns
-    by ``member``) is joined and before the second shuffle.
+    by ``member``) is joined and before the second shuffle. With ``weight``, a column of ``rows``, slices are
+    also made so many that one has some ``heavy`` of it.
     """
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    load = F.sum(F.coalesce(F.col(weight), F.lit(0))) / heavy if weight else F.lit(0.0)
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), load.alias("_load")).where("_n > 1")
     shared = rows.join(sizes, key)
     if payload is not None:
         shared = shared.join(payload, member)
     cut = (
-        shared.withColumn("_slices", F.ceil(F.col("_n") / block).cast("int"))
+        shared.withColumn("_slices", F.ceil(F.greatest(F.col("_n") / block, F.least("_load", "_n"))).cast("int"))
         .withColumn("_own", F.pmod(F.xxhash64(F.lit("slice"), member), F.col("_slices")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
         .select(

@@ -128,15 +128,18 @@ def simhash_groups(
     give no rows. Other columns pass through, except ones named as the two new columns.
     """
     kept = [c for c in docs.columns if c not in (text, "fingerprint", "component_id")]
-    return _grouped(docs.select(*kept, text), words, bits, doc_id, text).select(
-        *kept, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_component_id").alias("component_id")
+    row = F.struct(*[F.col(c) for c in kept]).alias("_row")
+    grouped = _grouped(docs.select(row, F.col(doc_id).alias("_id"), F.col(text).alias("_text")), words, bits)
+    return grouped.select(
+        *[F.col("_row")[c].alias(c) for c in kept],
+        F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_component_id").alias("component_id"),
     )
 
 
-def _grouped(docs: DataFrame, words: int, bits: int, doc_id: str, text: str) -> DataFrame:
-    """``docs`` without their text, with ``_fp``, ``_component`` (a fingerprint) and ``_component_id``."""
-    marked, _ = written(docs.withColumn("_fp", fingerprints(docs, words, text)).drop(text), "fingerprints")
-    fps, _ = written(marked.groupBy("_fp").agg(F.min(doc_id).alias("_least")), "distinct-fingerprints")
+def _grouped(docs: DataFrame, words: int, bits: int) -> DataFrame:
+    """``docs`` (_row, _id, _text) without the text, with ``_fp``, ``_component`` (a fingerprint) and ``_component_id``."""
+    marked, _ = written(docs.withColumn("_fp", fingerprints(docs, words, "_text")).drop("_text"), "fingerprints")
+    fps, _ = written(marked.groupBy("_fp").agg(F.min("_id").alias("_least")), "distinct-fingerprints")
     found = components(links(fps, "_fp", bits), "a", "b").withColumnRenamed("node", "_fp")
     grouped = fps.join(found, "_fp", "left").withColumn("_component", F.coalesce("component", "_fp"))
     least = grouped.groupBy("_component").agg(F.min("_least").alias("_component_id"))
@@ -144,22 +147,32 @@ def _grouped(docs: DataFrame, words: int, bits: int, doc_id: str, text: str) ->
     return marked.join(named, "_fp")
 
 
+def row_keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(_row, _first, _text): whole rows of ``docs``, and what orders and names them: ids of any type, null after all others."""
+    own = F.col(doc_id)
+    key = F.concat(F.when(own.isNull(), "-").otherwise("="), F.coalesce(own.cast("string"), F.lit("")))
+    digest = [F.xxhash64(F.lit(k), own.isNull(), *[F.col(c).cast("string") for c in docs.columns]) for k in (0, 1)]
+    return docs.select(
+        F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(text).alias("_text"),
+        F.struct(own.isNull().alias("none"), own.alias("own"), key.alias("key"), digest[0].alias("h0"), digest[1].alias("h1")).alias("_first"),
+    )
+
+
+def rows_named(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The whole rows of ``rows`` (from ``row_keys``) that ``firsts`` (_first) names; equal rows once."""
+    by = ["_key", "_h0", "_h1"]
+
+    keys = [F.col(f"_first.{c[1:]}").alias(c) for c in by]
+    found = rows.select("_row", *keys).join(firsts.select(*keys), by, "left_semi")
+    return found.dropDuplicates(by).select("_row.*")
+
+
 def first_of_groups(docs: DataFrame, words: int = 3, bits: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id (null after all others).
 
-    Where that id is repeated, the row with the smallest hash of all its columns stays.
+    Where that id is repeated, the row with the smallest hashes of all its columns stays. Ids may be of any type that
+    has an order, and columns may have any names.
     """
-    tagged = docs.select(
-        F.struct(*[F.col(c) for c in docs.columns]).alias("_row"),
-        F.coalesce(F.col(doc_id), F.lit(0)).alias("_id"),
-        F.xxhash64(F.col(doc_id).isNull(), *[F.col(c).cast("string") for c in docs.columns]).alias("_hash"),
-    )
-    groups = _grouped(
-        tagged.select("_id", "_hash", F.col(f"_row.{doc_id}").alias("_own"), F.col(f"_row.{text}").alias("_text")),
-        words, bits, "_own", "_text",
-    )
-    chosen = groups.groupBy("_component").agg(
-        F.min(F.struct(F.col("_own").isNull().alias("none"), "_id", "_hash")).alias("first")
-    ).select(F.col("first._id").alias("_id"), F.col("first._hash").alias("_hash"))
-    # One shuffle by (_id, _hash) serves the semi-join and the removal of repeated rows.
-    return tagged.join(chosen, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select("_row.*")
+    rows = row_keys(docs, doc_id, text)
+    groups = _grouped(rows.select(F.col("_first").alias("_row"), F.col("_first.own").alias("_id"), "_text"), words, bits)
+    return rows_named(rows, groups.groupBy("_component").agg(F.min("_row").alias("_first")))

@@ -76,3 +76,18 @@ def test_pairs_at_the_limit_share_a_band():
         a, b = np.sort(own[:100]), np.sort(np.concatenate([own[:89], own[100:]]))  # 89 of 111
         assert set(r.bands_of(a)) & set(r.bands_of(b))
         assert r.near_pairs([a, b], 0.8).all() and not r.near_pairs([a, b], 0.81)[0, 1]
+
+
+def test_text_ids_clashing_names_and_heavy_texts(spark, monkeypatch):
+    monkeypatch.setattr(r, "SLICE_BYTES", 300)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(60)]
+    rows = [(f"id{k:02d}", " ".join([*base[:k], f"x{k}", *base[k + 1 :]]) if k % 5 == 0 else " ".join(base)) for k in range(30)] + [("z", "another text of its own"), (None, "stray")]
+    names = "_row int, _first int, _text int, _set int, _bands int, _key int, _h0 int, a int, b int, component int, _component int, _bucket int, _n int"
+    df = spark.createDataFrame([(*row, *range(13)) for row in rows], f"doc_id string, text string, {names}").repartition(3)
+    got = r.first_of_groups(df)
+    assert got.columns == df.columns
+    want = plain_firsts(rows[:-1])
+    kept = got.collect()
+    assert sorted(d.doc_id for d in kept if d.doc_id is not None) == want and len(kept) == len(want) + 1
+    assert all(tuple(d)[2:] == tuple(range(13)) for d in kept)

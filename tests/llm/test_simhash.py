@@ -76,3 +76,13 @@ def test_no_rows_and_one_of_each_group(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
     kept = sorted((tuple(r) for r in simhash.first_of_groups(docs).collect()), key=str)
     assert kept == sorted([(2, "p q r s", 2), (None, "u v w", 3), (None, "k l m", 4), (7, "z z z", 5)], key=str)
+
+
+def test_text_ids_and_clashing_names(spark):
+    names = ["_row", "_id", "_text", "_fp", "_least", "_component", "_component_id", "_any", "bucket", "fp", "component"]
+    rows = [("b", "one two three four"), ("a", "one two three four"), (None, "five six seven"), ("c", None)]
+    df = spark.createDataFrame([(*r, *range(11)) for r in rows], "doc_id string, text string, " + ", ".join(f"{n} int" for n in names))
+    got = simhash.simhash_groups(df).collect()
+    assert sorted(((g.doc_id, g.component_id) for g in got), key=str) == sorted([("a", "a"), ("b", "a"), (None, None), ("c", "c")], key=str)
+    assert all([g[n] for n in names] == list(range(11)) for g in got)
+    assert sorted((d.doc_id for d in simhash.first_of_groups(df).collect()), key=str) == sorted(["a", None, "c"], key=str)
