@@ -18,7 +18,8 @@ RENAMES = ["rename", "renameat", "renameat2"]
 def fork_heads(processes: DataFrame) -> DataFrame:
     """(run_id, pid, head): the nearest ancestor-or-self that runs another command than its parent.
 
-    Pointers double every round, so a chain of n forks takes log n joins.
+    Pointers double every round, so a chain of n forks takes log n joins. Processes whose parents lead into a cycle
+    (pids that were used again) have no such ancestor and are heads themselves.
     """
     parents = processes.select("run_id", F.col("pid").alias("parent_pid"), F.col("command").alias("_above"))
     joined = processes.join(parents, ["run_id", "parent_pid"], "left")
@@ -31,7 +32,8 @@ def fork_heads(processes: DataFrame) -> DataFrame:
     reach, processes_left = 1, state.count()
     while not is_empty(open_):
         if reach > processes_left:
-            raise RuntimeError("process parents form a cycle")
+            settled = settled.unionByName(open_.withColumn("head", F.col("pid")))
+            break
         reach *= 2
         hop = settled.unionByName(open_).select(
             "run_id", F.col("pid").alias("head"), F.col("head").alias("_next"), F.col("done").alias("_next_done")
@@ -125,41 +127,74 @@ def descriptor_touches(syscalls: DataFrame) -> DataFrame:
     )
 
 
-def _inherited(opens: DataFrame, wanted: DataFrame, forks: DataFrame) -> DataFrame:
-    """(run_id, pid, fd, inherited): what a descriptor meant in the parent when it forked.
+def generations(touches: DataFrame, forks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``touches`` with the generation ``gen`` of their process, and ``births`` (run_id, gen, up, ts, seq).
 
-    A child's descriptor without an open of its own is looked up in its parent as of the fork,
-    then in the grandparent, and so on. Only open questions travel up, so no table of
-    descriptors is copied per fork.
+    A pid can be used again: a generation is a pid from one fork that made it to the next; before the first it is
+    the pid's own. A touch belongs to the generation alive when it happened, and ``up`` is the generation of the
+    forking pid that was alive before the fork, so parents are older than their children and no chain of them is a
+    cycle, whatever pids they have. Forks at one (ts, seq) follow each other by pid and child.
     """
-    births = forks.select(
-        "run_id", F.col("child_pid").alias("_at"), F.col("pid").alias("_up"), F.col("ts").alias("_fork_ts"), F.col("seq").alias("_fork_seq")
+    name = F.concat_ws(":", "pid", "ts", "seq", "by")
+    nothing = F.lit(None)
+    forks = forks.select("run_id", "pid", "child_pid", "ts", "seq").distinct()
+    born = forks.select("run_id", F.col("child_pid").alias("pid"), "ts", "seq", F.col("pid").alias("by"), F.col("child_pid").alias("made"))
+    rows = born.select("run_id", "pid", "ts", "seq", F.lit(0).alias("late"), "by", "made", F.lit(1).alias("kind"), name.alias("mark"))
+    asked = forks.select("run_id", "pid", "ts", "seq", F.lit(0).alias("late"), F.col("pid").alias("by"), F.col("child_pid").alias("made"), F.lit(0).alias("kind"), nothing.cast("string").alias("mark"))
+    seen = touches.select("run_id", "pid", "ts", "seq", F.lit(1).alias("late"), F.lit(0).cast("bigint").alias("by"), F.lit(0).cast("bigint").alias("made"), F.lit(2).alias("kind"), nothing.cast("string").alias("mark"), "fd", "path", "touch")
+    timeline = seen.unionByName(rows, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True)
+    dated = fill_forward(timeline, ["run_id", "pid"], ["ts", "seq", "late", "by", "made", "kind"], "mark", "alive")
+    dated = materialize(dated.withColumn("gen", F.coalesce("alive", F.concat(F.col("pid").cast("string"), F.lit(":")))), "generations")
+    births = dated.where("kind = 0").select(
+        "run_id", F.concat_ws(":", "made", "ts", "seq", "by").alias("gen"), F.col("gen").alias("up"), "ts", "seq"
     )
-    asked = materialize(
-        wanted.select("run_id", "pid", "fd").distinct().withColumn("_at", F.col("pid")), "asked"
+    return dated.where("kind = 2").select("run_id", "gen", "fd", "ts", "seq", "path", "touch"), births
+
+
+def _looked_up(opens: DataFrame, questions: DataFrame, births: DataFrame) -> DataFrame:
+    """(run_id, gen, fd, up, found): what ``fd`` was in the parent when ``gen`` was born; null if it had no open of it."""
+    nothing = F.lit(None)
+    asked = questions.join(births, ["run_id", "gen"]).select(
+        "run_id", F.col("up").alias("at"), "fd", "ts", "seq", F.lit(1).alias("late"), nothing.cast("string").alias("path"), F.col("gen").alias("origin")
     )
-    answers = None
+    known = opens.select("run_id", F.col("gen").alias("at"), "fd", "ts", "seq", F.lit(0).alias("late"), "path", nothing.cast("string").alias("origin"))
+    looked = fill_forward(known.unionByName(asked), ["run_id", "at", "fd"], ["ts", "seq", "late", "origin"], "path", "found").where("origin is not null")
+    return materialize(looked.select("run_id", F.col("origin").alias("gen"), "fd", F.col("at").alias("up"), "found"), "looked")
+
+
+def _inherited(opens: DataFrame, lost: DataFrame, births: DataFrame) -> DataFrame:
+    """(run_id, gen, fd, inherited): what a descriptor meant in the parent when it forked, or in the nearest ancestor.
+
+    Most questions end at the parent. For the others all ancestors are listed by pointers that double every
+    round, all are asked at once, and the answers come down by doubling again: a chain of n forks takes
+    about 2 log n joins.
+    """
+    first = _looked_up(opens, lost.select("run_id", "gen", "fd").distinct(), births)
+    hits = first.where("found is not null").select("run_id", "gen", "fd", F.col("found").alias("inherited"))
+    open_ = first.where("found is null").select("run_id", "gen", "fd", "up")
+    if is_empty(open_):
+        return hits
+    chain, jump = open_.select("run_id", F.col("up").alias("gen"), "fd").distinct(), births.select("run_id", "gen", "up")
     while True:
-        lifted = asked.join(births, ["run_id", "_at"]).select(
-            "run_id", "pid", "fd", F.col("_up").alias("_at"), F.col("_fork_ts").alias("ts"), F.col("_fork_seq").alias("seq")
-        )
-        lifted, rows = materialize_counted(lifted, "lifted")
+        leap = jump.select("run_id", F.col("gen").alias("up"), F.col("up").alias("_over"))
+        chain = materialize(chain.unionByName(chain.join(jump, ["run_id", "gen"]).select("run_id", F.col("up").alias("gen"), "fd")).distinct(), "ancestors")
+        jump, rows = materialize_counted(jump.join(leap, ["run_id", "up"]).select("run_id", "gen", F.col("_over").alias("up")), "jumps")
         if not rows:
             break
-        nothing = F.lit(None)
-        timeline = opens.select(
-            "run_id", F.col("pid").alias("_at"), "fd", "ts", "seq", "path", nothing.cast("bigint").alias("_origin")
-        ).unionByName(
-            lifted.select("run_id", "_at", "fd", "ts", "seq", nothing.cast("string").alias("path"), F.col("pid").cast("bigint").alias("_origin"))
-        )
-        looked = fill_forward(timeline, ["run_id", "_at", "fd"], ["ts", "seq"], "path", "found").where(F.col("_origin").isNotNull())
-        looked = materialize(looked.select("run_id", F.col("_origin").alias("pid"), "fd", "_at", "found"), "looked")
-        hit = looked.where(F.col("found").isNotNull()).select("run_id", "pid", "fd", F.col("found").alias("inherited"))
-        answers = hit if answers is None else answers.unionByName(hit)
-        asked = looked.where(F.col("found").isNull()).select("run_id", "pid", "fd", "_at")
-    if answers is None:
-        return wanted.select("run_id", "pid", "fd", F.lit(None).cast("string").alias("inherited")).limit(0)
-    return answers
+    asked = _looked_up(opens, chain, births)
+    settled, waiting = asked.where("found is not null").select("run_id", "gen", "fd", "found"), asked.where("found is null").select("run_id", "gen", "fd", "up")
+    while True:
+        # Who waits for one that is settled is settled; who waits for another takes over what that one waits for.
+        above = settled.select("run_id", "gen", "fd", "found", F.lit(None).cast("string").alias("next")).unionByName(
+            waiting.select("run_id", "gen", "fd", F.lit(None).cast("string").alias("found"), F.col("up").alias("next"))
+        ).withColumnRenamed("gen", "up")
+        moved, rows = materialize_counted(waiting.join(above, ["run_id", "up", "fd"]), "answers")
+        if not rows:
+            break
+        settled = settled.unionByName(moved.where("found is not null").select("run_id", "gen", "fd", "found"))
+        waiting = moved.where("found is null").select("run_id", "gen", "fd", F.col("next").alias("up"))
+    answers = open_.join(settled.select("run_id", F.col("gen").alias("up"), "fd", "found"), ["run_id", "up", "fd"])
+    return hits.unionByName(answers.select("run_id", "gen", "fd", F.col("found").alias("inherited")))
 
 
 def file_sets(syscalls: DataFrame, forks: DataFrame | None = None) -> DataFrame:
@@ -167,15 +202,17 @@ def file_sets(syscalls: DataFrame, forks: DataFrame | None = None) -> DataFrame:
 
     ``syscalls``: (run_id, pid, ts, seq, syscall, fd, path[, fd2, prot, flags, ret]); an open binds
     (pid, fd) to its path until the next open; close does not. ``forks``: (run_id, pid, child_pid,
-    ts, seq) lets children see the descriptors of their parent at the fork.
+    ts, seq) lets children see the descriptors of their parent at the fork; a pid that is used again
+    begins anew.
     """
-    key = ["run_id", "pid", "fd"]
     touches = descriptor_touches(syscalls)
-    bound = fill_forward(touches, key, ["ts", "seq"], "path", "bound")
-    if forks is not None:
-        bound = materialize(bound, "bound")
-        lost = bound.where(F.col("bound").isNull())
-        inherited = _inherited(touches.where(F.col("touch") == "open"), lost, forks)
+    if forks is None:
+        bound = fill_forward(touches, ["run_id", "pid", "fd"], ["ts", "seq"], "path", "bound")
+    else:
+        touches, births = generations(touches, forks)
+        key = ["run_id", "gen", "fd"]
+        bound = materialize(fill_forward(touches, key, ["ts", "seq"], "path", "bound"), "bound")
+        inherited = _inherited(touches.where(F.col("touch") == "open"), bound.where(F.col("bound").isNull()), births)
         bound = bound.join(inherited, key, "left").withColumn("bound", F.coalesce("bound", "inherited"))
     renamed = syscalls.where(F.col("syscall").isin(RENAMES) & F.col("path").isNotNull()).select(
         "run_id", F.col("path").alias("bound"), F.lit("write").alias("touch")

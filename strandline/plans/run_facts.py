@@ -348,6 +348,44 @@ def _(w):
     return J.file_sets(log, forks)
 
 
+# As before, but the grandchild forks a process that gets the child's pid again, three quarters into the time.
+REFORKED = (
+    """spans as (select user_id, (min(epoch_us(ts)) * 3 + max(epoch_us(ts))) // 4 as f1, (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 as f2,
+  (min(epoch_us(ts)) + max(epoch_us(ts)) * 3) // 4 as f3 from events group by user_id having max(epoch_us(ts)) > min(epoch_us(ts)) + 8)""",
+    """rlog as (select pid % 10 as run_id, pid as user_id, case when event_id % 7 = 3 and epoch_us(ts) > f2 then 'b' when event_id % 3 = 2 and epoch_us(ts) > f3 then 'c'
+    when event_id % 3 = 2 and epoch_us(ts) > f1 then 'a' else 'u' end as gen, epoch_us(ts) as ts, event_id as seq, syscall, fd, path from syscalls join spans on user_id = pid)""",
+    """opens0 as (select user_id, gen, fd, ts, seq, path from rlog where syscall = 'openat')""",
+    """opens1 as (select * from opens0 union all select o.user_id, 'a', o.fd, f1, -1, arg_max(o.path, (o.ts, o.seq)) from spans join opens0 o using (user_id) where o.gen = 'u' and o.ts <= f1 group by all)""",
+    """opens2 as (select * from opens1 union all select o.user_id, 'b', o.fd, f2, -1, arg_max(o.path, (o.ts, o.seq)) from spans join opens1 o using (user_id) where o.gen = 'a' and o.ts <= f2 group by all)""",
+    """opens3 as (select * from opens2 union all select o.user_id, 'c', o.fd, f3, -1, arg_max(o.path, (o.ts, o.seq)) from spans join opens2 o using (user_id) where o.gen = 'b' and o.ts <= f3 group by all)""",
+    """allrows as (
+  select run_id, user_id, gen, fd, ts, seq, syscall as touch, case when syscall = 'openat' then path end as path from rlog where syscall in ('openat', 'read', 'write')
+  union all select user_id % 10, user_id, gen, fd, ts, seq, 'inherit', path from opens3 where seq = -1)""",
+)
+
+
+def reforked_events(w) -> tuple:
+    """A log in which pids are used again, and its forks."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    spans = w.base("events").withColumn("us", us).groupBy(F.col("user_id").alias("pid")).agg(F.min("us").alias("lo"), F.max("us").alias("hi")).where("hi > lo + 8").selectExpr(
+        "pid", "(lo * 3 + hi) div 4 as f1", "(lo + hi) div 2 as f2", "(lo + hi * 3) div 4 as f3")
+    log = w.syscalls.withColumn("us", us).join(spans, "pid").selectExpr(
+        "pid % 10 as run_id", "case when event_id % 7 = 3 and us > f2 then 2000000 + pid when event_id % 3 = 2 and us > f1 then 1000000 + pid else pid end as pid",
+        "us as ts", "event_id as seq", "syscall", "fd", "path")
+    parts = [("pid", "1000000 + pid", "f1"), ("1000000 + pid", "2000000 + pid", "f2"), ("2000000 + pid", "1000000 + pid", "f3")]
+    forks = [spans.selectExpr("pid % 10 as run_id", f"{up} as pid", f"{child} as child_pid", f"{at} as ts", "cast(-1 as bigint) as seq") for up, child, at in parts]
+    return log, forks[0].unionByName(forks[1]).unionByName(forks[2])
+
+
+@query("reforked_file_sets", "J7", duckdb_query("""
+select run_id, path, bool_or(touch = 'openat') as opened, bool_or(touch = 'read') as read, bool_or(touch in ('write', 'rename')) as written from (
+  select run_id, touch, last_value(path ignore nulls) over (partition by user_id, gen, fd order by ts, seq) as path from allrows
+  union all select run_id, syscall, path from rlog where syscall = 'rename')
+where path is not null and touch <> 'inherit' group by run_id, path""", *REFORKED))
+def _(w):
+    return J.file_sets(*reforked_events(w))
+
+
 @query("resolved_paths", "J9", duckdb_query("""
 select event_id, case when path is null then null when event_id % 2 = 0 then path else '/home/u' || pid || path end as path from syscalls"""))
 def _(w):

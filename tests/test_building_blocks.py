@@ -296,6 +296,56 @@ def test_process_tree(spark):
     assert got == {1: (None, 3), 5: (1, 1), 7: (None, 0)}
 
 
+def plain_file_sets(log, forks):
+    """Replay in order; a fork copies the parent's table, and what the pid held before is gone."""
+    table, sets = {}, {}
+    events = [(ts, seq, 0, pid, child, None) for pid, child, ts, seq in set(forks)] + [(ts, seq, 1, 0, 0, (pid, call, fd, path)) for pid, ts, seq, call, fd, path in log]
+    for *_, late, by, child, what in sorted(events, key=lambda e: e[:5]):
+        if late == 0:
+            table = {k: v for k, v in table.items() if k[0] != child} | {(child, fd): v for (pid, fd), v in table.items() if pid == by}
+            continue
+        pid, call, fd, path = what
+        if call == "open":
+            table[pid, fd] = path
+        if (path := table.get((pid, fd))) is not None:
+            sets.setdefault(path, set()).add(call)
+    return {p: ("open" in c, "read" in c, "write" in c) for p, c in sets.items()}
+
+
+def _sets(spark, log, forks):
+    calls = spark.createDataFrame([(1, *r) for r in log], "run_id int, pid bigint, ts bigint, seq bigint, syscall string, fd int, path string").repartition(3)
+    made = spark.createDataFrame([(1, *r) for r in forks], "run_id int, pid bigint, child_pid bigint, ts bigint, seq bigint")
+    return {r.path: (r.opened, r.read, r.written) for r in J.file_sets(calls, made).collect()}
+
+
+def test_pids_used_again(spark):
+    # Two pids that fork each other, and a descriptor that was never opened: ends, and finds nothing.
+    assert _sets(spark, [(1, 5, 1, "read", 3, None)], [(1, 2, 10, -1), (2, 1, 20, -1)]) == {}
+    assert _sets(spark, [(1, 5, 1, "read", 3, None)], [(1, 2, 10, -1), (2, 1, 10, -1)]) == {}
+    rng = random.Random(5)
+    for seed in range(3):
+        log = [(rng.randrange(6), ts, ts, rng.choice(["open", "read", "read", "write"]), rng.randrange(3), f"/f{ts}") for ts in range(1, 200)]
+        log = [(p, t, s, c, fd, path if c == "open" else None) for p, t, s, c, fd, path in log]
+        forks = [(rng.randrange(6), rng.randrange(6), ts, 1000 + ts) for ts in range(3, 200, 4)]
+        forks = [f for f in forks if f[0] != f[1]]
+        assert _sets(spark, log, forks) == plain_file_sets(log, forks)
+
+
+def test_chains_of_forks_take_rounds_by_their_logarithm(spark, monkeypatch):
+    n, rounds = 150, []
+    monkeypatch.setattr(J, "materialize_counted", lambda df, label, f=J.materialize_counted: rounds.append(label) or f(df, label))
+    log = [(0, 1, 1, "open", 3, "/stdin"), (n - 1, 10_000, 1, "read", 3, None), (n // 2, 9_000, 1, "open", 3, "/own"), (n - 2, 10_001, 1, "write", 4, None), (0, 2, 2, "open", 4, "/log")]
+    forks = [(k, k + 1, 10 + k, 0) for k in range(n - 1)]
+    assert _sets(spark, log, forks) == plain_file_sets(log, forks) == {"/stdin": (True, True, False), "/own": (True, False, False), "/log": (True, False, True)}
+    assert len(rounds) <= 2 * (n.bit_length() + 2)
+
+
+def test_process_parents_in_a_cycle(spark):
+    rows = [(1, 1, 2, ["sh"]), (1, 2, 1, ["sh"]), (1, 3, 2, ["sh"]), (2, 1, None, ["sh"]), (2, 5, 1, ["sh"])]
+    got = {(r.run_id, r.pid): r.fork_count for r in J.summarize_processes(spark.createDataFrame(rows, "run_id int, pid int, parent_pid int, command array<string>")).collect()}
+    assert got == {(1, 1): 0, (1, 2): 0, (1, 3): 0, (2, 1): 1}
+
+
 def test_syscall_variants(spark):
     rows = [
         (1, 1, 1, 1, "open", 3, "/a", None, 0, 0, 3), (1, 1, 2, 2, "open", 4, "/b", None, 0, 0, 4), (1, 1, 3, 3, "open", 5, "/c", None, 0, 0, -1),
