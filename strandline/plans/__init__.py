@@ -7,6 +7,7 @@ TOPICS = [
     "lineages",
     "lookups",
     "listings",
+    "searches",
     "recording",
     "secrets_and_rollups",
     "upkeep",

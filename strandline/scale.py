@@ -143,36 +143,44 @@ def multiset_digest(value: Column) -> Column:
     return F.concat_ws(":", *parts)
 
 
+def prefix_keys(keys: DataFrame, key: str, table: DataFrame, value: str, min_len: int = 1) -> DataFrame:
+    """Rows of ``table`` whose ``value`` begins with keys, with ``_keys``: the lengths of all keys that begin it, ascending.
+
+    A key stands for the interval of texts that begin with it. Keys and values are sorted together in range slices, one row
+    each; the last key at or before a value begins with every key that begins the value, so it and the lengths of
+    the keys that begin it say which they are. Keys of fewer than ``min_len`` characters are left out.
+    """
+    wanted = keys.select(F.col(key).alias("_at")).where(F.length("_at") >= min_len).distinct()
+    lengths = sorted(r[0] for r in wanted.select(F.length("_at")).distinct().collect())  # a few distinct lengths
+    if not lengths:
+        return table.withColumn("_keys", F.array().cast("array<int>")).limit(0)
+    # Values that start like no key are gone before they are sorted.
+    short = wanted.select(F.substring("_at", 1, lengths[0]).alias("_short")).distinct()
+    likely = table.withColumns({"_at": F.col(value), "_short": F.substring(F.col(value), 1, lengths[0])}).join(short, "_short", "left_semi").drop("_short")
+    cuts = wanted.select("_at", F.explode(F.array(*[F.when(F.length("_at") >= n, n) for n in lengths])).alias("_n")).where("_n is not null")
+    inner = cuts.withColumn("_cut", F.expr("substring(_at, 1, _n)")).join(wanted.withColumnRenamed("_at", "_cut"), "_cut", "left_semi")
+    nested = inner.groupBy("_at").agg(F.sort_array(F.collect_list("_n")).alias("_n"))  # at most a key of each length
+    marks = nested.select("_at", F.struct(F.col("_at").alias("key"), F.col("_n").alias("n")).alias("_mark"), F.lit(0).alias("_kind"))
+    rows = likely.withColumns({"_kind": F.lit(1), "_tie": F.monotonically_increasing_id()}).unionByName(marks, allowMissingColumns=True)
+    found = fill_forward(rows, [], ["_at", "_kind", "_tie"], "_mark", "_last").where("_kind = 1")
+    begins = F.expr("filter(_last.n, n -> substring(_at, 1, n) = substring(_last.key, 1, n))")
+    return found.withColumn("_keys", begins).where(F.size("_keys") > 0).select(*table.columns, "_keys")
+
+
 def match_prefixes(
     keys: DataFrame, key: str, table: DataFrame, value: str, entity: str, min_len: int = 1, unique: bool = True
 ) -> DataFrame:
     """``(key, entity)`` for keys that are a prefix of values of exactly one entity.
 
-    With ``unique=False`` a key shared by several entities gets the least of them.
-
-    Every value is cut to the few lengths the keys really have, so the match is an equi-join, and
-    a prefix shared by many values is folded to (min, max) before it meets its key.
+    With ``unique=False`` a key shared by several entities gets the least of them. Values are folded to (min, max) under
+    the longest key that begins them before they reach the other keys.
     """
-    wanted = keys.select(F.col(key)).where(F.length(key) >= min_len).distinct()
-    lengths = sorted(r[0] for r in wanted.select(F.length(key)).distinct().collect())  # a few distinct lengths
-    if not lengths:
-        return table.select(F.lit(None).cast("string").alias(key), entity).limit(0)
-    # Values that start like no key are gone before the rest are cut to every length.
-    short = wanted.select(F.substring(key, 1, lengths[0]).alias("_short")).distinct()
-    likely = table.select(F.col(entity).alias("_entity"), F.col(value).alias("_value")).where(F.length("_value") >= lengths[0])
-    likely = likely.withColumn("_short", F.substring("_value", 1, lengths[0])).join(short, "_short", "left_semi")
-    cut = likely.select(
-        "_entity",
-        F.explode(
-            F.array(*[F.when(F.length("_value") >= n, F.substring("_value", 1, n)) for n in lengths]).cast("array<string>")
-        ).alias(key),
-    ).where(F.col(key).isNotNull())
-    folded = (
-        cut.join(wanted, key, "left_semi")
-        .groupBy(key)
-        .agg(F.min("_entity").alias(entity), F.max("_entity").alias("_last"))
-    )
-    return (folded.where(F.col(entity) == F.col("_last")) if unique else folded).drop("_last")
+    held = prefix_keys(keys, key, table.select(F.col(entity).alias("_entity"), F.col(value).alias("_value")), "_value", min_len)
+    longest = held.select("_entity", "_keys", F.expr("substring(_value, 1, array_max(_keys))").alias("_key"))
+    folded = longest.groupBy("_key").agg(F.min("_entity").alias("_first"), F.max("_entity").alias("_last"), F.min("_keys").alias("_keys"))
+    each = folded.select("_first", "_last", F.explode("_keys").alias("_n"), "_key").withColumn(key, F.expr("substring(_key, 1, _n)"))
+    least = each.groupBy(key).agg(F.min("_first").alias(entity), F.max("_last").alias("_last"))
+    return (least.where(F.col(entity) == F.col("_last")) if unique else least).drop("_last")
 
 
 def is_empty(df: DataFrame) -> bool:
