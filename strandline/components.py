@@ -98,8 +98,10 @@ def component_labels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     the next one stands; only counts reach the driver.
     """
     spark = edges.sparkSession
-    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
+    # Written first: edges that come from Python would keep two workers a task.
+    pairs, drawn = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b"), "edges")
     now, path, mark = _put(pairs.mapInArrow(_contracted, pairs.schema).distinct(), "star")
+    discard(spark, drawn)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least, at_least = _least(both, True)
