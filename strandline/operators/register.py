@@ -107,50 +107,84 @@ def _first_start(taken: np.ndarray, carry: int, limit: int) -> int:
     return max(0, int(np.searchsorted(taken, limit - carry, side="right")) - 1)
 
 
+# How a run of items goes on, for every number of bytes that the batch before it may be open with: rows (lo, hi, begun,
+# carry, adds), each for more than ``lo`` and at most ``hi`` bytes. ``begun`` batches are begun in it and the last is
+# open with ``carry`` bytes; with ``adds`` none is begun, and the open one has ``carry`` bytes more.
+STEPS = ["lo", "hi", "begun", "carry", "adds"]
+FAR = np.iinfo(np.int64).max // 4
+
+
+def _steps_of(sizes: np.ndarray, limit: int) -> pd.DataFrame:
+    ends, total = _batch_ends(sizes, limit)
+    n = len(ends)
+    begun, carry = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
+    for i in range(n - 1, -1, -1):
+        nxt = ends[i]
+        begun[i] = 1 + begun[nxt]
+        carry[i] = carry[nxt] if nxt < n else 2 + total[n] - total[i]
+    # The first batch of its own begins within a limit's worth of items.
+    spots = np.arange(min(n, int(np.searchsorted(total, limit, side="right"))) + 1)
+    hi = np.maximum(limit - total[spots], 0)
+    hi[0] = FAR
+    lo = np.append(hi[1:], 0)
+    out = pd.DataFrame({"lo": lo, "hi": hi, "begun": begun[spots], "carry": np.where(spots == n, total[n], carry[spots]), "adds": spots == n})
+    none_open = pd.DataFrame({"lo": [-1], "hi": [0], "begun": [begun[0]], "carry": [carry[0]], "adds": [False]})
+    return _merged_steps(pd.concat([none_open, out[out["lo"] < out["hi"]]]))
+
+
+def _merged_steps(steps: pd.DataFrame) -> pd.DataFrame:
+    """Neighbours with one outcome become one."""
+    steps = steps.sort_values("lo", ignore_index=True)
+    same = (steps[["begun", "carry", "adds"]] == steps[["begun", "carry", "adds"]].shift()).all(axis=1)
+    firsts = steps[~same].copy()
+    firsts["hi"] = steps.groupby((~same).cumsum().to_numpy())["hi"].max().to_numpy()
+    return firsts[STEPS]
+
+
+def _one_after_other(first: pd.DataFrame, then: pd.DataFrame) -> pd.DataFrame:
+    """The steps of two runs of items as of one."""
+    then = then.sort_values("lo", ignore_index=True)
+    edge = then["hi"].to_numpy()
+    rows = []
+    for lo, hi, begun, carry, adds in first[STEPS].itertuples(index=False):
+        if not adds:
+            t = then.iloc[int(np.searchsorted(edge, carry, side="left"))]
+            rows.append((lo, hi, begun + t.begun, carry + t.carry if t.adds else t.carry, False))
+            continue
+        for t_lo, t_hi, t_begun, t_carry, t_adds in then[STEPS].itertuples(index=False):
+            a, b = max(lo, t_lo - carry), min(hi, t_hi - carry)
+            if a < b:
+                rows.append((a, b, t_begun, carry + t_carry if t_adds else t_carry, t_adds))
+    return _merged_steps(pd.DataFrame(rows, columns=STEPS))
+
+
 def pack_by_size(
     items: DataFrame, keys: list[str], order: list[str], size: str, limit: int = MAX_BATCH_BYTES, slice_rows: int = 1_000_000
 ) -> DataFrame:
     """Adds ``batch`` (from 0): items in order, every batch as full as the byte limit allows.
 
-    The packing is the sequential one, for groups of any size. A group is cut into slices by
-    position. How a slice goes on depends only on where its first new batch begins, and that is
-    within one limit's worth of items from its start; so each slice reports its outcome for those
-    places, the few reports of a group are chained, and then every slice is packed by itself.
+    The packing is the sequential one, for groups of any size. A group is cut into slices by position. A slice is a
+    map from the bytes that the batch before it is open with to the batches it begins and the bytes the last of them is
+    open with: a few steps, as its first new batch begins within one limit's worth of items. Such maps follow each
+    other by pairs, which doubles the items they stand for every round; then the bytes at the start of each slice
+    come down the same way, and every slice is packed by itself. No task sees more than two maps or one slice.
     """
     placed = running_rank(items, keys, [F.col(c) for c in order], "_pos")
     placed = materialize(placed.withColumn("_slice", F.floor((F.col("_pos") - 1) / slice_rows).cast("bigint")), "placed")
     named = ", ".join(f"`{k}` {placed.schema[k].dataType.simpleString()}" for k in keys)
     thin = placed.select(*keys, "_slice", "_pos", F.col(size).cast("bigint").alias("_size"))
+    steps_type = f"lo bigint, hi bigint, begun bigint, carry bigint, adds boolean, _node bigint, {named}"
 
-    def labelled(out: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out
+    def labelled(out: pd.DataFrame, pdf: pd.DataFrame, **more) -> pd.DataFrame:
+        return out.assign(**more, **{k: pdf[k].iloc[0] for k in keys})
 
     def report(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends, total = _batch_ends(pdf.sort_values("_pos")["_size"].to_numpy(), limit)
-        n = len(ends)
-        begun, carry = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
-        for i in range(n - 1, -1, -1):
-            nxt = ends[i]
-            begun[i] = 1 + begun[nxt]
-            carry[i] = carry[nxt] if nxt < n else 2 + total[n] - total[i]
-        spots = np.arange(min(n, int(np.searchsorted(total, limit, side="right"))) + 1)
-        out = pd.DataFrame({"at": spots, "taken": total[spots], "begun": begun[spots], "carry": carry[spots]})
-        return labelled(out.assign(_slice=pdf["_slice"].iloc[0], rows=n), pdf)
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, carry, batches = [], 0, 0
-        for number, part in pdf.sort_values(["_slice", "at"]).groupby("_slice"):
-            rows.append((number, carry, batches))
-            taken = part["taken"].to_numpy()
-            first = _first_start(taken, carry, limit)
-            if first == part["rows"].iloc[0]:
-                carry += int(taken[first])
-            else:
-                batches += int(part["begun"].iloc[first])
-                carry = int(part["carry"].iloc[first])
-        return labelled(pd.DataFrame(rows, columns=["_slice", "_carry", "_batches"]), pdf)
+        return labelled(_steps_of(pdf.sort_values("_pos")["_size"].to_numpy(), limit), pdf, _node=pdf["_slice"].iloc[0])
+
+    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
+        node = int(pdf["_node"].min())
+        first, then = pdf[pdf["_node"] == node], pdf[pdf["_node"] != node]
+        return labelled(_one_after_other(first, then) if len(then) else first[STEPS], pdf, _node=node // 2)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pos")
@@ -162,11 +196,23 @@ def pack_by_size(
         nth = np.searchsorted(np.array(starts, dtype=np.int64), np.arange(len(ends)), side="right")
         return pdf[[*keys, "_pos"]].assign(batch=int(pdf["_batches"].iloc[0]) + nth - 1)
 
-    reports = thin.groupBy(*keys, "_slice").applyInPandas(
-        report, f"at bigint, taken bigint, begun bigint, carry bigint, _slice bigint, rows bigint, {named}"
-    )
-    starts = reports.groupBy(*keys).applyInPandas(chain, f"_slice bigint, _carry bigint, _batches bigint, {named}")
-    packed = thin.join(starts, [*keys, "_slice"]).groupBy(*keys, "_slice").applyInPandas(pack, f"{named}, _pos bigint, batch bigint")
+    levels = [materialize(thin.groupBy(*keys, "_slice").applyInPandas(report, steps_type), "steps")]
+    last = levels[0].agg(F.coalesce(F.max("_node"), F.lit(0))).first()[0]
+    while last:
+        levels.append(materialize(levels[-1].groupBy(*keys, F.floor(F.col("_node") / 2)).applyInPandas(pair, steps_type), "steps"))
+        last //= 2
+    none = F.lit(0).cast("bigint")
+    starts = levels.pop().select(*keys, "_node").distinct().withColumns({"_carry": none, "_batches": none})
+    while levels:
+        level = levels.pop()
+        left = starts.withColumn("_node", F.col("_node") * 2)
+        met = left.join(level, [*keys, "_node"]).where("lo < _carry and _carry <= hi")
+        right = met.select(
+            *keys, (F.col("_node") + 1).alias("_node"), F.when(F.col("adds"), F.col("_carry") + F.col("carry")).otherwise(F.col("carry")).alias("_carry"),
+            (F.col("_batches") + F.when(F.col("adds"), 0).otherwise(F.col("begun"))).alias("_batches"),
+        )
+        starts = materialize(left.unionByName(right).join(level.select(*keys, "_node").distinct(), [*keys, "_node"], "left_semi"), "slice-starts")
+    packed = thin.join(starts.withColumnRenamed("_node", "_slice"), [*keys, "_slice"]).groupBy(*keys, "_slice").applyInPandas(pack, f"{named}, _pos bigint, batch bigint")
     return placed.join(packed, [*keys, "_pos"]).drop("_pos", "_slice")
 
 
