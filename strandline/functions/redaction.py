@@ -6,6 +6,8 @@ import json
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from py4j.protocol import Py4JJavaError
@@ -130,7 +132,7 @@ class RedactionRules:
 def redact(text: Column, rules: RedactionRules = RedactionRules()) -> Column:
     """The redacted text, without counts: one expression, usable inside ``transform``."""
     if rules.allow:
-        return redact_with_allow_list(rules)(text)["filtered"]
+        return redaction(text, rules)["filtered"]
     for secret in rules.secrets:
         if secret:
             text = F.replace(text, F.lit(secret), F.lit(REDACTED))
@@ -164,20 +166,10 @@ def redaction(text: Column, rules: RedactionRules = RedactionRules()) -> Column:
     array, which binds the text so far to a name: the expression holds every stage once, however
     often a stage looks at its text.
     """
-    if rules.allow:
-        found = redact_with_allow_list(rules)(text)
-        return F.transform(
-            F.array(found),
-            lambda r: F.struct(
-                r["filtered"].alias("filtered"),
-                F.transform(
-                    F.array_sort(F.array_distinct(r["detections"])),
-                    lambda p: F.struct(
-                        p.alias("pattern_id"), F.size(F.filter(r["detections"], lambda d: d == p)).alias("count")
-                    ),
-                ).alias("detections"),
-            ),
-        )[0]
+    allowed = [SecretPattern("allowed", a).jvm for a in rules.allow if a]
+    custom = rules.usable_custom()
+    if allowed and any(p.python.search("") for p in custom):
+        return _python_redaction(text, rules)  # the pieces between empty matches are not told apart by ``split``
 
     def state(t: Column, found: Column) -> Column:
         return F.struct(t.alias("filtered"), found.cast(_FOUND).alias("detections"))
@@ -190,7 +182,29 @@ def redaction(text: Column, rules: RedactionRules = RedactionRules()) -> Column:
 
         return F.transform(F.array(before), step)[0]
 
+    def allowing_stage(before: Column, pattern_id: str, regex: str, replacement: str, possible: Column | None) -> Column:
+        """The text as pieces and matches in turn; a match that is not allowed is replaced by itself."""
+
+        def kept(match: Column) -> Column:
+            return reduce(or_, [match.rlike(a) for a in allowed])
+
+        def put_together(s: Column, matches: Column) -> Column:
+            swapped = F.transform(matches, lambda m: F.when(kept(m), m).otherwise(F.regexp_replace(m, regex, replacement)))
+            pieces = F.zip_with(F.split(s["filtered"], regex, -1), swapped, lambda piece, match: F.concat(piece, F.coalesce(match, F.lit(""))))
+            entry = F.struct(F.lit(pattern_id).alias("pattern_id"), F.size(F.filter(matches, lambda m: ~kept(m))).alias("count"))
+            found = F.when(entry["count"] > 0, F.array_append(s["detections"], entry)).otherwise(s["detections"])
+            return state(F.array_join(pieces, ""), found)
+
+        def step(s: Column) -> Column:
+            t = s["filtered"]
+            hit = t.rlike(regex) if possible is None else possible & t.rlike(regex)
+            return F.when(hit, F.transform(F.array(F.regexp_extract_all(t, F.lit(regex), F.lit(0))), lambda m: put_together(s, m))[0]).otherwise(s)
+
+        return F.transform(F.array(before), step)[0]
+
     def regex_stage(before: Column, pattern_id: str, regex: str, replacement: str, possible: Column | None = None) -> Column:
+        if allowed:
+            return allowing_stage(before, pattern_id, regex, replacement, possible)
         return stage(
             before, pattern_id, lambda t: t.rlike(regex) if possible is None else possible & t.rlike(regex), lambda t: F.regexp_count(t, F.lit(regex)),
             lambda t: F.regexp_replace(t, regex, replacement),
@@ -219,7 +233,7 @@ def redaction(text: Column, rules: RedactionRules = RedactionRules()) -> Column:
         return F.struct(s.alias("state"), _folded(s["filtered"]).alias("folded"))
 
     current = F.transform(F.transform(F.array(current), fold), builtin)[0]
-    for pattern in rules.usable_custom():
+    for pattern in custom:
         current = regex_stage(current, pattern.id, pattern.jvm, pattern.replacement)
     return current
 
@@ -258,8 +272,8 @@ def _python_filter(rules: RedactionRules) -> Callable[[str], tuple[str, list[str
     return run
 
 
-def redact_with_allow_list(rules: RedactionRules):
-    """Arrow UDF for rules with an allow-list: a replacement that may leave a match alone."""
+def _python_redaction(text: Column, rules: RedactionRules) -> Column:
+    """``redaction`` by Python's patterns."""
     run = _python_filter(rules)
 
     @F.pandas_udf("filtered string, detections array<string>")
@@ -267,7 +281,14 @@ def redact_with_allow_list(rules: RedactionRules):
         rows = [(None, []) if t is None else run(t) for t in texts]
         return pd.DataFrame(rows, columns=["filtered", "detections"])
 
-    return apply
+    def counted(r: Column) -> Column:
+        entry = F.transform(
+            F.array_sort(F.array_distinct(r["detections"])),
+            lambda p: F.struct(p.alias("pattern_id"), F.size(F.filter(r["detections"], lambda d: d == p)).alias("count")),
+        )
+        return F.struct(r["filtered"].alias("filtered"), entry.alias("detections"))
+
+    return F.transform(F.array(apply(text)), counted)[0]
 
 
 def redacted_json(text: Column, rules: RedactionRules = RedactionRules(), blank_env: bool = True) -> Column:

@@ -16,6 +16,8 @@ RUNTIME = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Redaction is one expression of many stages inside each other, which the analyzer names one by one.
+    "spark.sql.analyzer.maxIterations": "1000",
 }
 
 

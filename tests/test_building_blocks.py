@@ -152,6 +152,24 @@ def test_redaction_is_idempotent(spark):
     assert all(r.t == r.filtered for r in with_redaction(once, "t").collect())
 
 
+def test_allow_list_in_the_jvm(spark):
+    rng = random.Random(11)
+    bits = ["MY_TOKEN=abc123", "API_SECRET=zz9", "postgres://u:pw@db/x", "--api-key=abcdefghijklmnop1234", "password=keepme", "password: hunter22", "ghp_" + "a1" * 18, "plain", "=", "://", "AKIA" + "A1B2" * 4, "keep1 keep2", "é\n"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(0, 9))) for _ in range(300)] + [None, "", "MY_TOKEN=abc123MY_TOKEN=abc123"]
+    custom = [SecretPattern("word", r"keep(\d)", "<$1>"), SecretPattern("tail", "(?P<x>zz)9$", "t")]
+    for rules in (RedactionRules(allow=[r"^MY_TOKEN=abc\d+$", "keepme", ""], custom=custom, secrets=["plain"]), RedactionRules(allow=["u:pw", "keep1"], custom=custom)):
+        run = _python_filter(rules)
+        found = with_redaction(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), "t", rules)
+        assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+        for r in found.collect():
+            want, hits = run(r.t) if r.t is not None else (None, [])
+            assert (r.filtered, {d.pattern_id: d["count"] for d in r.detections}) == (want, {h: hits.count(h) for h in hits}), r.t
+    # A pattern that matches nothing at all is left to Python's rules.
+    odd = RedactionRules(allow=["q"], custom=[SecretPattern("odd", "x*", "y")])
+    row = with_redaction(spark.createDataFrame([("axq",)], "t string"), "t", odd).first()
+    assert (row.filtered, row.detections[0]["count"]) == (_python_filter(odd)("axq")[0], len(_python_filter(odd)("axq")[1]))
+
+
 def test_allow_list(spark):
     df = spark.createDataFrame([("A_KEY=keep B_KEY=drop",)], "t string")
     row = with_redaction(df, "t", RedactionRules(allow=["=keep"])).first()
@@ -361,3 +379,31 @@ def test_artifact_validation_order(spark):
     assert M.validate_artifacts(df).first().errors == [
         "hashes[0].algorithm is required", "hashes[1].digest is required", "size is required and must be non-negative",
         "source_type must be 's3', 'gs', 'https', or None, got 'ftp'", "session_hash is required"]
+
+
+def test_slices_compose_like_the_items_in_them():
+    import numpy as np
+
+    def walk(sizes, limit, carry):
+        begun = 0
+        for size in sizes:
+            if carry and carry + size <= limit:
+                carry += size
+            else:
+                begun, carry = begun + 1, 2 + size
+        return begun, carry
+
+    rng = random.Random(2)
+    for _ in range(60):
+        limit = rng.randint(10, 60)
+        parts = [[rng.choice([1, 3, 8, 30, 70]) if rng.random() < 0.5 else rng.randint(1, 6) for _ in range(rng.randint(1, 12))] for _ in range(rng.randint(1, 5))]
+        steps = None
+        for part in parts:
+            own = M._steps_of(np.array(part), limit)
+            steps = own if steps is None else M._one_after_other(steps, own)
+        for carry in [*range(limit + 1), limit + 5, limit + 100]:
+            step = steps[(steps.lo < carry) & (steps.hi >= carry)]
+            assert len(step) == 1
+            step = step.iloc[0]
+            got = (0, carry + step.carry) if step.adds else (step.begun, step.carry)
+            assert got == walk([x for part in parts for x in part], limit, carry)
