@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.edges import newest, primary_digests, with_facts
-from strandline.scale import latest, materialize, materialize_counted, multiset_digest
+from strandline.scale import bucketed, latest, materialize, materialize_counted, multiset_digest, running_rank
 
 
 def producers(jobs: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -17,29 +21,97 @@ def producers(jobs: DataFrame, outputs: DataFrame) -> DataFrame:
     return materialize(latest(made, ["artifact_id"], newest(key="job_id")), "producers")
 
 
+WORDS = 8  # bitmap columns of 64 classes each
+
+
+@dataclass
+class Ancestors:
+    """Upstream jobs of many groups of targets. ``members``: (group columns, class); groups whose targets come from the
+    same jobs share a class. ``bitmaps``: (chunk, job_id, depth, b0, b1, …), a bit for each class of the chunk that
+    has the job at that least depth."""
+
+    members: DataFrame
+    bitmaps: DataFrame
+    words: int
+
+    def jobs(self) -> DataFrame:
+        """(class, job_id, depth), a row for every bit."""
+        bits = [F.expr(f"transform(filter(sequence(0, 63), x -> getbit(b{w}, x) = 1), x -> x + {64 * w})") for w in range(self.words)]
+        held = [F.when(F.col(f"b{w}") == 0, F.array().cast("array<int>")).otherwise(bits[w]) for w in range(self.words)]
+        return self.bitmaps.select("chunk", "job_id", "depth", F.explode(F.concat(*held)).alias("_bit")).select(
+            (F.col("chunk") * (64 * self.words) + F.col("_bit")).alias("class"), "job_id", "depth"
+        )
+
+
+def _classes(seeds: DataFrame, group: list[str], inputs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(group columns, class), (class, job_id) and the number of classes of ``seeds`` (group columns, job_id)."""
+    if not group:
+        one = F.lit(0).cast("bigint").alias("class")
+        return seeds.select(one).limit(1), seeds.select(one, "job_id").distinct(), 1
+    signature = multiset_digest(F.col("job_id").cast("string"))
+    signed = materialize(seeds.groupBy(*group).agg(signature.alias("_signature"), F.min("job_id").alias("_lead")), "target-groups")
+    # Jobs that read the same files have the same ancestors: their classes get neighbouring numbers.
+    least = inputs.groupBy(F.col("job_id").alias("_lead")).agg(F.min("artifact_id").alias("_least"))
+    named = signed.select("_signature", "_lead").distinct().join(least, "_lead", "left")
+    ranked = running_rank(named, [], [F.col("_least"), F.col("_lead"), F.col("_signature")], "class")
+    ranked, count = materialize_counted(ranked.select("_signature", (F.col("class") - 1).alias("class")), "classes")
+    members = signed.join(ranked, "_signature").select(*group, "class")
+    lead = ranked.join(signed.groupBy("_signature").agg(F.min(F.struct(*group)).alias("_group")), "_signature")
+    jobs = lead.select("class", *[F.col(f"_group.{c}").alias(c) for c in group]).join(seeds, group).select("class", "job_id")
+    return members, jobs, count
+
+
+def ancestors(targets: DataFrame, made_by: DataFrame, inputs: DataFrame, max_depth: int) -> Ancestors:
+    """Jobs upstream of ``targets`` (group columns, artifact_id), each with its least depth; makers of targets have 0.
+
+    All classes of a chunk advance together: a round joins the frontier with the jobs that its jobs read from and
+    combines their bitmaps before the shuffle, so its rows grow with the edges and not with targets times
+    ancestors. Those edges are written once, bucketed by job, and are not shuffled again. A cycle
+    ends where no new bit is set.
+    """
+    spark = targets.sparkSession
+    group = [c for c in targets.columns if c != "artifact_id"]
+    made = made_by.select("artifact_id", "job_id")
+    seeds = materialize(targets.join(made, "artifact_id").select(*group, "job_id").distinct(), "seeds")
+    members, jobs, count = _classes(seeds, group, inputs)
+    words = max(1, min(WORDS, -(-count // 64)))
+    bits = [f"b{w}" for w in range(words)]
+    steps = inputs.select("job_id", "artifact_id").join(made.withColumnRenamed("job_id", "_from"), "artifact_id").select("job_id", "_from").distinct()
+    with bucketed(steps, "job_id", "steps") as steps:
+        own = F.expr(f"shiftleft(1L, cast(class % 64 as int))")
+        word = F.expr(f"class % {64 * words} div 64")
+        start = jobs.groupBy(F.floor(F.col("class") / (64 * words)).alias("chunk"), "job_id").agg(
+            *[F.bit_or(F.when(word == w, own).otherwise(F.lit(0).cast("bigint"))).alias(b) for w, b in enumerate(bits)]
+        )
+        frontier = materialize(start.withColumn("depth", F.lit(0)), "frontier")
+        visited = frontier
+        for depth in range(1, max_depth + 1):
+            reached = frontier.join(steps, "job_id").groupBy("chunk", F.col("_from").alias("job_id")).agg(*[F.bit_or(b).alias(b) for b in bits])
+            known = visited.groupBy("chunk", "job_id").agg(*[F.bit_or(b).alias(f"_{b}") for b in bits])
+            fresh = [F.col(b).bitwiseAND(F.bitwise_not(F.coalesce(F.col(f"_{b}"), F.lit(0).cast("bigint")))).alias(b) for b in bits]
+            found = reached.join(known, ["chunk", "job_id"], "left").select("chunk", "job_id", *fresh, F.lit(depth).alias("depth"))
+            frontier, rows = materialize_counted(found.where(reduce(or_, [F.col(b) != 0 for b in bits])), "frontier")
+            if not rows:
+                break
+            visited = visited.unionByName(frontier)
+    return Ancestors(members, visited, words)
+
+
 def closure(targets: DataFrame, made_by: DataFrame, inputs: DataFrame, max_depth: int) -> DataFrame:
     """Artifacts upstream of ``targets`` with their least depth.
 
     ``targets`` has ``artifact_id`` and any grouping columns; every group has its own visited set.
-    ``made_by`` comes from ``producers``.
-    A round goes artifact → job → inputs with the jobs made distinct in between, so a job with
-    many outputs and inputs is opened once, not once per pair. Each round's frontier is written;
-    a cycle ends at the anti-join.
+    ``made_by`` comes from ``producers``. What the targets of a class have in common is found once and then
+    listed for each of them.
     """
     group = [c for c in targets.columns if c != "artifact_id"]
     node = [*group, "artifact_id"]
-    reads = inputs.select("job_id", "artifact_id")
-    made_by = made_by.select("artifact_id", "job_id")
-    frontier = materialize(targets.select(*node).distinct().withColumn("depth", F.lit(0)), "closure")
-    visited = frontier
-    for depth in range(1, max_depth + 1):
-        opened = frontier.join(made_by, "artifact_id").select(*group, "job_id").distinct()
-        found = opened.join(reads, "job_id").select(*node).distinct().join(visited, node, "left_anti")
-        frontier, rows = materialize_counted(found.withColumn("depth", F.lit(depth)), "closure")
-        if not rows:
-            break
-        visited = visited.unionByName(frontier)
-    return visited
+    own = targets.select(*node).distinct()
+    found = ancestors(targets, made_by, inputs, max_depth)
+    read = found.jobs().where(F.col("depth") < max_depth).join(inputs.select("job_id", "artifact_id"), "job_id")
+    shared = materialize(read.groupBy("class", "artifact_id").agg((F.min("depth") + 1).alias("depth")), "closure")
+    upstream = found.members.join(shared, "class").select(*node, "depth").join(own, node, "left_anti")
+    return own.withColumn("depth", F.lit(0)).unionByName(upstream)
 
 
 def artifact_tree(
@@ -99,16 +171,19 @@ def filtered_lineage(
 ) -> DataFrame:
     """Links of the lineage jobs: all inputs, but only outputs on the way to the target."""
     group = [c for c in targets.columns if c != "artifact_id"]
-    nodes = closure(targets, made_by, inputs, max_depth)
-    needed = materialize(closure_jobs(nodes, made_by), "lineage_jobs")
-    read = inputs.join(needed, "job_id")
-    on_path = targets.unionByName(read.select(*group, "artifact_id")).distinct()
-    made = outputs.join(needed, "job_id").join(on_path, [*group, "artifact_id"], "left_semi")
-    cols = [*group, "job_id", "artifact_id", "path"]
-    links = read.select(*cols, F.lit("in").alias("direction")).unionByName(
-        made.select(*cols, F.lit("out").alias("direction"))
-    )
-    return with_facts(links, artifacts, hashes)
+    found = ancestors(targets, made_by, inputs, max_depth)
+    needed = materialize(found.jobs().select("class", "job_id"), "lineage_jobs")
+    members = materialize(found.members, "members")
+    cols = ["job_id", "artifact_id", "path"]
+    read = materialize(inputs.select(*cols).join(needed, "job_id"), "read")
+    on_path = read.select("class", "artifact_id").distinct()
+    made = outputs.select(*cols).join(needed, "job_id").join(on_path, ["class", "artifact_id"], "left_semi")
+    shared = read.withColumn("direction", F.lit("in")).unionByName(made.withColumn("direction", F.lit("out")))
+    links = members.join(with_facts(shared, artifacts, hashes), "class").drop("class")
+    # The targets themselves, where no job on the way reads them.
+    ends = targets.join(members, group) if group else targets.crossJoin(members)
+    last = outputs.select(*cols).join(ends, "artifact_id").join(needed, ["class", "job_id"]).join(on_path, ["class", "artifact_id"], "left_anti")
+    return links.unionByName(with_facts(last.drop("class").withColumn("direction", F.lit("out")), artifacts, hashes))
 
 
 def lineage_report(targets: DataFrame, links: DataFrame, jobs: DataFrame, artifacts: DataFrame, hashes: DataFrame) -> DataFrame:

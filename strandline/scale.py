@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -68,6 +69,23 @@ def top_n(
     return kept if rank else kept.drop(name)
 
 
+@contextmanager
+def bucketed(df: DataFrame, key: str, label: str = "stage") -> Iterator[DataFrame]:
+    """``df`` written once in the shared folder, bucketed and sorted by ``key``: joins on it do not shuffle it again.
+
+    The table is known to the catalogue inside the block only; what is read from it must be written there.
+    """
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+    writer.option("path", f"{scratch_root(spark)}/{name}").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"drop table if exists {name}")
+
+
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of every group."""
     return top_n(df, keys, order, 1)

@@ -407,3 +407,57 @@ def test_slices_compose_like_the_items_in_them():
             step = step.iloc[0]
             got = (0, carry + step.carry) if step.adds else (step.begun, step.carry)
             assert got == walk([x for part in parts for x in part], limit, carry)
+
+
+def test_lineage_rounds_do_not_shuffle_the_edges(spark, monkeypatch):
+    from strandline.operators import lineage as L
+
+    plans = []
+
+    def watched(df, label, f=L.materialize_counted):
+        if label == "frontier":
+            plans.append(df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString())
+        return f(df, label)
+
+    monkeypatch.setattr(L, "materialize_counted", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # Two hundred targets over one chain of forty jobs, and a cycle.
+        made = spark.createDataFrame([(f"a{k}", k) for k in range(40)] + [(f"t{k}", 100 + k) for k in range(200)], "artifact_id string, job_id bigint")
+        reads = [(k, f"a{k - 1}") for k in range(1, 40)] + [(0, "a39"), (5, "outside")] + [(100 + k, f"a{k % 40}") for k in range(200)]
+        inputs = spark.createDataFrame(reads, "job_id bigint, artifact_id string")
+        targets = made.where("artifact_id like 't%'").select(F.col("artifact_id").alias("target"), "artifact_id")
+        rows = L.closure(targets, made, inputs, 10).collect()
+        bitmaps = L.ancestors(targets, made, inputs, 10).bitmaps.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = {(r.target, r.artifact_id): r.depth for r in rows}
+    maker, read_by = {f"a{k}": k for k in range(40)} | {f"t{k}": 100 + k for k in range(200)}, {}
+    for job, artifact in reads:
+        read_by.setdefault(job, []).append(artifact)
+    want = {}
+    for t in range(200):
+        front, seen = {f"t{t}"}, {}
+        for depth in range(11):
+            seen |= {a: depth for a in front if a not in seen}
+            front = {p for a in front if a in maker for p in read_by.get(maker[a], [])} - set(seen)
+        want |= {(f"t{t}", a): d for a, d in seen.items()}
+    assert len(rows) == len(got) and got == want
+    assert bitmaps < 200 + 40 * 11  # a row for each job and depth, not for each target and job
+    for plan in plans:
+        edges = [line for line in plan.splitlines() if "steps_" in line]
+        assert edges and all("Bucketed: true" in line for line in edges)
+        assert plan.count("Exchange hashpartitioning(job_id") <= 2  # of the frontier, in both renderings
+
+
+def test_class_per_equal_set_of_jobs(spark):
+    from strandline.operators import lineage as L
+
+    made = spark.createDataFrame([("x", 1), ("y", 1), ("z", 2)], "artifact_id string, job_id bigint")
+    targets = spark.createDataFrame([("p", "x"), ("q", "y"), ("r", "x"), ("r", "z"), ("s", "nobody's")], "target string, artifact_id string")
+    inputs = spark.createDataFrame([(1, "z"), (2, "raw")], "job_id bigint, artifact_id string")
+    found = L.ancestors(targets, made, inputs, 5)
+    by = {r.target: r["class"] for r in found.members.collect()}
+    assert by["p"] == by["q"] != by["r"] and "s" not in by
+    got = sorted((r.target, r.artifact_id, r.depth) for r in L.closure(targets, made, inputs, 5).collect())
+    assert got == [("p", "raw", 2), ("p", "x", 0), ("p", "z", 1), ("q", "raw", 2), ("q", "y", 0), ("q", "z", 1), ("r", "raw", 1), ("r", "x", 0), ("r", "z", 0), ("s", "nobody's", 0)]
