@@ -3,7 +3,7 @@
 Edges are first contracted where they lie: each task replaces the edges it reads by the trees of a union-find. Then
 large-star and small-star rounds run until nothing changes. A round looks up the least neighbour of each node; the few
 nodes that hold more than one ``HEAVY``-th of all edges are looked up by broadcast (fewer than ``HEAVY`` rows, whatever
-the graph), all others by a shuffle in which no key has more than that share.
+the graph), all others by a shuffle in which no key has more than that share, or than ``LIGHT`` rows.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from strandline.scale import discard, written
 
 HEAVY = 10_000
+LIGHT = 256  # edges with which no node is looked up by broadcast
 CHUNK = 1 << 20  # edges that are contracted at a time
 
 
@@ -84,7 +85,7 @@ def _least(rows: DataFrame, with_self: bool) -> tuple[DataFrame, str]:
 
 def _looked_up(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
     """(a, b, m): ``rows`` with the least neighbour of ``a``."""
-    heavy = least.where(F.col("n") * HEAVY > total).select("a", F.col("m").alias("_m"))
+    heavy = least.where((F.col("n") * HEAVY > total) & (F.col("n") > LIGHT)).select("a", F.col("m").alias("_m"))
     marked = rows.select("a", "b").join(F.broadcast(heavy), "a", "left")
     light = marked.where("_m is null").select("a", "b").join(least.select("a", "m"), "a")
     return marked.where("_m is not null").select("a", "b", F.col("_m").alias("m")).unionByName(light)

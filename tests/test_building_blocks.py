@@ -265,6 +265,7 @@ def test_components_of_hubs(spark, monkeypatch):
     from strandline import components as C
 
     monkeypatch.setattr(C, "HEAVY", 50)
+    monkeypatch.setattr(C, "LIGHT", 0)
     monkeypatch.setattr(C, "CHUNK", 500)
     seen, looked_up = [], C._looked_up
 
