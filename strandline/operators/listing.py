@@ -197,6 +197,17 @@ def job_environment(jobs: DataFrame) -> DataFrame:
     )
 
 
+def job_telemetry(jobs: DataFrame) -> DataFrame:
+    """(job_id, name, url): the links of every job's telemetry, a JSON object of links and lists of links; other JSON has none."""
+    spark = jobs.sparkSession
+    return spark.sql(
+        """select job_id, name, coalesce(try_variant_get(each.value, '$', 'string'), try_variant_get(links, '$', 'string')) as url from (
+             select id as job_id, t.key as name, t.value as links from {jobs}, lateral variant_explode(try_parse_json(telemetry)) t where t.key is not null),
+           lateral variant_explode_outer(if(schema_of_variant(links) like 'ARRAY%', links, null)) each
+           where schema_of_variant(links) not like 'ARRAY%' or each.value is not null""", jobs=jobs.select("id", "telemetry")
+    )
+
+
 def artifact_detail(
     artifacts: DataFrame, hashes: DataFrame, inputs: DataFrame, outputs: DataFrame, jobs: DataFrame, n: int = 5
 ) -> DataFrame:

@@ -63,6 +63,28 @@ def wandb_runs(written: DataFrame, run_dirs: DataFrame, metadata: DataFrame, env
     )
 
 
+def run_summaries(summaries: DataFrame) -> DataFrame:
+    """(run_dir, runtime_seconds, metrics) of summaries of any shape: the tracker's own runtime, and how many numbers they hold."""
+    numbers = F.expr("""aggregate(map_values(coalesce(try_cast(summary as map<string, variant>), map())), 0L,
+      (n, v) -> n + if(v is not null and schema_of_variant(v) rlike '^(BIGINT|DOUBLE|DECIMAL|FLOAT)', 1, 0))""")
+    return summaries.select("run_dir", F.try_variant_get("summary", "$._wandb.runtime", "double").alias("runtime_seconds"), numbers.alias("metrics"))
+
+
+def summary_values(summaries: DataFrame) -> DataFrame:
+    """(run_dir, metric, value): the numbers at the top of every summary."""
+    spark = summaries.sparkSession
+    return spark.sql(
+        """select run_dir, m.key as metric, try_variant_get(m.value, '$', 'double') as value from {summaries}, lateral variant_explode(summary) m
+           where m.key is not null and schema_of_variant(m.value) rlike '^(BIGINT|DOUBLE|DECIMAL|FLOAT)'""", summaries=summaries
+    )
+
+
+def with_run_summaries(runs: DataFrame, summaries: DataFrame) -> DataFrame:
+    """``runs`` (run_dir, tracker_run, …) with ``runtime_seconds`` of the summary where no metadata named the run."""
+    found = run_summaries(summaries).select("run_dir", "runtime_seconds")
+    return runs.join(found, "run_dir", "left").withColumn("runtime_seconds", F.when(F.col("tracker_run").isNull(), F.col("runtime_seconds")))
+
+
 def mlflow_runs(written: DataFrame, environment: DataFrame) -> DataFrame:
     """Experiment and run of the first matching path of every run; ``written`` has a position."""
     pattern = r"mlruns/(\d+)/([a-f0-9]{32})/"

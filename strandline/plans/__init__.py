@@ -14,6 +14,7 @@ TOPICS = [
     "run_facts",
     "registration",
     "sinks_and_streams",
+    "files_and_reports",
 ]
 
 

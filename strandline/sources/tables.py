@@ -37,6 +37,32 @@ def write_lineage(tables: dict[str, DataFrame], folder: str, mode: str = "append
         df.write.mode(mode).parquet(f"{folder}/{name}")
 
 
+def file_store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a qualified path and the path in it, for use in tasks."""
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), unquote(urlparse(uri).path)
+    return fs.FileSystem.from_uri(uri)
+
+
+def write_texts(rows: DataFrame, folder: str) -> None:
+    """A file below ``folder`` for each row (path, text), written by the tasks that hold the rows."""
+    spark = rows.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, place = file_store(root)
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["text"]):
+                name = f"{place}/{path}"
+                store.create_dir(name.rpartition("/")[0])
+                with store.open_output_stream(name) as out:
+                    out.write(text.encode())
+            yield pd.DataFrame({"files": [len(batch)]})
+
+    rows.select("path", "text").mapInPandas(put, "files long").agg(F.sum("files")).collect()
+
+
 def _run_id() -> F.Column:
     return F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
 
@@ -90,8 +116,7 @@ def hash_files(spark: SparkSession, folder: str, algorithms: Sequence[str] = ("s
             rows = []
             for path, size in zip(batch["path"], batch["length"]):
                 found = [hashlib.new(a) for a in algorithms]
-                local = path.startswith("file:")
-                store, place = (fs.LocalFileSystem(), unquote(urlparse(path).path)) if local else fs.FileSystem.from_uri(path)
+                store, place = file_store(path)
                 with store.open_input_stream(place) as source:
                     while chunk := source.read(HASH_CHUNK):
                         for h in found:
@@ -121,6 +146,19 @@ def read_run_metadata(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def read_run_summaries(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(run_dir, summary) of tracker run summaries as VARIANT, whatever their shape, and (run_dir, text) of those that are no JSON.
+
+    Empty files are in neither, as no task is given one to read.
+    """
+    reader = spark.read.option("pathGlobFilter", "wandb-summary.json").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
+    texts = reader.text(folder, wholetext=True).select(
+        F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/files/[^/]+$", 1).alias("run_dir"), F.col("value").alias("text")
+    )
+    parsed = texts.withColumn("summary", F.try_parse_json("text"))
+    return parsed.where("summary is not null").select("run_dir", "summary"), parsed.where("summary is null").select("run_dir", "text")
+
+
 def read_pipeline_documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(PIPELINE_DOCUMENT).option("multiLine", True).json(folder)
 
