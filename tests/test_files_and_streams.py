@@ -10,7 +10,7 @@ from strandline.operators.dag import SessionGraph
 from strandline.plans.provenance import build_provenance, provenance_rows
 from strandline.sources import tables as T
 from strandline.sources.derived import World
-from strandline.streaming.live import LiveFileSets, LiveJobs, LiveStaleness
+from strandline.streaming.live import LiveFileSets, LiveJobs, LiveStaleness, SessionStore
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -158,3 +158,20 @@ def test_live_staleness(spark, tmp_path):
     source = spark.readStream.schema("id bigint, session_id bigint").parquet(f"{tmp_path}/src")
     live.start(source, f"{tmp_path}/check").awaitTermination(180)
     assert sorted(map(tuple, live.current(spark).select("session_id", "step_number").collect())) == want
+
+
+def test_live_staleness_reads_the_touched_folders_only(spark, tmp_path):
+    w = World(spark, FOLDER)
+    store = SessionStore(f"{tmp_path}/lineage", 16)
+    store.append(w.jobs, w.inputs, w.outputs, w.artifacts)
+    touched = w.jobs.select("session_id").distinct().limit(2)
+    mine = [r.session_id for r in touched.collect()]
+    touched = spark.createDataFrame([(s,) for s in mine], "session_id bigint")
+    jobs, inputs, outputs = store.read(touched)
+    for df in (jobs, inputs, outputs):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan, plan
+    want = SessionGraph(w.jobs, w.inputs, w.outputs, w.artifacts).stale.where(F.col("session_id").isin(mine))
+    live = LiveStaleness(f"{tmp_path}/live", store)
+    live.process(touched, 0)
+    assert sorted(map(tuple, live.current(spark).collect())) == sorted(map(tuple, want.select("session_id", "step_number").collect()))
