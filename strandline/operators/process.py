@@ -197,6 +197,28 @@ def _inherited(opens: DataFrame, lost: DataFrame, births: DataFrame) -> DataFram
     return hits.unionByName(answers.select("run_id", "gen", "fd", F.col("found").alias("inherited")))
 
 
+def _bound(touches: DataFrame, forks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Touches with the path they mean (``bound``), what was opened by generation, and the births."""
+    touches, births = generations(touches, forks)
+    key = ["run_id", "gen", "fd"]
+    bound = materialize(fill_forward(touches, key, ["ts", "seq"], "path", "bound"), "bound")
+    opens = touches.where(F.col("touch").isin("open", "held"))
+    inherited = _inherited(opens, bound.where(F.col("bound").isNull()), births)
+    return bound.join(inherited, key, "left").withColumn("bound", F.coalesce("bound", "inherited")), opens, births
+
+
+def _sets(bound: DataFrame, syscalls: DataFrame) -> DataFrame:
+    renamed = syscalls.where(F.col("syscall").isin(RENAMES) & F.col("path").isNotNull()).select(
+        "run_id", F.col("path").alias("bound"), F.lit("write").alias("touch")
+    )
+    used = bound.where(F.col("bound").isNotNull() & (F.col("touch") != "held")).select("run_id", "bound", "touch").unionByName(renamed)
+    return used.groupBy("run_id", F.col("bound").alias("path")).agg(
+        F.bool_or(F.col("touch") == "open").alias("opened"),
+        F.bool_or(F.col("touch") == "read").alias("read"),
+        F.bool_or(F.col("touch") == "write").alias("written"),
+    )
+
+
 def file_sets(syscalls: DataFrame, forks: DataFrame | None = None) -> DataFrame:
     """(run_id, path, opened, read, written) from a syscall log.
 
@@ -207,19 +229,29 @@ def file_sets(syscalls: DataFrame, forks: DataFrame | None = None) -> DataFrame:
     """
     touches = descriptor_touches(syscalls)
     if forks is None:
-        bound = fill_forward(touches, ["run_id", "pid", "fd"], ["ts", "seq"], "path", "bound")
-    else:
-        touches, births = generations(touches, forks)
-        key = ["run_id", "gen", "fd"]
-        bound = materialize(fill_forward(touches, key, ["ts", "seq"], "path", "bound"), "bound")
-        inherited = _inherited(touches.where(F.col("touch") == "open"), bound.where(F.col("bound").isNull()), births)
-        bound = bound.join(inherited, key, "left").withColumn("bound", F.coalesce("bound", "inherited"))
-    renamed = syscalls.where(F.col("syscall").isin(RENAMES) & F.col("path").isNotNull()).select(
-        "run_id", F.col("path").alias("bound"), F.lit("write").alias("touch")
-    )
-    used = bound.where(F.col("bound").isNotNull()).select("run_id", "bound", "touch").unionByName(renamed)
-    return used.groupBy("run_id", F.col("bound").alias("path")).agg(
-        F.bool_or(F.col("touch") == "open").alias("opened"),
-        F.bool_or(F.col("touch") == "read").alias("read"),
-        F.bool_or(F.col("touch") == "write").alias("written"),
+        return _sets(fill_forward(touches, ["run_id", "pid", "fd"], ["ts", "seq"], "path", "bound"), syscalls)
+    return _sets(_bound(touches, forks)[0], syscalls)
+
+
+def continued_file_sets(syscalls: DataFrame, forks: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``file_sets`` of events that go on from a known state, and the state after them.
+
+    ``held``: (run_id, pid, fd, ts, seq, path), what each living pid's descriptors mean at a moment before all of
+    the run's events. The state after is (run_id, pid, fd, path): of each pid its last generation, with
+    what it opened and what it has from its ancestors.
+    """
+    touches = descriptor_touches(syscalls).unionByName(
+        held.select("run_id", "pid", "fd", "ts", "seq", "path", F.lit("held").alias("touch"))
     )
+    bound, opens, births = _bound(touches, forks)
+    made = F.split_part("gen", F.lit(":"), F.lit(1)).cast("bigint")
+    last = births.groupBy("run_id", made.alias("pid")).agg(F.max_by("gen", F.struct("ts", "seq", "gen")).alias("gen"))
+    seen = opens.select("run_id", "gen").distinct().withColumn("pid", made)
+    # A pid's own generation is the last one where no fork made another.
+    first = seen.where(F.col("gen").endswith(":")).join(last.select("run_id", "pid"), ["run_id", "pid"], "left_anti")
+    alive = materialize(last.unionByName(first.select("run_id", "pid", "gen")), "alive")
+    own = opens.groupBy("run_id", "gen", "fd").agg(F.max_by("path", F.struct("ts", "seq")).alias("path"))
+    asked = last.select("run_id", "gen").join(opens.select("run_id", "fd").distinct(), "run_id").join(own, ["run_id", "gen", "fd"], "left_anti")
+    from_above = _inherited(opens, asked, births).withColumnRenamed("inherited", "path")
+    after = own.unionByName(from_above.select("run_id", "gen", "fd", "path")).join(alive, ["run_id", "gen"])
+    return _sets(bound, syscalls), after.select("run_id", "pid", "fd", "path")

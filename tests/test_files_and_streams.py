@@ -175,3 +175,48 @@ def test_live_staleness_reads_the_touched_folders_only(spark, tmp_path):
     live = LiveStaleness(f"{tmp_path}/live", store)
     live.process(touched, 0)
     assert sorted(map(tuple, live.current(spark).collect())) == sorted(map(tuple, want.select("session_id", "step_number").collect()))
+
+
+def test_live_file_sets_go_on_from_their_state(spark, tmp_path, monkeypatch):
+    import random
+
+    from strandline.streaming import live as S
+    from test_building_blocks import plain_file_sets
+
+    rng = random.Random(9)
+    log, forks = {}, {}
+    for run in (1, 2):
+        log[run] = [(rng.randrange(5), ts, ts, rng.choice(["open", "read", "read", "write"]), rng.randrange(3), f"/r{run}/f{ts}") for ts in range(1, 150)]
+        log[run] = [(p, t, s, c, fd, path if c == "open" else None) for p, t, s, c, fd, path in log[run]]
+        forks[run] = [f for f in ((rng.randrange(5), rng.randrange(5), ts, 1000 + ts) for ts in range(3, 150, 5)) if f[0] != f[1]]
+    late = (0, 20, 20_000, "open", 1, "/r1/late")
+    rows = [(run, p, t, s, "openat" if c == "open" else c, fd, path, None) for run in log for p, t, s, c, fd, path in log[run]]
+    rows += [(run, p, t, s, "fork", None, None, child) for run in forks for p, child, t, s in forks[run]]
+    schema = "run_id bigint, pid bigint, ts bigint, seq bigint, syscall string, fd int, path string, child_pid bigint"
+    stream = LiveFileSets(f"{tmp_path}/live", buckets=4, every=3)
+    history, read = S._batches, []
+    monkeypatch.setattr(S, "_batches", lambda *a: read.append(a) or history(*a))
+
+    def current():
+        return {(r.run_id, r.path): (r.opened, r.read, r.written) for r in stream.current(spark).collect()}
+
+    def want(upto, extra=()):
+        out = {}
+        for run in log:
+            mine = [e for e in [*log[run], *(extra if run == 1 else ())] if e[1] <= upto]
+            out |= {(run, p): v for p, v in plain_file_sets(mine, [f for f in forks[run] if f[2] <= upto]).items()}
+        return out
+
+    for batch, (a, b) in enumerate([(0, 40), (40, 60), (60, 90), (90, 120), (120, 150)]):
+        part = [r for r in rows if a < r[2] <= b]
+        if batch in (1, 3):
+            part = [r for r in part if r[0] == 1]  # the other run comes with the next micro-batch
+        if batch in (2, 4):
+            part += [r for r in rows if r[0] == 2 and (40, 90)[batch == 4] < r[2] <= (60, 120)[batch == 4]]
+        stream.process(spark.createDataFrame(part, schema), batch)
+    assert len(read) == 1  # the first micro-batch alone has no state to go on from
+    assert current() == want(150)
+    stream.process(spark.createDataFrame([(1, 0, 20, 20_000, "openat", 1, "/r1/late", None)], schema), 5)
+    assert len(read) == 2 and current() == want(150, [late])
+    stream.process(spark.createDataFrame([(1, 0, 20, 20_000, "openat", 1, "/r1/late", None)], schema), 5)  # run again
+    assert current() == want(150, [late])
