@@ -85,7 +85,8 @@ def meet(
     also made so many that one has some ``heavy`` of it.
     """
     load = F.sum(F.coalesce(F.col(weight), F.lit(0))) / heavy if weight else F.lit(0.0)
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), load.alias("_load")).where("_n > 1")
+    # Written, so that the join has two plain sides, whose hot keys are split as it runs.
+    sizes, _ = written(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), load.alias("_load")).where("_n > 1"), "bucket-sizes")
     shared = rows.join(sizes, key)
     if payload is not None:
         shared = shared.join(payload, member)
