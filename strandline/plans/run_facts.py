@@ -10,6 +10,17 @@ from strandline.operators import telemetry as L
 from strandline.plans.registry import query
 from strandline.sources.derived import duckdb_query
 
+# Fixed values, written out once more so that the SQL does not lean on the lists it checks.
+SYSTEM_READS = ["/sys/", "/etc/", "/sbin/", "/proc/", "/dev/", "/usr/", "/opt/", "/lib/", "/lib64/"]
+COMPILE_CACHES = ["/tmp/torchinductor_", "/tmp/torch_", "/tmp/triton"]
+WRITE_NOISE = ["/dev/", "/proc/", "/sys/", "/dev/shm/", "/usr/local/", "/usr/lib/", "/usr/share/", "/opt/"]
+SIMPLE_WRITE_NOISE = [*WRITE_NOISE, "/etc/", "/lib/", "/lib64/", "/tmp/"]
+SHARED_LIBRARY_DIRS = ["/usr/lib", "/lib", "/usr/lib64", "/lib64", "/usr/local/lib"]
+SYSTEM_FILES = ["/usr/lib", "/usr/lib64", "/lib", "/lib64", "/usr/share", "/etc", "/usr/local/lib", "/opt"]
+LIBRARY_READS = ["/lib/", "/lib64/", "/usr/lib/", "/usr/lib64/"]
+CODE_EXTENSIONS = [".py", ".so", ".pyx", ".pxd", ".c", ".cpp", ".h", ".hpp", ".rs", ".go"]
+CLASSES = ["repo", "package", "stdlib", "system", "unmanaged", "external", "skip"]
+
 # Files of runs: every third has a library name, some lie in the environment of the run.
 _FILE_SQL = """
 select job_id as run_id, dir, case when job_id % 7 = 3 then concat('/usr/lib/x', bytes % 5, '.so.1')
@@ -47,8 +58,8 @@ def _any(column, values):
 
 
 _PKG = "(contains(path, 'site-packages') or starts_with(path, sys_prefix) or starts_with(path, sys_base_prefix))"
-_KEEP_READ = f"not {_any('path', I.SYSTEM_READS + I.COMPILE_CACHES)} and not {_PKG} and not starts_with(path, '/tmp/')"
-_KEEP_WRITE = f"not {_any('path', [*I.WRITE_NOISE, '/etc/', *I.COMPILE_CACHES])} and not contains(path, '/.provenance/') and not ends_with(path, '.pyc')"
+_KEEP_READ = f"not {_any('path', SYSTEM_READS + COMPILE_CACHES)} and not {_PKG} and not starts_with(path, '/tmp/')"
+_KEEP_WRITE = f"not {_any('path', [*WRITE_NOISE, '/etc/', *COMPILE_CACHES])} and not contains(path, '/.provenance/') and not ends_with(path, '.pyc')"
 
 
 @query("kept_reads", "I1", duckdb_query(f"select run_id, path from reads where {_KEEP_READ}", *FILES))
@@ -56,7 +67,7 @@ def _(w):
     return I.keep_reads(_reads(w)).select("run_id", "path")
 
 
-@query("kept_reads_with_packages", "I1", duckdb_query(f"select run_id, path from reads where not {_any('path', I.SYSTEM_READS)}", *FILES))
+@query("kept_reads_with_packages", "I1", duckdb_query(f"select run_id, path from reads where not {_any('path', SYSTEM_READS)}", *FILES))
 def _(w):
     return I.keep_reads(_reads(w), packages=False, caches=False, tmp=False).select("run_id", "path")
 
@@ -74,8 +85,8 @@ def _(w):
 
 
 @query("noise_flags", "I4", duckdb_query(f"""
-select distinct path, {_any('path', I.SYSTEM_READS + I.COMPILE_CACHES)} or contains(path, 'site-packages') or ends_with(path, '.pyc') as read_noise,
-  {_any('path', I.SIMPLE_WRITE_NOISE)} or ends_with(path, '.pyc') as write_noise from files""", *FILES))
+select distinct path, {_any('path', SYSTEM_READS + COMPILE_CACHES)} or contains(path, 'site-packages') or ends_with(path, '.pyc') as read_noise,
+  {_any('path', SIMPLE_WRITE_NOISE)} or ends_with(path, '.pyc') as write_noise from files""", *FILES))
 def _(w):
     return _files(w).select("path", I.is_noise_read(F.col("path")).alias("read_noise"), I.is_noise_write(F.col("path")).alias("write_noise")).distinct()
 
@@ -86,9 +97,9 @@ CLASSIFIED = f"""classified as (
       when {_any('f.path', ['/dev/', '/proc/'])} then 'external'
       when {_IN_REPO} then case when t.path is not null then 'repo' else 'unmanaged' end
       when p.package is not null or contains(f.path, 'site-packages') then 'package'
-      when contains(f.path, '.so') and {_any('f.path', I.SHARED_LIBRARY_DIRS)} then 'system'
+      when contains(f.path, '.so') and {_any('f.path', SHARED_LIBRARY_DIRS)} then 'system'
       when starts_with(f.path, '/opt/py/') then 'stdlib' when starts_with(f.path, f.sys_prefix || '/') then 'package'
-      when {_any('f.path', I.SYSTEM_FILES)} or (contains(f.path, '.so') and (contains(f.path, '/lib') or contains(f.path, '/usr'))) then 'system' else 'unmanaged' end as class,
+      when {_any('f.path', SYSTEM_FILES)} or (contains(f.path, '.so') and (contains(f.path, '/lib') or contains(f.path, '/usr'))) then 'system' else 'unmanaged' end as class,
     coalesce(p.package, 'unknown') as owner
   from files f left join inventory i on i.path = f.path left join tracked t on t.path = f.path and t.repo_root = f.repo_root
   left join pkgfiles p on p.path = f.path)"""
@@ -109,7 +120,7 @@ def _(w):
 
 
 @query("class_counts", "I6 E8", duckdb_query(
-    "select run_id, " + ", ".join(f"count(*) filter (class = '{c}') as {c}" for c in I.CLASSES) + " from classified group by run_id", *FILES, CLASSIFIED))
+    "select run_id, " + ", ".join(f"count(*) filter (class = '{c}') as {c}" for c in CLASSES) + " from classified group by run_id", *FILES, CLASSIFIED))
 def _(w):
     return I.class_counts(_classified(w))
 
@@ -135,11 +146,11 @@ def _(w):
     return I.all_files(_reads(w), _writes(w))
 
 
-_CODE = "(contains(path, '.so.') or " + " or ".join(f"ends_with(path, '{e}')" for e in I.CODE_EXTENSIONS) + ")"
+_CODE = "(contains(path, '.so.') or " + " or ".join(f"ends_with(path, '{e}')" for e in CODE_EXTENSIONS) + ")"
 
 
 @query("data_inputs", "I9", duckdb_query(f"""
-select distinct run_id, path from reads r where not ends_with(path, '.pyc') and not {_any('path', I.LIBRARY_READS)}
+select distinct run_id, path from reads r where not ends_with(path, '.pyc') and not {_any('path', LIBRARY_READS)}
 and not exists (select 1 from classified c where c.run_id = r.run_id and c.path = r.path and c.class = 'repo' and {_CODE.replace('path', 'c.path')})""", *FILES, CLASSIFIED))
 def _(w):
     return I.data_inputs(_reads(w), _classified(w))
