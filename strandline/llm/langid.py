@@ -203,6 +203,7 @@ def learn(docs: DataFrame, sample: int = 3000, words: int = 60, folds: int = 4,
         chosen.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
         .mapInPandas(drawn, "lang string, word binary")
         .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+        .orderBy(F.xxhash64("lang", "word"), "lang", "word")  # so that the same rows stay where the limit bites
         .limit(2 * words * (sample + len(raised) * (sample // 10 + 1))).collect()  # bites only where one id has very many rows
     )
     if not rows:
@@ -264,4 +265,6 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFra
             langs, scores = predict_batch([t if isinstance(t, str) else None for t in texts], net, token)
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    return docs.withColumn("_lang", of(F.col(text))).withColumns({"lang_pred": F.col("_lang.lang_pred"), "score": F.col("_lang.score")}).drop("_lang")
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), of(F.col(text)).alias("found"))
+    return rows.select(*[F.col("row")[c].alias(c) for c in kept], F.col("found.lang_pred").alias("lang_pred"), F.col("found.score").alias("score"))

@@ -68,3 +68,13 @@ def test_rare_languages_are_learned(spark):
     net = langid.learn(docs, sample=40)
     assert net.langs == ["en", "sr"]
     assert langid.predict_batch([rare, common], net, -2)[0] == ["sr", "en"]
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "the house by the river", "en", 7, 8, 9, 0.5)] * 3 + [(2, "das Haus am Fluss", "de", 7, 8, 9, 0.5)] * 3, "doc_id long, text string, lang string, _lang int, row int, found int, score double")
+    got = langid.predict(df, None).collect()
+    assert [tuple(r)[:2] + tuple(r)[3:6] for r in got] == [tuple(r)[:2] + tuple(r)[3:6] for r in df.collect()]
+    net = langid.learn(df, sample=10, words=4, folds=1, held_out=2)
+    out = langid.predict(df, net)
+    assert out.columns == ["doc_id", "text", "lang", "_lang", "row", "found", "lang_pred", "score"]
+    assert all((r._lang, r.row, r.found) == (7, 8, 9) and r.lang_pred in ("de", "en") for r in out.collect())
