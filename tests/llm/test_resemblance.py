@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from strandline.llm import resemblance as r
+from strandline.llm import simhash
 from strandline.llm.simhash import LOWER, WORD
 
 SF = "/root/testdata/sf0.01"
@@ -91,3 +92,26 @@ def test_text_ids_clashing_names_and_heavy_texts(spark, monkeypatch):
     kept = got.collect()
     assert sorted(d.doc_id for d in kept if d.doc_id is not None) == want and len(kept) == len(want) + 1
     assert all(tuple(d)[2:] == tuple(range(13)) for d in kept)
+
+
+def test_stage_goes_by_fingerprints_and_references(spark, monkeypatch):
+    rng, seen = np.random.default_rng(6), []
+    for shared, own in ((89, 11), (8, 1), (160, 20)):  # at the limit: far more than op9's two bits apart, a table in common all the same
+        for _ in range(100):
+            h = rng.integers(0, 1 << 63, shared + 2 * own, dtype=np.uint64)
+            a, b = (simhash.votes_of(x) for x in (h[: shared + own], np.concatenate([h[:shared], h[shared + own :]])))
+            assert (simhash.nearest_references(a) == simhash.nearest_references(b)).any()
+            seen.append(simhash.wide_distances([simhash.wide_fingerprint(v) for v in (a, b)])[0, 1])
+    assert 10 < min(seen) and max(seen) <= simhash.REACH
+    wide = simhash.votes_of(h)  # the table holds mean distances of hashes, the fingerprint their majorities
+    each = np.array([simhash.votes_of(h[i : i + 1]) for i in range(len(h))])
+    assert (each.sum(axis=0) == wide).all() and simhash.wide_fingerprint(wide) == np.packbits((each > 0).sum(axis=0) * 2 > len(h)).tobytes()
+    k = np.argmin([(each != f).sum() for r in simhash._TWISTS[:1] * simhash._FUNCTIONS[: simhash.CELLS] for f in (r, -r)])
+    assert simhash.nearest_references(wide)[0] & 255 == k
+
+    text = [f"w{k}" for k in range(100)]
+    rows = [(1, " ".join(text)), (2, " ".join([*text[:50], "new", *text[51:]])), (3, "some other text that stands alone here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(d.doc_id for d in corpus_pipeline.simhash_near_duplicates(spark, df, SF).collect()) == [1, 3]
+    monkeypatch.setattr(r, "REACH", -1)  # no fingerprint within reach: no candidates, whatever the sets
+    assert sorted(d.doc_id for d in r.first_of_groups(df).collect()) == [1, 2, 3]
