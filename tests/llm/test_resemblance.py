@@ -115,3 +115,41 @@ def test_stage_goes_by_fingerprints_and_references(spark, monkeypatch):
     assert sorted(d.doc_id for d in corpus_pipeline.simhash_near_duplicates(spark, df, SF).collect()) == [1, 3]
     monkeypatch.setattr(r, "REACH", -1)  # no fingerprint within reach: no candidates, whatever the sets
     assert sorted(d.doc_id for d in r.first_of_groups(df).collect()) == [1, 2, 3]
+
+
+def spied(monkeypatch):
+    """Rows of what the stage writes, by label; of several tables with the same label the last."""
+    seen, written = {}, r.written
+
+    def spy(df, label):
+        table, path = written(df, label)
+        seen[label] = table.count()
+        return table, path
+
+    monkeypatch.setattr(r, "written", spy)
+    return seen
+
+
+def test_a_large_group_meets_once_and_not_in_every_table(spark, monkeypatch):
+    rng, seen = random.Random(5), spied(monkeypatch)
+    rows = []
+    for k in range(90):  # two changed words link (0.815 of the shingles), four do not: half of the group belongs to nobody
+        base = [f"w{i}" for i in range(200)]
+        for at in rng.sample(range(5, 190), 2 if k % 2 else 4):
+            base[at] = f"n{k}-{at}"
+        rows.append((k, " ".join(base)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = plain_firsts(rows)
+    assert sorted(d.doc_id for d in r.first_of_groups(df).collect()) == want and 30 < len(want) < 80
+    assert seen["candidates"] > 40 * len(rows) and 0 < seen["buckets"] <= len(rows)
+
+
+def test_a_long_chain_keeps_to_its_buckets(spark, monkeypatch):
+    seen, rows, at = spied(monkeypatch), [], 0
+    for k in range(1500):  # neighbours share 0.9 of their shingles; every 50th is four steps on (0.65), which is no link
+        at += 3 if k % 50 else 12
+        rows.append((k, " ".join(f"w{i}" for i in range(at, at + 60))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = plain_firsts(rows)
+    assert sorted(d.doc_id for d in r.first_of_groups(df).collect()) == want and len(want) == 30
+    assert seen["once"] < seen["kin"] and seen["buckets"] > len(rows)
