@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.paths import contains_any
-from strandline.scale import latest
+from strandline.scale import latest, running_sum
 
 # Path parts that give a tracker away, and what each implies to ignore.
 TRACKERS = {
@@ -120,16 +122,23 @@ def neptune_runs(written: DataFrame, run_dirs: DataFrame, environment: DataFrame
     return rows.select("run_id", "project", "tracker_run", url.alias("url"))
 
 
-def match_run_dirs(jobs: DataFrame, run_dirs: DataFrame, window: float = MATCH_WINDOW) -> DataFrame:
-    """(job_id, run_dir) with the folder's time inside the job's time, widened by the window.
+def _spans(jobs: DataFrame, window: float) -> DataFrame:
+    bounds = {"lo": F.col("start") - window, "hi": F.col("end") + window}
+    return jobs.withColumns(bounds).drop("start", "end").where(F.col("lo") <= F.col("hi"))
+
+
+def match_run_dirs(
+    jobs: DataFrame, run_dirs: DataFrame, window: float = MATCH_WINDOW, columns: Sequence[str] = ("job_id", "run_dir")
+) -> DataFrame:
+    """(job_id, run_dir), or other ``columns`` of both, with the folder's time inside the job's time, widened by the window.
 
     ``jobs``: (job_id, repo_root, start, end); ``run_dirs``: (repo_root, run_dir, ctime). A job is
     put on a time grid about as coarse as it is long, so it meets at most two cells, and folders
     appear once on each grid in use: an equi-join for short and long jobs alike.
     """
-    spans = jobs.select("job_id", "repo_root", (F.col("start") - window).alias("lo"), (F.col("end") + window).alias("hi")).where(
-        F.col("lo") <= F.col("hi")
-    )
+    mine = [c for c in columns if c in jobs.columns]
+    spans = _spans(jobs, window).select(*dict.fromkeys(["repo_root", "lo", "hi", *mine]))
+    run_dirs = run_dirs.select(*dict.fromkeys(["repo_root", "ctime", *[c for c in columns if c not in mine]]))
     level = F.ceil(F.log2(F.greatest(F.col("hi") - F.col("lo"), F.lit(1.0)))).cast("int")
     spans = spans.withColumn("level", level)
     # At most about forty grids: job lengths between a second and centuries.
@@ -143,10 +152,23 @@ def match_run_dirs(jobs: DataFrame, run_dirs: DataFrame, window: float = MATCH_W
     return (
         cells.join(points, ["repo_root", "level", "cell"])
         .where(F.col("ctime").between(F.col("lo"), F.col("hi")))
-        .select("job_id", "run_dir")
+        .select(*columns)
     )
 
 
+def _match_counts(jobs: DataFrame, run_dirs: DataFrame, window: float) -> DataFrame:
+    """(job_id, links): how many folders ``match_run_dirs`` finds for each job, from folders counted up to both ends of its
+    time; rows grow with jobs and folders, not with their pairs."""
+    spans = _spans(jobs, window).select("job_id", "repo_root", "lo", "hi")
+    ends = spans.select("job_id", "repo_root", F.expr("inline(array(struct(lo as at, 0 as kind), struct(hi as at, 2 as kind)))"))
+    points = run_dirs.select("repo_root", F.col("ctime").alias("at"), F.lit(1).alias("kind"), F.lit(1).alias("is_dir"))
+    rows = ends.unionByName(points, allowMissingColumns=True).where("repo_root is not null and at is not null")
+    # Equal rows may come in any order: only those of another kind change the count.
+    upto = running_sum(rows, ["repo_root"], [F.col("at"), F.col("kind")], "is_dir", "upto").where("kind <> 1")
+    signed = F.coalesce("upto", F.lit(0)) * F.when(F.col("kind") == 2, 1).otherwise(-1)
+    return upto.groupBy("job_id").agg(F.sum(signed).alias("links"))
+
+
 def log_run_urls(logs: DataFrame) -> DataFrame:
     """Run URL in the text of a tracker's debug log; ``logs``: (run_dir, text)."""
     pattern = r"finishing run ([^/\s]+)/([^/\s]+)/([^/\s]+)"
@@ -157,8 +179,15 @@ def log_run_urls(logs: DataFrame) -> DataFrame:
     )
 
 
-def telemetry_links(matches: DataFrame, urls: DataFrame, provider: str = "wandb") -> DataFrame:
-    """(job_id, provider, url, links): every link of a job with how many its provider has."""
-    rows = matches.join(urls.select("run_dir", "url").where(F.col("url").isNotNull()), "run_dir").select("job_id", "url")
-    counts = rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("links"))
-    return rows.join(counts, "job_id").select("job_id", F.lit(provider).alias("provider"), "url", "links")
+def telemetry_links(
+    jobs: DataFrame, run_dirs: DataFrame, urls: DataFrame, provider: str = "wandb", window: float = MATCH_WINDOW
+) -> DataFrame:
+    """(job_id, provider, url, links): every link of a job with how many its provider has.
+
+    ``jobs`` and ``run_dirs`` as in ``match_run_dirs``, ``urls``: (run_dir, url). Links are counted before the folders are matched,
+    so matches, of which there may be far more than jobs and folders, are never shuffled.
+    """
+    linked = run_dirs.join(urls.select("run_dir", "url").where(F.col("url").isNotNull()), "run_dir")
+    counted = jobs.join(_match_counts(jobs, linked, window), "job_id")
+    matches = match_run_dirs(counted, linked, window, ["job_id", "url", "links"])
+    return matches.select("job_id", F.lit(provider).alias("provider"), "url", "links")

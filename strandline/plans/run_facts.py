@@ -514,4 +514,4 @@ def _(w):
     jobs = w.jobs.selectExpr("id as job_id", "concat('p', session_id % 25) as repo_root", "cast(timestamp as double) as start", "timestamp + duration_seconds * (id % 200) as end")
     dirs = w.jobs.selectExpr("concat('p', session_id % 25) as repo_root", "concat('run-', id) as run_dir", "cast(timestamp + id % 50 - 10 as double) as ctime")
     urls = dirs.selectExpr("run_dir", "if(endswith(run_dir, '3'), null, concat('u', run_dir)) as url")
-    return L.telemetry_links(L.match_run_dirs(jobs, dirs), urls)
+    return L.telemetry_links(jobs, dirs, urls)

@@ -15,7 +15,7 @@ from strandline.session import tune
 
 # Thin projections stay views; the other derived tables are written once per application and
 # folder, as the lineage tables they stand for would be.
-_VIEWS = {"syscalls", "collections"}
+_VIEWS = {"syscalls", "collections", "artifact_hashes"}
 _written: dict[tuple[str, str, str], DataFrame] = {}
 
 

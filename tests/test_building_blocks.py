@@ -462,3 +462,25 @@ def test_class_per_equal_set_of_jobs(spark):
     assert by["p"] == by["q"] != by["r"] and "s" not in by
     got = sorted((r.target, r.artifact_id, r.depth) for r in L.closure(targets, made, inputs, 5).collect())
     assert got == [("p", "raw", 2), ("p", "x", 0), ("p", "z", 1), ("q", "raw", 2), ("q", "y", 0), ("q", "z", 1), ("r", "raw", 1), ("r", "x", 0), ("r", "z", 0), ("s", "nobody's", 0)]
+
+
+def test_telemetry_links_are_counted_before_they_are_matched(spark):
+    from strandline.operators.telemetry import telemetry_links
+
+    jobs = [(1, "p", 0.0, 100.0), (2, "p", 50.0, 50.0), (3, "q", 0.0, 9.0), (3, "p", 90.0, 300.0), (None, "p", 0.0, 99.0), (5, None, 0.0, 9.0), (6, "p", None, 9.0), (7, "p", 400.0, 500.0)]
+    dirs = [("p", "a", -5.0), ("p", "b", 55.0), ("p", "b", 55.0), ("p", "c", 105.0), ("p", "d", 105.1), ("q", "e", 14.0), (None, "f", 1.0), ("p", "g", None), ("p", "n", 50.0)]
+    urls = [("a", "ua"), ("b", "ub"), ("b", "ub2"), ("c", "uc"), ("d", "ud"), ("e", "ue"), ("f", "uf"), ("g", "ug"), ("n", None)]
+    found = [
+        (j, u) for j, root, lo, hi in jobs for p, d, at in dirs for k, u in urls
+        if j is not None and root is not None and lo is not None and at is not None and u is not None and root == p and d == k and lo - 5 <= at <= hi + 5
+    ]
+    wanted = sorted((j, "wandb", u, sum(x == j for x, _ in found)) for j, u in found)
+    frames = [
+        spark.createDataFrame(jobs, "job_id long, repo_root string, start double, end double"), spark.createDataFrame(dirs, "repo_root string, run_dir string, ctime double"),
+        spark.createDataFrame(urls, "run_dir string, url string"),
+    ]
+    links = telemetry_links(*frames)
+    assert sorted(tuple(r) for r in links.collect()) == wanted and len(wanted) > 10
+    # Nothing is shuffled, grouped or joined after the match.
+    top, below = links._jdf.queryExecution().optimizedPlan().toString().splitlines()[:2]
+    assert top.startswith("Project") and "Join" in below and "cell" in below
