@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator, Sequence
 from urllib.parse import unquote, urlparse
 
@@ -12,10 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.scale import is_empty, materialize
 from strandline.schemas import INJECT_REPORT, LINEAGE, PIPELINE_DOCUMENT, TRACE_REPORT
+from strandline.session import tune
 
 # Fixed value: how much of a file is hashed at a time.
 HASH_CHUNK = 8 * 1024 * 1024
+LISTED = 10_000  # names that a task hands on at a time
+ILLEGAL = re.compile(r"[\x00-\x20\x7f\"#%<>?\[\\\]^`{|}]")  # what Spark writes as %.. in the path of a file
+STORES = {"file", "hdfs", "s3", "gs"}  # what tasks can open
 
 
 def read_lineage(
@@ -63,8 +69,72 @@ def write_texts(rows: DataFrame, folder: str) -> None:
     rows.select("path", "text").mapInPandas(put, "files long").agg(F.sum("files")).collect()
 
 
-def _run_id() -> F.Column:
-    return F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
+def read_texts(spark: SparkSession, folder: str, name: str | None = None, skip_errors: bool = False) -> DataFrame:
+    """(path, text) of the files below ``folder``, or those of that ``name``; listed and read by tasks.
+
+    A run may have files of its own, so their names are too many for the driver and a split for a few of them too little for a
+    task. As Spark's readers do, empty files and names that begin with ``_`` or ``.`` are left out, without ``name`` also what
+    lies in folders below, and with ``skip_errors`` what cannot be read. Stores that tasks cannot open are read by Spark.
+    """
+    tune(spark)  # tasks import this module
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = place.makeQualified(target)
+    if place.getScheme() not in STORES or not place.exists(root) or not place.getFileStatus(root).isDirectory():
+        reader = spark.read.option("ignoreCorruptFiles", skip_errors).option("recursiveFileLookup", name is not None)
+        found = (reader.option("pathGlobFilter", name) if name else reader).text(folder, wholetext=True)
+        return found.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).where("text <> ''")
+    root = root.toString()
+    below = name is not None
+
+    def shown(entry: fs.FileInfo) -> bool:
+        hidden = entry.base_name.startswith(".") or entry.base_name.startswith("_") and "=" not in entry.base_name
+        return not hidden and not entry.base_name.endswith("._COPYING_")
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, _ = file_store(root)
+        for batch in batches:
+            for at in batch["at"]:
+                entries = [(e.path, e.size, e.type == fs.FileType.Directory) for e in store.get_file_info(fs.FileSelector(at)) if shown(e)]
+                for start in range(0, len(entries), LISTED):
+                    yield pd.DataFrame(entries[start : start + LISTED], columns=["at", "size", "is_folder"])
+
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, _ = file_store(root)
+        for batch in batches:
+            rows, held = [], 0
+            for at in batch["at"]:
+                try:
+                    with store.open_input_stream(at) as source:
+                        content = source.read()
+                except OSError:
+                    if not skip_errors:
+                        raise
+                    continue
+                rows.append((ILLEGAL.sub(lambda c: f"%{ord(c[0]):02X}", at), content))
+                held += len(content)
+                if held > HASH_CHUNK:
+                    yield pd.DataFrame(rows, columns=["path", "content"])
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders = spark.createDataFrame([(file_store(root)[1],)], "at string")
+    files = None
+    while True:
+        # A level of folders a round, written: the next round lists them in as many tasks as there are partitions.
+        level = materialize(folders.mapInPandas(listed, "at string, size long, is_folder boolean"), "listing")
+        held = level.where("not is_folder and size > 0")
+        held = held.where(F.element_at(F.split("at", "/"), -1) == name) if below else held
+        files = held.select("at") if files is None else files.unionByName(held.select("at"))
+        folders = level.where("is_folder").select("at").repartition(parts, "at")
+        if not below or is_empty(folders):
+            read = files.repartition(parts, "at").mapInPandas(texts, "path string, content binary")
+            return read.select("path", F.col("content").cast("string").alias("text"))
+
+
+def _run_id(name: F.Column) -> F.Column:
+    return F.regexp_extract(name, r"^(.*?)(?:\.[^.]*)?$", 1)
 
 
 def _file_list(column: str) -> F.Column:
@@ -73,11 +143,19 @@ def _file_list(column: str) -> F.Column:
 
 def read_trace_reports(spark: SparkSession, folder: str) -> DataFrame:
     """One row per trace report, named by its file; missing keys get defaults, paths are kept once."""
-    raw = spark.read.schema(TRACE_REPORT).option("multiLine", True).json(folder)
+    text, many = F.col("text"), T.ArrayType(TRACE_REPORT)
+    # A file may hold a list of reports.
+    several = F.coalesce(F.from_json(text, many), F.array(F.lit(None).cast(TRACE_REPORT)))
+    read = F.when(text.rlike(r"^\s*\["), several).otherwise(F.array(F.from_json(text, TRACE_REPORT)))
+    found = F.when(F.col("valid"), read).otherwise(F.array(F.lit(None).cast(TRACE_REPORT)))
+    name = F.element_at(F.split("path", "/"), -1)
+    plain = F.regexp_replace("text", "^\ufeff", "").alias("text")
+    texts = read_texts(spark, folder).select(name.alias("name"), F.is_valid_utf8("text").alias("valid"), plain).where(text.rlike(r"\S"))
+    raw = texts.select("name", F.explode(found).alias("report")).select("name", "report.*")
     zero = F.lit(0.0)
     no_map = F.create_map().cast("map<string,string>")
     return raw.select(
-        _run_id().alias("run_id"),
+        _run_id(F.col("name")).alias("run_id"),
         F.coalesce("processes", F.array().cast(TRACE_REPORT["processes"].dataType)).alias("processes"),
         _file_list("opened_files"), _file_list("read_files"), _file_list("written_files"),
         F.coalesce("env_accessed", no_map).alias("env_accessed"),
@@ -89,7 +167,7 @@ def read_inject_reports(spark: SparkSession, folder: str, runs: DataFrame) -> Da
     """One row per run of ``runs`` (run_id); an absent or malformed report gives defaults."""
     schema = T.StructType([*INJECT_REPORT.fields, T.StructField("_corrupt_record", T.StringType())])
     raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(folder)
-    named = raw.select(_run_id().alias("run_id"), *INJECT_REPORT.names)
+    named = raw.select(_run_id(F.col("_metadata.file_name")).alias("run_id"), *INJECT_REPORT.names)
     rows = runs.select("run_id").distinct().join(named, "run_id", "left")
     defaults = {"array": F.array(), "map": F.create_map(), "string": F.lit("")}
     return rows.select(
@@ -151,9 +229,8 @@ def read_run_summaries(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
 
     Empty files are in neither, as no task is given one to read.
     """
-    reader = spark.read.option("pathGlobFilter", "wandb-summary.json").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
-    texts = reader.text(folder, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/files/[^/]+$", 1).alias("run_dir"), F.col("value").alias("text")
+    texts = read_texts(spark, folder, "wandb-summary.json", skip_errors=True).select(
+        F.regexp_extract("path", "([^/]+)/files/[^/]+$", 1).alias("run_dir"), "text"
     )
     parsed = texts.withColumn("summary", F.try_parse_json("text"))
     return parsed.where("summary is not null").select("run_dir", "summary"), parsed.where("summary is null").select("run_dir", "text")

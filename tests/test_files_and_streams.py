@@ -220,3 +220,28 @@ def test_live_file_sets_go_on_from_their_state(spark, tmp_path, monkeypatch):
     assert len(read) == 2 and current() == want(150, [late])
     stream.process(spark.createDataFrame([(1, 0, 20, 20_000, "openat", 1, "/r1/late", None)], schema), 5)  # run again
     assert current() == want(150, [late])
+
+
+def test_many_small_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    for k in range(600):
+        write(tmp_path / "s" / "wandb" / f"run-{k}" / "files" / "wandb-summary.json", '{"loss": %d}' % k if k % 3 else '{"broken": ')
+    for path, text in {"wandb/run 9/files/wandb-summary.json": "[1]", "wandb/.run-x/files/wandb-summary.json": "{}", "wandb/_run-y/files/wandb-summary.json": "{}",
+                       "wandb/run-z/files/other.json": "{}", "wandb/run-e/files/wandb-summary.json": ""}.items():
+        write(tmp_path / "s" / path, text)
+    summaries, broken = T.read_run_summaries(spark, str(tmp_path / "s"))
+    assert summaries.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(r.run_dir for r in summaries.collect()) == sorted(["run%209", *[f"run-{k}" for k in range(600) if k % 3]])
+    assert sorted(r.run_dir for r in broken.collect()) == sorted(f"run-{k}" for k in range(0, 600, 3))
+
+    reports = {"a b.json": b'{"read_files": ["x", "x"], "start_time": 2}', "b.x.json": b'{"read_files": ["x"],', "c": b'[{"start_time": 1}, {"start_time": 3}]', "d.json": b" \n", "e.json": b"",
+               "f.json": b'{"start_time": "bad", "read_files": ["k"]}', "g.json": b'\xef\xbb\xbf{"start_time": 4}', "_h.json": b"{}", ".i.json": b"{}", "j.json": b"[]", "n.json": b'{"read_files": ["\xff"]}'}
+    (tmp_path / "t").mkdir()
+    for name, content in reports.items():
+        (tmp_path / "t" / name).write_bytes(content)
+    for k in range(600):
+        (tmp_path / "t" / f"run{k}.json").write_text("{}")
+    traces = T.read_trace_reports(spark, str(tmp_path / "t"))
+    assert traces.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    odd = sorted((r.run_id, r.read_files, r.start_time) for r in traces.where("run_id not like 'run%'").collect())
+    assert odd == [("a%20b", ["x"], 2.0), ("b.x", [], 0.0), ("c", [], 1.0), ("c", [], 3.0), ("f", ["k"], 0.0), ("g", [], 4.0), ("n", [], 0.0)]
+    assert traces.count() == 607
