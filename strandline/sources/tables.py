@@ -93,11 +93,15 @@ def read_texts(spark: SparkSession, folder: str, name: str | None = None, skip_e
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, _ = file_store(root)
+        found: list[tuple[str, int, bool]] = []
         for batch in batches:
             for at in batch["at"]:
-                entries = [(e.path, e.size, e.type == fs.FileType.Directory) for e in store.get_file_info(fs.FileSelector(at)) if shown(e)]
-                for start in range(0, len(entries), LISTED):
-                    yield pd.DataFrame(entries[start : start + LISTED], columns=["at", "size", "is_folder"])
+                for entry in filter(shown, store.get_file_info(fs.FileSelector(at))):
+                    found.append((entry.path, entry.size, entry.type == fs.FileType.Directory))
+                    if len(found) == LISTED:
+                        yield pd.DataFrame(found, columns=["at", "size", "is_folder"])
+                        found = []
+        yield pd.DataFrame(found, columns=["at", "size", "is_folder"])
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, _ = file_store(root)
