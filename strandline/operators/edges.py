@@ -38,13 +38,22 @@ def primary_digests(hashes: DataFrame, algorithm: str | None = None, strict: boo
     )
 
 
+def artifact_facts(artifacts: DataFrame, hashes: DataFrame, algorithm: str | None = None) -> DataFrame:
+    """(artifact_id, size, first_seen_path, digest) of every artifact."""
+    return artifacts.select(F.col("id").alias("artifact_id"), "size", "first_seen_path").join(
+        primary_digests(hashes, algorithm), "artifact_id", "left"
+    )
+
+
 def with_facts(
     edges: DataFrame, artifacts: DataFrame, hashes: DataFrame, algorithm: str | None = None
 ) -> DataFrame:
     """Edges with size, path fallback and primary digest."""
-    facts = artifacts.select(F.col("id").alias("artifact_id"), "size", "first_seen_path").join(
-        primary_digests(hashes, algorithm), "artifact_id", "left"
-    )
+    return joined_facts(edges, artifact_facts(artifacts, hashes, algorithm))
+
+
+def joined_facts(edges: DataFrame, facts: DataFrame) -> DataFrame:
+    """Edges with what ``artifact_facts`` has of their artifacts."""
     return edges.join(facts, "artifact_id").select(
         *[c for c in edges.columns if c not in ("path", "artifact_id")],
         "artifact_id",

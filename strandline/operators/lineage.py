@@ -9,8 +9,8 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.operators.edges import newest, primary_digests, with_facts
-from strandline.scale import bucketed, latest, materialize, materialize_counted, multiset_digest, running_rank
+from strandline.operators.edges import artifact_facts, joined_facts, newest, primary_digests, with_facts
+from strandline.scale import bucketed, latest, materialize, materialize_counted, multiset_digest, running_rank, settled
 
 
 def producers(jobs: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -107,10 +107,14 @@ def closure(targets: DataFrame, made_by: DataFrame, inputs: DataFrame, max_depth
     group = [c for c in targets.columns if c != "artifact_id"]
     node = [*group, "artifact_id"]
     own = targets.select(*node).distinct()
-    found = ancestors(targets, made_by, inputs, max_depth)
-    read = found.jobs().where(F.col("depth") < max_depth).join(inputs.select("job_id", "artifact_id"), "job_id")
-    shared = materialize(read.groupBy("class", "artifact_id").agg((F.min("depth") + 1).alias("depth")), "closure")
-    upstream = found.members.join(shared, "class").select(*node, "depth").join(own, node, "left_anti")
+
+    def upstream_of_classes() -> tuple[DataFrame, DataFrame]:
+        found = ancestors(targets, made_by, inputs, max_depth)
+        read = found.jobs().where(F.col("depth") < max_depth).join(inputs.select("job_id", "artifact_id"), "job_id")
+        return found.members, read.groupBy("class", "artifact_id").agg((F.min("depth") + 1).alias("depth"))
+
+    members, shared = settled(targets.sparkSession, upstream_of_classes, "members", "closure")
+    upstream = members.join(shared, "class").select(*node, "depth").join(own, node, "left_anti")
     return own.withColumn("depth", F.lit(0)).unionByName(upstream)
 
 
@@ -170,20 +174,29 @@ def filtered_lineage(
     max_depth: int = 10,
 ) -> DataFrame:
     """Links of the lineage jobs: all inputs, but only outputs on the way to the target."""
+    spark = targets.sparkSession
     group = [c for c in targets.columns if c != "artifact_id"]
-    found = ancestors(targets, made_by, inputs, max_depth)
-    needed = materialize(found.jobs().select("class", "job_id"), "lineage_jobs")
-    members = materialize(found.members, "members")
+
+    def jobs_of_classes() -> tuple[DataFrame, DataFrame]:
+        found = ancestors(targets, made_by, inputs, max_depth)
+        return found.members, found.jobs().select("class", "job_id")
+
+    members, needed = settled(spark, jobs_of_classes, "members", "lineage_jobs")
     cols = ["job_id", "artifact_id", "path"]
-    read = materialize(inputs.select(*cols).join(needed, "job_id"), "read")
-    on_path = read.select("class", "artifact_id").distinct()
-    made = outputs.select(*cols).join(needed, "job_id").join(on_path, ["class", "artifact_id"], "left_semi")
-    shared = read.withColumn("direction", F.lit("in")).unionByName(made.withColumn("direction", F.lit("out")))
-    links = members.join(with_facts(shared, artifacts, hashes), "class").drop("class")
-    # The targets themselves, where no job on the way reads them.
-    ends = targets.join(members, group) if group else targets.crossJoin(members)
-    last = outputs.select(*cols).join(ends, "artifact_id").join(needed, ["class", "job_id"]).join(on_path, ["class", "artifact_id"], "left_anti")
-    return links.unionByName(with_facts(last.drop("class").withColumn("direction", F.lit("out")), artifacts, hashes))
+
+    def links_of_classes() -> tuple[DataFrame, DataFrame]:
+        facts = materialize(artifact_facts(artifacts, hashes), "facts")
+        read = materialize(inputs.select(*cols).join(needed, "job_id"), "read")
+        on_path = read.select("class", "artifact_id").distinct()
+        made = outputs.select(*cols).join(needed, "job_id").join(on_path, ["class", "artifact_id"], "left_semi")
+        shared = read.withColumn("direction", F.lit("in")).unionByName(made.withColumn("direction", F.lit("out")))
+        # The targets themselves, where no job on the way reads them.
+        ends = targets.join(members, group) if group else targets.crossJoin(members)
+        last = outputs.select(*cols).join(ends, "artifact_id").join(needed, ["class", "job_id"]).join(on_path, ["class", "artifact_id"], "left_anti")
+        return joined_facts(shared, facts), joined_facts(last.drop("class").withColumn("direction", F.lit("out")), facts)
+
+    shared, last = settled(spark, links_of_classes, "class_links", "target_links")
+    return members.join(shared, "class").drop("class").unionByName(last)
 
 
 def lineage_report(targets: DataFrame, links: DataFrame, jobs: DataFrame, artifacts: DataFrame, hashes: DataFrame) -> DataFrame:

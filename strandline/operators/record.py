@@ -12,7 +12,7 @@ from strandline.functions.paths import normal_path
 from strandline.functions.references import primary_script
 from strandline.operators.edges import newest
 from strandline.schemas import LINEAGE
-from strandline.scale import latest, materialize, multiset_digest, running_rank
+from strandline.scale import latest, materialize, multiset_digest, running_rank, settled
 
 
 def normal_edges(edges: DataFrame, home: str) -> DataFrame:
@@ -63,10 +63,16 @@ def hashable_files(files: DataFrame, inventory: DataFrame) -> DataFrame:
 
 
 def _resolve(sightings: DataFrame, existing: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    """(sighting_id, label) and, of stored artifacts, (artifact_id, label, seen)."""
+    """(sighting_id, label) and, of stored artifacts, (artifact_id, label, seen); both written."""
+    names = ["homes"] if existing is None else ["homes", "held"]
+    homes, *held = settled(sightings.sparkSession, lambda: _labelled(sightings, existing), *names)
+    return homes, held[0] if held else None
+
+
+def _labelled(sightings: DataFrame, existing: DataFrame | None) -> list[DataFrame]:
     key = F.concat_ws(":", "algorithm", F.lower("digest"))
     seen = materialize(sightings.select("sighting_id", key.alias("k")).distinct(), "sightings")
-    links = seen.groupBy("sighting_id").agg(F.min("k").alias("home"), F.max("k").alias("last"))
+    links = materialize(seen.groupBy("sighting_id").agg(F.min("k").alias("home"), F.max("k").alias("last")), "links")
     pairs = seen.join(links.where(F.col("home") != F.col("last")), "sighting_id").select(
         F.col("home").alias("a"), F.col("k").alias("b")
     )
@@ -84,11 +90,11 @@ def _resolve(sightings: DataFrame, existing: DataFrame | None) -> tuple[DataFram
         "sighting_id", F.coalesce("label", "node").alias("label")
     )
     if stored is None:
-        return homes, None
+        return [homes]
     held = stored.withColumnRenamed("k", "node").join(labels, "node", "left").groupBy("artifact_id").agg(
         F.min(F.coalesce("label", "node")).alias("label"), F.min("seen").alias("seen")
     )
-    return homes, materialize(held, "held")
+    return [homes, held]
 
 
 def resolve_artifacts(sightings: DataFrame, existing: DataFrame | None = None) -> DataFrame:

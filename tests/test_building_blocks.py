@@ -484,3 +484,39 @@ def test_telemetry_links_are_counted_before_they_are_matched(spark):
     # Nothing is shuffled, grouped or joined after the match.
     top, below = links._jdf.queryExecution().optimizedPlan().toString().splitlines()[:2]
     assert top.startswith("Project") and "Join" in below and "cell" in below
+
+
+def test_written_stages_leave_no_shuffles_and_settled_ones_no_files(spark):
+    import os
+    import time
+
+    from strandline.operators.lineage import filtered_lineage, producers
+    from strandline.scale import materialize, scratch_root, settled
+
+    def shuffled():
+        folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for folder in folders for _, _, files in os.walk(folder) for f in files if f.startswith("shuffle_") and f.endswith(".data")}
+
+    earlier = shuffled()
+    table = materialize(spark.range(10_000).repartition(4, "id"), "wide")
+    for _ in range(100):  # the files go a moment later
+        if not (left := shuffled() - earlier):
+            break
+        time.sleep(0.1)
+    assert not left and table.count() == 10_000
+    before = set(os.listdir(scratch_root(spark)))
+    kept, = settled(spark, lambda: [materialize(spark.range(5), "inner").selectExpr("id + 1 as id")], "kept")
+    new = {n.partition("-")[0] for n in set(os.listdir(scratch_root(spark))) - before}
+    assert sorted(r.id for r in kept.collect()) == [1, 2, 3, 4, 5] and new == {"kept"}
+
+    jobs = spark.createDataFrame([(1, 10), (2, 20)], "id long, timestamp long")
+    outputs = spark.createDataFrame([(1, "a", "p/a"), (1, "x", "p/x"), (2, "b", None)], "job_id long, artifact_id string, path string")
+    inputs = spark.createDataFrame([(2, "a", "p/a")], "job_id long, artifact_id string, path string")
+    artifacts = spark.createDataFrame([(c, 1, f"first/{c}") for c in "abx"], "id string, size long, first_seen_path string")
+    hashes = spark.createDataFrame([(c, "sha256", f"h{c}") for c in "abx"], "artifact_id string, algorithm string, digest string")
+    made_by = producers(jobs, outputs)
+    before = set(os.listdir(scratch_root(spark)))
+    links = filtered_lineage(spark.createDataFrame([("t", "b")], "target string, artifact_id string"), made_by, inputs, outputs, artifacts, hashes)
+    assert sorted((r.job_id, r.direction, r.artifact_id, r.path, r.digest) for r in links.collect()) == [(1, "out", "a", "p/a", "ha"), (2, "in", "a", "p/a", "ha"), (2, "out", "b", "first/b", "hb")]
+    left = {n.split("-")[0] for n in set(os.listdir(scratch_root(spark))) - before}
+    assert left == {"members", "lineage_jobs", "class_links", "target_links"}
