@@ -207,15 +207,16 @@ def lineage_report(targets: DataFrame, links: DataFrame, jobs: DataFrame, artifa
     facts = artifacts.select(F.col("id").alias("artifact_id"), "size", "first_seen_path").join(
         primary_digests(hashes), "artifact_id"
     )
-    target_rows = targets.join(facts, "artifact_id").select(
-        "target", "digest", F.col("first_seen_path").alias("path"), "size"
+    target_rows = materialize(
+        targets.join(facts, "artifact_id").select("target", "digest", F.col("first_seen_path").alias("path"), "size"), "target_rows"
     )
     job_rows = links.select("target", "job_id").distinct().join(
         jobs.select(F.col("id").alias("job_id"), "job_uid", "command", "timestamp"), "job_id"
     )
     seen = links.where(F.col("digest").isNotNull()).select("target", "digest", "path", "size")
-    by_digest = seen.groupBy("target", "digest").agg(F.min(F.struct("path", "size")).alias("f")).select(
-        "target", "digest", "f.path", "f.size"
+    by_digest = materialize(
+        seen.groupBy("target", "digest").agg(F.min(F.struct("path", "size")).alias("f")).select("target", "digest", "f.path", "f.size"),
+        "target_digests",
     )
     appended = target_rows.join(by_digest, ["target", "digest"], "left_anti")
     empty = F.lit(None)

@@ -521,3 +521,19 @@ def test_written_stages_leave_no_shuffles_and_settled_ones_no_files(spark):
     left = {n.rpartition("-")[0] for n in set(os.listdir(scratch_root(spark))) - before}
     assert {"members", "lineage_jobs", "class_links", "target_links"} <= left
     assert not left & {"seeds", "target-groups", "slices", "classes", "frontier", "facts", "read"}
+
+
+def test_lineage_report_reads_links_once_for_digests(spark):
+    from strandline.operators.lineage import lineage_report
+
+    targets = spark.createDataFrame([("t", "a"), ("u", "b")], "target string, artifact_id string")
+    links = spark.createDataFrame([("t", 1, "out", "a", "p/a", 1, "ha"), ("t", 1, "in", "x", "p/x", 1, "hx")], "target string, job_id long, direction string, artifact_id string, path string, size long, digest string")
+    jobs = spark.createDataFrame([(1, "j1", "run", 10)], "id long, job_uid string, command string, timestamp long")
+    artifacts = spark.createDataFrame([(c, 1, f"first/{c}") for c in "abx"], "id string, size long, first_seen_path string")
+    hashes = spark.createDataFrame([(c, "sha256", f"h{c}") for c in "abx"], "artifact_id string, algorithm string, digest string")
+    report = lineage_report(targets, links.where("size > 0"), jobs, artifacts, hashes)
+    # What is left of the links in the plan are their jobs.
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [target") == 1
+    assert sorted((r.target, r.kind, r.digest or r.job_uid, r.path) for r in report.collect()) == [
+        ("t", "artifact", "ha", "p/a"), ("t", "artifact", "hx", "p/x"), ("t", "job", "j1", None), ("t", "target", "ha", "first/a"),
+        ("u", "artifact", "hb", "first/b"), ("u", "target", "hb", "first/b")]
